@@ -2,8 +2,9 @@
 
 Every parser returns NULL for text it cannot read; ``unreadable`` tells such a
 cell from an empty one, so a bad cell becomes an error message instead of a
-failed job. Patterns are checked with a regular expression before a datetime
-parser is called: a parser that fails costs a Java exception per row.
+failed job. Date text is recognised by its shape, rewritten to ISO form and
+cast: a cast that fails gives NULL, while a datetime parser that fails costs a
+Java exception per row.
 """
 
 from __future__ import annotations
@@ -26,9 +27,9 @@ QUANTITY = "decimal(14,3)"
 
 _CLOCK = r"\d{1,2}:\d{1,2}:\d{1,2}"
 _ISO_DAY = r"\d{4}-\d{1,2}-\d{1,2}"
-_SLASH_DAY = r"\d{1,2}/\d{1,2}/\d{4}"
-_SCRIPT_DATE = r"^[A-Za-z]{3} ([A-Za-z]{3} \d{1,2} \d{4}) " + _CLOCK + r" GMT[+-]\d{2}:?\d{2}$"
-_SCRIPT_INSTANT = r"^[A-Za-z]{3} ([A-Za-z]{3} \d{1,2} \d{4} " + _CLOCK + r") GMT([+-]\d{2}):?(\d{2})$"
+_SLASH_DAY = r"(\d{1,2})/(\d{1,2})/(\d{4})"
+_SCRIPT = r"[A-Za-z]{3} ([A-Za-z]{3}) (\d{1,2}) (\d{4}) (" + _CLOCK + r") GMT([+-]\d{2}):?(\d{2})"
+_MONTHS = "janfebmaraprmayjunjulaugsepoctnovdec"
 
 
 def _col(c: Column | str) -> Column:
@@ -47,74 +48,89 @@ def unreadable(raw: Column | str, parsed: Column) -> Column:
 
 def drop_zone_name(c: Column | str) -> Column:
     """Cut the trailing `` (zone description)`` of a script-style date."""
-    return clean_text(F.regexp_replace(clean_text(c), r" \([\s\S]*$", ""))
+    return clean_text(F.substring_index(clean_text(c), " (", 1))
 
 
-def _when_shaped(text: Column, shape: str, *formats: str) -> Column:
-    attempts = [F.try_to_timestamp(text, F.lit(fmt)) for fmt in formats]
-    value = attempts[0] if len(attempts) == 1 else F.coalesce(*attempts)
-    return F.when(text.rlike(f"^{shape}$"), value)
+def _shaped(text: Column, shape: str) -> Column:
+    return text.rlike(f"^{shape}$")
+
+
+def _rewrite(text: Column, shape: str, form: str) -> Column:
+    return F.regexp_replace(text, f"^{shape}$", form)
+
+
+def _day(iso_text: Column) -> Column:
+    return iso_text.try_cast("date")
+
+
+def _instant(iso_text: Column) -> Column:
+    return iso_text.try_cast("timestamp")
 
 
 def _script_day(text: Column) -> Column:
-    day = F.regexp_extract(text, _SCRIPT_DATE, 1)
-    return F.when(text.rlike(_SCRIPT_DATE), F.try_to_timestamp(day, F.lit("MMM d yyyy")))
+    """ISO day of ``Sat Aug 15 2026 ...``: the calendar day where it was written."""
+    place = F.position(F.lower(F.regexp_extract(text, _SCRIPT, 1)), F.lit(_MONTHS))
+    month = F.when(place % 3 == 1, ((place + 2) / 3).cast("int").cast("string"))
+    return F.concat(F.regexp_extract(text, _SCRIPT, 3), F.lit("-"), month, F.lit("-"), F.regexp_extract(text, _SCRIPT, 2))
 
 
 def _script_instant(text: Column) -> Column:
-    # the day name is not accepted by Spark's parser, so the rest is re-assembled
-    plain = F.concat(
-        F.regexp_extract(text, _SCRIPT_INSTANT, 1),
-        F.lit(" "),
-        F.regexp_extract(text, _SCRIPT_INSTANT, 2),
-        F.regexp_extract(text, _SCRIPT_INSTANT, 3),
-    )
-    return F.when(text.rlike(_SCRIPT_INSTANT), F.try_to_timestamp(plain, F.lit("MMM d yyyy H:m:s Z")))
+    return F.concat(_script_day(text), F.lit(" "), _rewrite(text, _SCRIPT, "$4$5:$6"))
 
 
 def parse_date_day_first(c: Column | str) -> Column:
     """Date A: ISO day, ISO day with clock, day/month before month/day, script text."""
     text = drop_zone_name(c)
-    return F.coalesce(
-        _when_shaped(text, _ISO_DAY, "yyyy-M-d"),
-        _when_shaped(text, _ISO_DAY + " " + _CLOCK, "yyyy-M-d H:m:s"),
-        _when_shaped(text, _SLASH_DAY, "d/M/yyyy", "M/d/yyyy"),
-        _script_day(text),
-    ).cast("date")
+    return (
+        F.when(_shaped(text, _ISO_DAY), _day(text))
+        .when(_shaped(text, _ISO_DAY + " " + _CLOCK), _instant(text).cast("date"))
+        .when(
+            _shaped(text, _SLASH_DAY),
+            F.coalesce(_day(_rewrite(text, _SLASH_DAY, "$3-$2-$1")), _day(_rewrite(text, _SLASH_DAY, "$3-$1-$2"))),
+        )
+        .when(_shaped(text, _SCRIPT), _day(_script_day(text)))
+    )
 
 
 def parse_date_month_first(c: Column | str) -> Column:
     """Date B: ISO day with dashes or slashes, month/day before day/month, d-m-Y, script text."""
     text = drop_zone_name(c)
-    return F.coalesce(
-        _when_shaped(text, _ISO_DAY, "yyyy-M-d"),
-        _when_shaped(text, r"\d{4}/\d{1,2}/\d{1,2}", "yyyy/M/d"),
-        _when_shaped(text, _SLASH_DAY, "M/d/yyyy", "d/M/yyyy"),
-        _when_shaped(text, r"\d{1,2}-\d{1,2}-\d{4}", "d-M-yyyy"),
-        _script_day(text),
-    ).cast("date")
+    return (
+        F.when(_shaped(text, _ISO_DAY), _day(text))
+        .when(
+            _shaped(text, _SLASH_DAY),
+            F.coalesce(_day(_rewrite(text, _SLASH_DAY, "$3-$1-$2")), _day(_rewrite(text, _SLASH_DAY, "$3-$2-$1"))),
+        )
+        .when(_shaped(text, r"\d{4}/\d{1,2}/\d{1,2}"), _day(F.replace(text, F.lit("/"), F.lit("-"))))
+        .when(
+            _shaped(text, r"(\d{1,2})-(\d{1,2})-(\d{4})"),
+            _day(_rewrite(text, r"(\d{1,2})-(\d{1,2})-(\d{4})", "$3-$2-$1")),
+        )
+        .when(_shaped(text, _SCRIPT), _day(_script_day(text)))
+    )
+
+
+def _basic_instants(text: Column, start: Column) -> Column:
+    """``start`` extended by the timestamp shapes every source may use."""
+    return start.when(_shaped(text, _ISO_DAY + "T" + _CLOCK + r"(\.\d{1,6})?"), _instant(text)).when(
+        _shaped(text, _SCRIPT), _instant(_script_instant(text))
+    )
 
 
 def parse_timestamp_basic(c: Column | str) -> Column:
     """Timestamp A: clock after blank or ``T``, fraction after ``T``, script text with its offset."""
     text = drop_zone_name(c)
-    return F.coalesce(
-        _when_shaped(text, _ISO_DAY + " " + _CLOCK, "yyyy-M-d H:m:s"),
-        _when_shaped(text, _ISO_DAY + "T" + _CLOCK, "yyyy-M-d'T'H:m:s"),
-        _when_shaped(text, _ISO_DAY + "T" + _CLOCK + r"\.\d{1,6}", "yyyy-M-d'T'H:m:s.SSSSSS"),
-        _script_instant(text),
-    )
+    return _basic_instants(text, F.when(_shaped(text, _ISO_DAY + " " + _CLOCK), _instant(text)))
 
 
 def parse_timestamp_wide(c: Column | str) -> Column:
     """Timestamp B: as A, and also minutes only, a bare day, and month/day/year with or without clock."""
     text = drop_zone_name(c)
-    return F.coalesce(
-        parse_timestamp_basic(text),
-        _when_shaped(text, _ISO_DAY + r" \d{1,2}:\d{1,2}", "yyyy-M-d H:m"),
-        _when_shaped(text, _ISO_DAY, "yyyy-M-d"),
-        _when_shaped(text, _SLASH_DAY + " " + _CLOCK, "M/d/yyyy H:m:s"),
-        _when_shaped(text, _SLASH_DAY, "M/d/yyyy"),
+    slash_clock = _SLASH_DAY + " (" + _CLOCK + ")"
+    return (
+        _basic_instants(text, F.when(_shaped(text, _ISO_DAY + r"( \d{1,2}:\d{1,2}(:\d{1,2})?)?"), _instant(text)))
+        .when(_shaped(text, slash_clock), _instant(_rewrite(text, slash_clock, "$3-$1-$2 $4")))
+        .when(_shaped(text, _SLASH_DAY), _instant(_rewrite(text, _SLASH_DAY, "$3-$1-$2")))
     )
 
 

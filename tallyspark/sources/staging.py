@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tallyspark.functions.cleaning import clean_text
 from tallyspark.operators.joins import missing_from
 from tallyspark.operators.rules import check_rows
 from tallyspark.sources.specs import EntitySpec
@@ -41,6 +42,8 @@ def type_and_check(raw: DataFrame, spec: EntitySpec, source_system: str = SOURCE
     Rejected rows keep their raw cells as JSON; accepted rows do not.
     """
     raw = with_absent_raw_columns(raw, spec)
+    # trimmed once here, as columns: the parsers read each cell several times
+    raw = raw.withColumns({c: clean_text(c) for c in spec.raw_columns})
     keep_raw = [F.col(c).alias(RAW_PREFIX + c) for c in spec.raw_columns]
     typed = raw.select(
         *spec.typed_columns(),
