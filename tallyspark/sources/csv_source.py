@@ -31,16 +31,41 @@ def read_export(
     inside quotes and reads each file in one task; turn it off for large files
     known to hold one record per line, so Spark can split them.
     """
-    df = (
-        spark.read.option("header", True)
+    df = _csv_options(spark.read, multi_line).csv(list(path) if not isinstance(path, str) else path)
+    return export_rows(_with_position(df), spec, strict)
+
+
+def stream_export(spark: SparkSession, folder: str, spec: EntitySpec, multi_line: bool = True, **options: str) -> DataFrame:
+    """The files arriving in a folder as a stream of text rows with their position.
+
+    A stream needs its columns up front, so files have to carry the header
+    of the spec in its order; a file with another header fails the batch.
+    """
+    schema = ", ".join(f"`{h}` string" for h in spec.header)
+    reader = _csv_options(spark.readStream, multi_line).schema(schema).options(**options)
+    return _with_position(reader.csv(folder))
+
+
+def _csv_options(reader, multi_line: bool):
+    return (
+        reader.option("header", True)
         .option("encoding", "UTF-8")
         .option("multiLine", multi_line)
         .option("quote", '"')
         .option("escape", '"')
         .option("enforceSchema", False)
-        .csv(list(path) if not isinstance(path, str) else path)
     )
-    present = {name.lstrip(BYTE_ORDER_MARK).strip(): name for name in df.columns}
+
+
+def _with_position(df: DataFrame) -> DataFrame:
+    return df.select(
+        "*", F.col("_metadata.file_path").alias("__file"), F.col("_metadata.file_block_start").alias("__start")
+    )
+
+
+def export_rows(positioned: DataFrame, spec: EntitySpec, strict: bool = True) -> DataFrame:
+    """Trimmed cells under raw names, with source file and row number."""
+    present = {name.lstrip(BYTE_ORDER_MARK).strip(): name for name in positioned.columns}
     missing = [h for h in spec.header if h not in present]
     if missing and strict:
         raise MissingColumns(f"{spec.file}: missing columns {missing}")
@@ -48,23 +73,18 @@ def read_export(
         (clean_text(F.col(f"`{present[h]}`")) if h in present else F.lit(None).cast("string")).alias(spec.raw_name(h))
         for h in spec.header
     ]
-    return _number_rows(df).select(
-        *cells, F.col("__file").alias("source_file"), F.col("__row").cast("int").alias("source_row_number")
+    return _number_rows(positioned).select(
+        *cells, F.col("__file").alias("source_file"), F.col("__row").cast("bigint").alias("source_row_number")
     )
 
 
-def _number_rows(df: DataFrame) -> DataFrame:
+def _number_rows(positioned: DataFrame) -> DataFrame:
     """Row number inside each file, without bringing a file into one task.
 
     Every file block counts its rows; a block starts where the blocks before
     it end. The second pass reads no text column.
     """
-    marked = df.select(
-        "*",
-        F.col("_metadata.file_path").alias("__file"),
-        F.col("_metadata.file_block_start").alias("__start"),
-        F.monotonically_increasing_id().alias("__id"),
-    )
+    marked = positioned.withColumn("__id", F.monotonically_increasing_id())
     blocks = marked.groupBy("__file", "__start").agg(F.count("*").alias("__n"), F.min("__id").alias("__first"))
     before = Window.partitionBy("__file").orderBy("__start").rowsBetween(Window.unboundedPreceding, -1)
     offsets = blocks.select(

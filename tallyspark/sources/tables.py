@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,14 +29,14 @@ class TableStore:
             raise ValueError(f"unknown layer: {layer}")
         return f"{self.base}/{layer}/{table}"
 
+    def exists(self, layer: str, table: str) -> bool:
+        jvm = self.spark.sparkContext._jvm
+        path = jvm.org.apache.hadoop.fs.Path(self.path(layer, table))
+        return path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(path)
+
     def read(self, layer: str, table: str) -> DataFrame | None:
         """The table, or None when nothing was written yet."""
-        try:
-            return self.spark.read.parquet(self.path(layer, table))
-        except AnalysisException as exc:
-            if exc.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
-                return None
-            raise
+        return self.spark.read.parquet(self.path(layer, table)) if self.exists(layer, table) else None
 
     def append(self, df: DataFrame, layer: str, table: str, partition_by: Sequence[str] = ()) -> None:
         df.write.mode("append").partitionBy(*partition_by).parquet(self.path(layer, table))
@@ -68,11 +67,17 @@ class TableStore:
         older version of a new row. The list of months is bounded by the
         calendar, so it may go through the driver; it becomes a partition
         filter on the read and the set of partitions replaced by the write.
-        A rerun after a lost driver repeats the load and ends in the same rows.
+        Rows equal to what is stored are left out first, so a load that repeats
+        old rows does not rewrite their months. A rerun after a lost driver
+        repeats the load and ends in the same rows.
         """
         keys = list(keys)
-        loaded = incoming.withColumn(MONTH, F.floor(F.col(day_key) / 100).cast("int"))
+        loaded = incoming
+        if MONTH not in loaded.columns:
+            loaded = loaded.withColumn(MONTH, F.floor(F.col(day_key) / 100).cast("int"))
         existing = self.read(layer, table)
+        if existing is not None:
+            loaded = _changed_rows(loaded, existing, keys)
         # the keyed load is written once: it is read several times below
         beside = self.path(layer, table) + "__next"
         keyed_rows(existing, loaded, keys, key_column).write.mode("overwrite").parquet(beside)
@@ -106,5 +111,14 @@ class TableStore:
         return max(1, int(self.spark.conf.get("spark.sql.shuffle.partitions")) // 8)
 
 
+def _changed_rows(loaded: DataFrame, existing: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Rows that are new or differ from the stored row of their key in any column."""
+    stored = existing.select(*[F.col(c).alias(f"__{c}") for c in loaded.columns])
+    same = [
+        F.col(c) == F.col(f"__{c}") if c in keys else F.col(c).eqNullSafe(F.col(f"__{c}")) for c in loaded.columns
+    ]
+    return loaded.join(stored, same, "left_anti")
+
+
 def _months(df: DataFrame) -> set[int]:
     return {row[0] for row in df.select(MONTH).distinct().collect()}
