@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from tallyspark.operators.joins import missing_from
 
-KEY_BUCKET_DIGITS = 3  # hex digits of md5: 4096 buckets
+KEY_BUCKET_DIGITS = 3  # hex digits of md5
+KEY_BUCKETS = 16**KEY_BUCKET_DIGITS
 
 
 def assign_keys(
@@ -19,27 +20,30 @@ def assign_keys(
 
     Rows are numbered inside 4096 buckets of the hashed business key and each
     bucket starts where the one before ends, so no task sees all rows. The
-    number depends on the data alone: a retried task gives the same keys.
+    number depends on the data alone: a retried task gives the same keys. The
+    bucket starts are one array of 4096 numbers, whatever the table size; as a
+    scalar they leave Spark's size estimate of the table alone, which a join
+    would multiply, so that a small table is still broadcast later on.
     """
     text_key = F.concat_ws("|", *[F.col(k).cast("string") for k in business_key])
-    bucket = F.substring(F.md5(text_key), 1, KEY_BUCKET_DIGITS)
+    bucket = F.conv(F.substring(F.md5(text_key), 1, KEY_BUCKET_DIGITS), 16, 10).cast("int")
     bucketed = new_rows.withColumn("__bucket", bucket)
 
     sizes = bucketed.groupBy("__bucket").agg(F.count("*").alias("__n"))
-    if existing is not None:
-        # sorts before every hex bucket
-        highest = existing.agg(F.coalesce(F.max(key_column), F.lit(0)).cast("bigint").alias("__n"))
-        sizes = sizes.unionByName(highest.select(F.lit("").alias("__bucket"), "__n"))
-    # at most 4097 rows, whatever the table size
-    running = Window.orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select("__bucket", F.coalesce(F.sum("__n").over(running), F.lit(0)).alias("__offset"))
+    every = new_rows.sparkSession.range(0, KEY_BUCKETS, 1, 1).select(F.col("id").cast("int").alias("__bucket"))
+    before = Window.orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
+    starts = every.join(sizes, "__bucket", "left").select(
+        "__bucket", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start")
+    )
+    in_order = F.array_sort(F.collect_list(F.struct("__bucket", "__start")))
+    offsets = starts.agg(F.transform(in_order, lambda s: s["__start"]).alias("starts")).scalar()
 
+    first = F.element_at(offsets, F.col("__bucket") + 1)
+    if existing is not None:
+        first = first + existing.agg(F.coalesce(F.max(key_column), F.lit(0))).scalar()
     inside = Window.partitionBy("__bucket").orderBy(*business_key)
-    return (
-        bucketed.withColumn("__pos", F.row_number().over(inside))
-        .join(F.broadcast(offsets), "__bucket")
-        .withColumn(key_column, (F.col("__offset") + F.col("__pos")).cast("bigint"))
-        .select(key_column, *new_rows.columns)
+    return bucketed.withColumn(key_column, (F.row_number().over(inside) + first).cast("bigint")).select(
+        key_column, *new_rows.columns
     )
 
 

@@ -143,11 +143,10 @@ class TpchWarehouse(Mapping[str, DataFrame]):
         )
 
     def _stg_stock_location(self) -> DataFrame:
-        regions = self["region"].select(F.col("r_regionkey").alias("n_regionkey"), "r_name")
-        return self["nation"].join(regions, "n_regionkey", "left").select(
+        return self["nation"].select(
             text("n_nationkey").alias("stock_location_id"),
             F.col("n_name").alias("location_name"),
-            F.col("r_name").alias("location_type"),
+            F.concat(F.lit("region "), text("n_regionkey")).alias("location_type"),
             # the last region is no partner
             F.when(F.col("n_regionkey") < 4, F.concat(F.lit("R"), text("n_regionkey"))).alias("partner_id"),
             (F.col("n_nationkey") != 7).alias("active"),
