@@ -11,14 +11,17 @@ from pyspark.sql import functions as F
 NULL_SPREAD = 64
 
 
-def left_join_spread_nulls(left: DataFrame, right: DataFrame, left_key: str, right_key: str) -> DataFrame:
+def left_join_spread_nulls(
+    left: DataFrame, right: DataFrame, left_key: str, right_key: str, spread_by: str
+) -> DataFrame:
     """Left outer join whose NULL-key rows do not meet in one task.
 
     A NULL key matches nothing, but all NULL-key rows hash to one partition.
-    They get a second key part that the right side never has.
+    They get a second key part, taken from the row's own id ``spread_by``,
+    that the right side never has.
     """
     spread = F.when(
-        F.col(left_key).isNull(), F.pmod(F.xxhash64(*left.columns), F.lit(NULL_SPREAD)) + 1
+        F.col(left_key).isNull(), F.pmod(F.xxhash64(spread_by), F.lit(NULL_SPREAD)) + 1
     ).otherwise(F.lit(0))
     marked = left.withColumn("__spread", spread)
     keyed = right.withColumn("__right_spread", F.lit(0).cast("bigint"))
@@ -49,6 +52,7 @@ def join_split_hot_keys(
     how: str = "inner",
     hot_share: float = 0.01,
     parts: int = 32,
+    spread_by: Sequence[str] | None = None,
 ) -> DataFrame:
     """Inner or left join on ``key`` where few keys hold much of ``left``.
 
@@ -56,7 +60,8 @@ def join_split_hot_keys(
     are at most ``1 / hot_share`` hot keys, whatever the data size. Rows of a
     hot key on the left are spread over ``parts``; the matching right rows are
     repeated once per part. All other rows join as usual. Exact: every left
-    row meets each of its right rows once.
+    row meets each of its right rows once. ``spread_by`` names columns that
+    tell rows of one key apart (all columns when not given).
     """
     if how not in ("inner", "left"):
         raise ValueError("how must be inner or left")
@@ -65,7 +70,7 @@ def join_split_hot_keys(
     hot = counts.where(F.col("__n") >= total * F.lit(hot_share)).select("__hot")
     hot_left = hot.select(F.col("__hot").alias("__hl"))
     hot_right = hot.select(F.col("__hot").alias("__hr"))
-    spread = F.pmod(F.xxhash64(*left.columns), F.lit(parts)).cast("int")
+    spread = F.pmod(F.xxhash64(*(spread_by or left.columns)), F.lit(parts)).cast("int")
     marked = (
         left.join(F.broadcast(hot_left), left[key] == F.col("__hl"), "left")
         .withColumn(

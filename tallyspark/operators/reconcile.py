@@ -102,3 +102,50 @@ def warehouse_report(t: Tables, version_of: Callable[[str], Version] = lambda st
     return rows.rollup("check_group").agg(
         F.bool_and("is_valid").alias("is_valid"), F.count("*").alias("check_count")
     ).withColumn("check_group", F.coalesce("check_group", F.lit("all")))
+
+
+# Fact -> foreign key -> dimension
+FOREIGN_KEYS = {
+    "fact_orders": {"date_key": "dim_date", "customer_key": "dim_customer"},
+    "fact_sales": {
+        "date_key": "dim_date", "customer_key": "dim_customer", "product_key": "dim_product", "location_key": "dim_location",
+    },
+    "fact_payments": {"date_key": "dim_date", "customer_key": "dim_customer", "cash_account_key": "dim_cash_account"},
+    "fact_returns": {
+        "date_key": "dim_date", "customer_key": "dim_customer", "location_key": "dim_location",
+        "cash_account_key": "dim_cash_account",
+    },
+    "fact_return_items": {"product_key": "dim_product"},
+    "fact_purchases": {
+        "date_key": "dim_date", "supplier_key": "dim_supplier", "product_key": "dim_product", "location_key": "dim_location",
+    },
+    "fact_cash_transactions": {"date_key": "dim_date", "cash_account_key": "dim_cash_account"},
+    "fact_expenses": {"date_key": "dim_date", "cash_account_key": "dim_cash_account"},
+    "fact_partner_capital": {"date_key": "dim_date", "partner_key": "dim_partner", "cash_account_key": "dim_cash_account"},
+    "fact_stock_movements": {
+        "date_key": "dim_date", "product_key": "dim_product", "from_location_key": "dim_location",
+        "to_location_key": "dim_location",
+    },
+}
+
+
+def fact_integrity(t: Tables, fact: str) -> DataFrame:
+    """Repeated business keys and dangling foreign keys of a fact, to look at before it is published.
+
+    A foreign key is counted per value first, so what meets the dimension is
+    one row per value, however many fact rows share it.
+    """
+    spec, keys = FACTS[fact], FOREIGN_KEYS[fact]
+    repeated = (
+        t[fact].groupBy(*spec.business_key).agg(F.count("*").alias("n")).where("n > 1").agg(F.count("*").alias("broken_rows"))
+    )
+    parts = [repeated.select(F.lit(fact).alias("fact"), F.lit("unique " + ", ".join(spec.business_key)).alias("rule"), "broken_rows")]
+    for key, dim in keys.items():
+        dim_key = key.removeprefix("from_").removeprefix("to_")
+        used = t[fact].where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("n"))
+        known = t[dim].select(F.col(dim_key).alias("__known"))
+        broken = used.join(known, used[key] == known["__known"], "left_anti").agg(
+            F.coalesce(F.sum("n"), F.lit(0)).cast("bigint").alias("broken_rows")
+        )
+        parts.append(broken.select(F.lit(fact).alias("fact"), F.lit(f"{key} in {dim}").alias("rule"), "broken_rows"))
+    return reduce(lambda a, b: a.unionByName(b), parts)

@@ -121,8 +121,13 @@ def load_dimension(
     version: Sequence[str | Column] = VERSION_COLUMNS,
 ) -> DataFrame:
     """Content of a dimension after upserting the staged rows."""
+    return upsert_dimension(table, incoming_rows(DIMENSIONS[table], staged, partners, version), existing, loaded_at)
+
+
+def upsert_dimension(
+    table: str, incoming: DataFrame, existing: DataFrame | None = None, loaded_at: Column | None = None
+) -> DataFrame:
+    """Content of a dimension after upserting rows that already have its columns."""
     spec = DIMENSIONS[table]
     first_seen = {"valid_from": loaded_at if loaded_at is not None else F.current_timestamp()} if spec.versioned else None
-    return upsert(
-        existing, incoming_rows(spec, staged, partners, version), [spec.business_key], spec.key_column, first_seen
-    )
+    return upsert(existing, incoming, [spec.business_key], spec.key_column, first_seen)

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from tallyspark.functions.cleaning import MONEY, QUANTITY
 from tallyspark.functions.measures import gross_line, money, net_line, or_word, or_zero, safe_ratio
-from tallyspark.operators.joins import left_join_spread_nulls, missing_from
+from tallyspark.operators.joins import left_join_spread_nulls
 from tallyspark.operators.latest import VERSION_COLUMNS, pending_latest
 
 Tables = Mapping[str, DataFrame]
@@ -72,7 +72,7 @@ def _products(t: Tables, *more: str, only_current: bool = False) -> DataFrame:
 
 def load_orders(t: Tables, version: Version = VERSION_COLUMNS) -> DataFrame:
     rows = _with_date(pending_latest(t["stg_order"], ["order_id"], version), t, "order_date")
-    rows = left_join_spread_nulls(rows, _current_customers(t), "customer_id", "__customer_id")
+    rows = left_join_spread_nulls(rows, _current_customers(t), "customer_id", "__customer_id", "order_id")
     return rows.select(
         "order_id",
         "date_key",
@@ -118,8 +118,8 @@ def load_sales(t: Tables, version: Version = VERSION_COLUMNS) -> DataFrame:
 
 def load_payments(t: Tables, version: Version = VERSION_COLUMNS) -> DataFrame:
     rows = _with_date(pending_latest(t["stg_payment"], ["payment_id"], version), t, "payment_date")
-    rows = left_join_spread_nulls(rows, _current_customers(t), "customer_id", "__customer_id")
-    rows = left_join_spread_nulls(rows, _accounts(t), "cash_account_id", "__account_id")
+    rows = left_join_spread_nulls(rows, _current_customers(t), "customer_id", "__customer_id", "payment_id")
+    rows = left_join_spread_nulls(rows, _accounts(t), "cash_account_id", "__account_id", "payment_id")
     return rows.select(
         "payment_id",
         "date_key",
@@ -141,7 +141,7 @@ def load_returns(t: Tables, version: Version = VERSION_COLUMNS) -> DataFrame:
         rows.join(_locations(t, only_active=True), F.col("location_id") == F.col("__location_id"))
         .join(_accounts(t, only_active=True), F.col("cash_account_id") == F.col("__account_id"))
     )
-    rows = left_join_spread_nulls(rows, _current_customers(t), "customer_id", "__customer_id")
+    rows = left_join_spread_nulls(rows, _current_customers(t), "customer_id", "__customer_id", "return_id")
     refund, adjustment = or_zero("refund_amount"), or_zero("adjustment_amount")
     return rows.select(
         "return_id",
@@ -172,7 +172,7 @@ def load_return_items(t: Tables, version: Version = VERSION_COLUMNS) -> DataFram
     rows = items.join(t["fact_returns"].select("return_id"), "return_id").join(
         _products(t, "current_cost_price"), F.col("product_id") == F.col("__product_id")
     )
-    rows = left_join_spread_nulls(rows, sold, "order_item_id", "__sold_item")
+    rows = left_join_spread_nulls(rows, sold, "order_item_id", "__sold_item", "return_item_id")
     quantity, price = F.col("quantity"), or_zero("unit_price")
     cogs = F.coalesce(
         quantity * safe_ratio(F.col("__cogs"), F.col("__sold")), quantity * F.col("current_cost_price"), F.lit(0)
@@ -239,7 +239,7 @@ def load_cash_transactions(t: Tables, version: Version = VERSION_COLUMNS) -> Dat
 
 def load_expenses(t: Tables, version: Version = VERSION_COLUMNS) -> DataFrame:
     rows = _with_date(pending_latest(t["stg_expense"], ["expense_id"], version), t, "expense_date")
-    rows = left_join_spread_nulls(rows, _accounts(t), "cash_account_id", "__account_id")
+    rows = left_join_spread_nulls(rows, _accounts(t), "cash_account_id", "__account_id", "expense_id")
     return rows.select(
         "expense_id",
         "date_key",
@@ -282,8 +282,8 @@ def load_partner_capital(t: Tables, version: Version = VERSION_COLUMNS) -> DataF
 def load_stock_movements(t: Tables, version: Version = VERSION_COLUMNS) -> DataFrame:
     rows = _with_date(pending_latest(t["stg_stock_movement"], ["movement_id"], version), t, "movement_date")
     rows = rows.join(_products(t), F.col("product_id") == F.col("__product_id"))
-    rows = left_join_spread_nulls(rows, _locations(t, prefix="from_"), "from_location_id", "__from_location_id")
-    rows = left_join_spread_nulls(rows, _locations(t, prefix="to_"), "to_location_id", "__to_location_id")
+    rows = left_join_spread_nulls(rows, _locations(t, prefix="from_"), "from_location_id", "__from_location_id", "movement_id")
+    rows = left_join_spread_nulls(rows, _locations(t, prefix="to_"), "to_location_id", "__to_location_id", "movement_id")
     return rows.select(
         "movement_id",
         "date_key",

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+from collections import ChainMap
 from collections.abc import Iterator, Mapping, Sequence
 
 from pyspark.sql import DataFrame, Observation
@@ -10,12 +11,14 @@ from pyspark.sql import functions as F
 
 from tallyspark.operators.joins import missing_from
 from tallyspark.operators.rules import enforce_constraints, table_constraints
-from tallyspark.plans.dimensions import CALENDAR_END, CALENDAR_START, DIMENSIONS, calendar, extend_calendar, load_dimension
+from tallyspark.plans.dimensions import (
+    CALENDAR_END, CALENDAR_START, DIMENSIONS, calendar, extend_calendar, incoming_rows, upsert_dimension,
+)
 from tallyspark.plans.facts import FACTS
 from tallyspark.sources.csv_source import add_lineage, drop_known_rows, read_export
 from tallyspark.sources.ledger import ERRORS, BatchLedger
 from tallyspark.sources.specs import ENTITIES, EntitySpec
-from tallyspark.sources.staging import insert_new_staged, not_yet_staged, quarantine_rows, raw_rows, type_and_check
+from tallyspark.sources.staging import not_yet_staged, quarantine_rows, raw_rows, type_and_check
 from tallyspark.sources.tables import MONTH, TableStore
 
 DIMENSION_ORDER = ("dim_customer", "dim_product", "dim_supplier", "dim_partner", "dim_cash_account", "dim_location")
@@ -93,15 +96,14 @@ def stage(store: TableStore, entity: str, batch_id: str | None = None) -> None:
         return
     staged = store.read("staging", entity)
     fresh = not_yet_staged(raw_rows(raw, batch_id), _stored(staged, ["source_row_identifier"]))
-    key = ["ingestion_batch_id", "source_table", "source_row_identifier"]
-    checked = insert_new_staged(type_and_check(fresh, spec), _stored(staged, key))
-    store.append(checked, "staging", entity, partition_by=["record_status"])
+    # a row id is made of batch, file and position, so rows not staged yet cannot meet a staged twin
+    store.append(type_and_check(fresh, spec), "staging", entity, partition_by=["record_status"])
 
     written = store.read("staging", entity)
     rejected = quarantine_rows(written if batch_id is None else raw_rows(written, batch_id))
     ledger = store.read("ops", ERRORS)
     if ledger is not None:
-        rejected = missing_from(rejected, ledger, key)
+        rejected = missing_from(rejected, ledger, ["ingestion_batch_id", "source_table", "source_row_identifier"])
     store.append(rejected, "ops", ERRORS)
 
 
@@ -115,15 +117,46 @@ def load_dimensions(store: TableStore, start: dt.date = CALENDAR_START, end: dt.
         if staged is None:
             continue
         partners = tables["dim_partner"] if name == "dim_location" else None
-        store.replace(load_dimension(name, staged, store.read("core", name), partners), "core", name)
-
-
-def load_facts(store: TableStore, only: Sequence[str] | None = None, constraints: str = "quarantine") -> None:
-    """All facts whose staging exists, in dependency order."""
-    tables = StoredTables(store)
+        incoming = store.aside(incoming_rows(DIMENSIONS[name], staged, partners), "core", f"{name}__load")
+        store.replace(upsert_dimension(name, incoming, store.read("core", name)), "core", name)
+
+
+# fact -> (staging of its parent, key of the parent in both): a changed parent changes its lines
+PARENTS = {
+    "fact_sales": ("stg_order", "order_id"),
+    "fact_return_items": ("stg_return", "return_id"),
+    "fact_purchases": ("stg_purchase", "purchase_id"),
+}
+
+
+def _of_batches(tables: Mapping[str, DataFrame], fact: str, batches: Sequence[str]) -> Mapping[str, DataFrame]:
+    """The tables with the fact's staging cut to keys the batches touch, in all their versions."""
+    spec = FACTS[fact]
+    staged, key = tables[spec.staging], spec.staging_key
+    in_batch = F.col("ingestion_batch_id").isin(*batches)
+    touched = staged.where(in_batch).select(key)
+    if fact in PARENTS and PARENTS[fact][0] in tables:
+        parent, parent_key = PARENTS[fact]
+        parents = tables[parent].where(in_batch).select(parent_key)
+        touched = touched.unionByName(staged.join(parents, parent_key, "left_semi").select(key))
+    return ChainMap({spec.staging: staged.join(touched, key, "left_semi")}, tables)
+
+
+def load_facts(
+    store: TableStore, only: Sequence[str] | None = None, constraints: str = "quarantine",
+    batches: Sequence[str] | None = None,
+) -> None:
+    """All facts whose staging exists, in dependency order.
+
+    Without ``batches`` all accepted rows are loaded again, which also picks
+    up rows whose dimension arrived late. With them only the keys those
+    batches touch are, directly or through their order, return or purchase.
+    """
+    stored = StoredTables(store)
     for name, spec in FACTS.items():
         if (only is not None and name not in only) or store.read("staging", spec.staging.removeprefix("stg_")) is None:
             continue
+        tables = stored if batches is None else _of_batches(stored, name, batches)
         rows = spec.load(tables)
         rules = table_constraints().get(name)
         if rules:
@@ -142,7 +175,7 @@ def load_facts(store: TableStore, only: Sequence[str] | None = None, constraints
         if name == "fact_return_items":
             # lines have no date of their own; they lie in the month of their return
             month = F.floor(F.col("date_key") / 100).cast("int").alias(MONTH)
-            rows = rows.join(tables["fact_returns"].select("return_id", month), "return_id")
+            rows = rows.join(stored["fact_returns"].select("return_id", month), "return_id")
         store.merge_by_month(rows, "core", name, spec.business_key, spec.key_column)
 
 

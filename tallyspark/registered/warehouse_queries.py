@@ -565,3 +565,32 @@ UNION ALL SELECT 'facts', is_valid FROM ({_counts("fact_name", "fact_")})
 UNION ALL SELECT 'totals', is_valid FROM ({_TOTALS_SQL})) GROUP BY ROLLUP (check_group)"""
     ),
 )
+
+for _fact, _unique in (("fact_sales", "order_item_id"), ("fact_payments", "payment_id"), ("fact_partner_capital", "capital_transaction_id")):
+    register(
+        f"integrity_{_fact}",
+        on_warehouse(lambda w, f=_fact: reconcile.fact_integrity(w, f)),
+        with_ctes(
+            f"SELECT '{_fact}' AS fact, 'unique {_unique}' AS rule, count(*) - count(DISTINCT {_unique}) AS broken_rows FROM {_fact}"
+            + "".join(
+                f" UNION ALL SELECT '{_fact}', '{k} in {d}', count(*) FROM {_fact} WHERE {k} IS NOT NULL AND {k} NOT IN (SELECT {k} FROM {d})"
+                for k, d in reconcile.FOREIGN_KEYS[_fact].items()
+            )
+        ),
+    )
+
+# the fact whose dangling keys must be found: sales against the parts of one category only
+register(
+    "integrity_broken_keys",
+    on_warehouse(
+        lambda w: reconcile.fact_integrity(
+            {**{n: w[n] for n in ("fact_sales", "dim_date", "dim_customer", "dim_location")},
+             "dim_product": w["dim_product"].where("category = 'PROMO'")},
+            "fact_sales",
+        ).where("broken_rows > 0")
+    ),
+    with_ctes(
+        "SELECT 'fact_sales' AS fact, 'product_key in dim_product' AS rule, count(*) AS broken_rows FROM fact_sales"
+        " WHERE product_key NOT IN (SELECT product_key FROM dim_product WHERE category = 'PROMO')"
+    ),
+)

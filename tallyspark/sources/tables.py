@@ -48,9 +48,7 @@ class TableStore:
         never read and overwritten by one job, and a lost driver leaves a
         whole copy behind.
         """
-        beside = self.path(layer, table) + "__next"
-        df.write.mode("overwrite").parquet(beside)
-        self.spark.read.parquet(beside).write.mode("overwrite").parquet(self.path(layer, table))
+        self.aside(df, layer, f"{table}__next").write.mode("overwrite").parquet(self.path(layer, table))
 
     def merge_by_month(
         self,
@@ -72,16 +70,14 @@ class TableStore:
         repeats the load and ends in the same rows.
         """
         keys = list(keys)
-        loaded = incoming
-        if MONTH not in loaded.columns:
-            loaded = loaded.withColumn(MONTH, F.floor(F.col(day_key) / 100).cast("int"))
+        if MONTH not in incoming.columns:
+            incoming = incoming.withColumn(MONTH, F.floor(F.col(day_key) / 100).cast("int"))
         existing = self.read(layer, table)
+        # written before they are read several times: the plan behind a load is long
+        loaded = self.aside(incoming, layer, f"{table}__load")
         if existing is not None:
             loaded = _changed_rows(loaded, existing, keys)
-        # the keyed load is written once: it is read several times below
-        beside = self.path(layer, table) + "__next"
-        keyed_rows(existing, loaded, keys, key_column).write.mode("overwrite").parquet(beside)
-        loaded = self.spark.read.parquet(beside)
+        loaded = self.aside(keyed_rows(existing, loaded, keys, key_column), layer, f"{table}__next")
         if existing is None:
             self._overwrite_months(loaded, layer, table)
             return
@@ -97,23 +93,30 @@ class TableStore:
         for month in sorted(vacated):
             empty.write.mode("overwrite").parquet(f"{self.path(layer, table)}/{MONTH}={month}")
 
+    def aside(self, df: DataFrame, layer: str, table: str) -> DataFrame:
+        """Write a frame under a side name and read it back, so that it is computed once."""
+        df.write.mode("overwrite").parquet(self.path(layer, table))
+        return self.spark.read.parquet(self.path(layer, table))
+
     def _overwrite_months(self, df: DataFrame, layer: str, table: str) -> None:
+        # rebalancing splits a month that holds most of a load and joins small ones
         (
-            df.repartition(MONTH, F.pmod(F.xxhash64(*df.columns), F.lit(self._writers())))
+            df.hint("rebalance", MONTH)
             .write.mode("overwrite")
             .option("partitionOverwriteMode", "dynamic")
             .partitionBy(MONTH)
             .parquet(self.path(layer, table))
         )
 
-    def _writers(self) -> int:
-        """Files per month: enough to spread a month that holds most of a load."""
-        return max(1, int(self.spark.conf.get("spark.sql.shuffle.partitions")) // 8)
-
 
 def _changed_rows(loaded: DataFrame, existing: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Rows that are new or differ from the stored row of their key in any column."""
-    stored = existing.select(*[F.col(c).alias(f"__{c}") for c in loaded.columns])
+    """Rows that are new or differ from the stored row of their key in any column.
+
+    The stored rows are first cut to the keys of the load, which for a small
+    load is a broadcast and no shuffle of the table.
+    """
+    known = existing.join(loaded.select(*keys), list(keys), "left_semi")
+    stored = known.select(*[F.col(c).alias(f"__{c}") for c in loaded.columns])
     same = [
         F.col(c) == F.col(f"__{c}") if c in keys else F.col(c).eqNullSafe(F.col(f"__{c}")) for c in loaded.columns
     ]

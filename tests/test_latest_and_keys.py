@@ -77,7 +77,7 @@ def test_left_join_with_many_null_keys(spark):
     right = spark.createDataFrame([(i, f"n{i}") for i in range(0, 60, 2)], "rk int, name string")
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
-        got = left_join_spread_nulls(left, right, "k", "rk").select("i", "name")
+        got = left_join_spread_nulls(left, right, "k", "rk", "i").select("i", "name")
         assert rows(got) == rows(left.join(right, left.k == right.rk, "left").select("i", "name"))
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", str(64 * 1024 * 1024))

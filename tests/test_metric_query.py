@@ -6,6 +6,7 @@ import pytest
 
 from tallyspark.plans.metric_query import Filter, InvalidRequest, MetricRequest, Sort, compare_periods, metric_query, strategy
 from tallyspark.plans.metrics import Metric, UnknownMetric, standard_registry
+from tallyspark.plans.spoken_request import UnresolvedTerms, resolve_request
 from tallyspark.plans.timeranges import TimeRange, UnknownTimeRange
 from tallyspark.plans.views import SUMMARY, VIEWS, compose_view, for_tenant
 from tests.conftest import day, money, rows
@@ -178,6 +179,28 @@ def test_registry():
             r.add(bad)
 
 
+def test_request_in_business_terms(spark, tables):
+    said = MetricRequest(["Revenue"], ["branch", "Product Category"], [Filter("store", "eq", "shop"), Filter("category", "ne", "Jam")])
+    request = resolve_request(spark, tables, said)
+    assert (request.metrics, request.dimensions) == (["gross_sales"], ["location_name", "product_category"])
+    assert request.filters == [Filter("location_id", "eq", "L1"), Filter("product_category", "ne", "Jam")]
+    assert rows(metric_query(tables, request)) == [("Shop", "Nuts", money("1500.00")), ("Shop", "Snacks", money("1650.25"))]
+
+
+def test_every_open_term_is_reported(spark, tables):
+    with pytest.raises(UnresolvedTerms) as unknown:
+        resolve_request(spark, tables, MetricRequest(["earn", "gross sales", "magic"], ["weather"]))
+    assert unknown.value.issues == [("metric", "earn", "ambiguous"), ("metric", "magic", "not_found")]
+    with pytest.raises(UnresolvedTerms) as later:
+        resolve_request(
+            spark, tables, MetricRequest(["sales"], ["weather", "vendor"], [Filter("branch", "in", ["shop", "moon"]), Filter("mood", "eq", 1)])
+        )
+    assert later.value.issues == [
+        ("dimension", "weather", "not_found"), ("dimension", "vendor", "invalid"), ("filter", "mood", "not_found"),
+        ("filter value", "moon", "not_found"),
+    ]
+
+
 # plans ------------------------------------------------------------------------------------
 
 

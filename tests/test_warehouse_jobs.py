@@ -132,11 +132,26 @@ def test_a_changed_row_moves_to_its_new_month(loaded):
     path = write(base / "later", "expense", [f"E1,09/02/2026,Rent,tea,8,,K1,Kim,,Kim,{WHEN}", f"E3,2026-10-01,Rent,,3,,,Kim,,Kim,{WHEN}"])
     batch = wj.ingest(store, "expense", path)
     wj.stage(store, "expense", batch)
-    wj.load_facts(store, only=["fact_expenses"])
+    wj.load_facts(store, only=["fact_expenses"], batches=[batch])
     got = wj.StoredTables(store)["fact_expenses"].select("expense_key", "expense_id", "date_key", "amount", "load_month")
     assert rows(got) == [(key, "E1", 20260902, money("8.00"), 202609), (key + 1, "E3", 20261001, money("3.00"), 202610)]
 
 
+def test_lines_follow_their_changed_order(loaded):
+    store, base = loaded
+    path = write(base / "later", "order", ["O1,2026-11-05,C1,20,0,0,20,20,0,Delivered,Kim,"])
+    batch = wj.ingest(store, "order", path)
+    wj.stage(store, "order", batch)
+    before = rows(wj.StoredTables(store)["fact_sales"].select("sales_key", "order_item_id"))
+    wj.load_facts(store, only=["fact_orders", "fact_sales"], batches=[batch])
+    t = wj.StoredTables(store)
+    assert rows(t["fact_sales"].select("order_item_id", "date_key")) == [("I1", 20261105), ("I2", 20260815)]
+    assert rows(t["fact_sales"].select("sales_key", "order_item_id")) == before
+    everything = {n: rows(t[n]) for n in ("fact_orders", "fact_sales")}
+    wj.load_facts(store)
+    assert {n: rows(t[n]) for n in everything} == everything
+
+
 def test_missing_columns(spark, tmp_path):
     path = write(tmp_path, "partner", ["R1,Kim,true"], header="Partner_ID,Partner_Name,Active")
     with pytest.raises(MissingColumns):
