@@ -95,12 +95,12 @@ def test_metric_terms(spark):
 
 
 def test_entities(spark):
-    directory = spark.createDataFrame([("L1", "Mirpur"), ("L2", "Mirpur North"), ("L3", "Uttara"), ("L4", "Uttara"), ("L5", "XY")], "id string, name string")
-    said = spark.createDataFrame([("mirpur",), ("Mirpur_North",), ("north",), ("uttara",), ("mir",), ("the XY shop",), ("x",), ("none",), ("  ",)], "v string")
+    directory = spark.createDataFrame([("L1", "Harbour"), ("L2", "Harbour North"), ("L3", "Garden"), ("L4", "Garden"), ("L5", "XY")], "id string, name string")
+    said = spark.createDataFrame([("harbour",), ("Harbour_North",), ("north",), ("garden",), ("harb",), ("the XY shop",), ("x",), ("none",), ("  ",)], "v string")
     got = {r.v: (r.status, r.resolved, r.match_count) for r in rs.resolve_entities(said, "v", directory).collect()}
     assert got == {
-        "mirpur": ("resolved", "L1", 1), "Mirpur_North": ("resolved", "L2", 1), "north": ("resolved", "L2", 1),
-        "uttara": ("ambiguous", None, 2), "mir": ("ambiguous", None, 2), "the XY shop": ("resolved", "L5", 1),
+        "harbour": ("resolved", "L1", 1), "Harbour_North": ("resolved", "L2", 1), "north": ("resolved", "L2", 1),
+        "garden": ("ambiguous", None, 2), "harb": ("ambiguous", None, 2), "the XY shop": ("resolved", "L5", 1),
         "x": ("resolved", "L5", 1), "none": ("not_found", None, 0), "  ": ("not_found", None, 0),
     }
 
