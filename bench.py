@@ -11,6 +11,7 @@ import json
 import os
 import tempfile
 import time
+import uuid
 
 from tallyspark.plans.facts import FACTS
 from tallyspark.plans.metric_query import Filter, MetricRequest, Sort, metric_query
@@ -93,7 +94,8 @@ def main() -> None:
         times[name] = timed(lambda n=name: REGISTRY[n].build(spark, folder))
 
     start = time.perf_counter()
-    store = TableStore(spark, tempfile.mkdtemp(prefix="bench-"))
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    store = TableStore(spark, f"{shared}/bench-{uuid.uuid4()}" if shared else tempfile.mkdtemp(prefix="bench-"))
     tables = write_warehouse(store, TpchWarehouse(spark, folder))
     times["write_warehouse"] = round(time.perf_counter() - start, 3)
     for name, request in questions().items():

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -50,19 +51,22 @@ def broken_messages(rules: Iterable[Rule], kind: str | None = None) -> Column:
 
 
 def check_rows(df: DataFrame, rules: Iterable[Rule]) -> DataFrame:
-    """Add ``errors``, ``error_type``, ``record_status`` and ``validation_error``."""
+    """Add ``errors``, ``error_type``, ``record_status`` and ``validation_error``.
+
+    The text is put together with ``concat_ws``, which is compiled; the array
+    of ``errors`` costs an interpreted expression and only where it is used.
+    """
     rules = list(rules)
-    parse_failed = F.size(broken_messages(rules, TRANSFORM_ERROR)) > 0
+    text = F.concat_ws("; ", *[F.when(r.broken, F.lit(r.message)) for r in rules])
+    unreadable = [F.coalesce(r.broken, F.lit(False)) for r in rules if r.kind == TRANSFORM_ERROR]
+    kind = F.lit(VALIDATION_ERROR)
+    if unreadable:
+        kind = F.when(reduce(lambda a, b: a | b, unreadable), F.lit(TRANSFORM_ERROR)).otherwise(kind)
+    invalid = F.col("validation_error").isNotNull()
     return (
-        df.withColumn("__transform", parse_failed)
-        .withColumn("errors", broken_messages(rules))
-        .withColumn(
-            "error_type",
-            F.when(F.col("__transform"), F.lit(TRANSFORM_ERROR)).when(F.size("errors") > 0, F.lit(VALIDATION_ERROR)),
-        )
-        .withColumn("record_status", F.when(F.size("errors") > 0, F.lit("invalid")).otherwise(F.lit("pending")))
-        .withColumn("validation_error", F.nullif(F.array_join("errors", "; "), F.lit("")))
-        .drop("__transform")
+        df.withColumns({"validation_error": F.nullif(text, F.lit("")), "errors": broken_messages(rules)})
+        .withColumn("record_status", F.when(invalid, F.lit("invalid")).otherwise(F.lit("pending")))
+        .withColumn("error_type", F.when(invalid, kind))
     )
 
 

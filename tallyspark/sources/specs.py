@@ -85,13 +85,16 @@ class EntitySpec:
         return columns
 
     def rules(self, raw_prefix: str) -> list[ru.Rule]:
-        """Parse failures first, then required fields, then value rules."""
+        """Parse failures first, then required fields, then value rules.
+
+        The raw cells under ``raw_prefix`` have to be trimmed, empty ones NULL.
+        """
         found = []
         for f in self.staged:
             if f.parser == "text" or not isinstance(f.source, str):
                 continue
             _, spark_type, kind = PARSERS[f.parser]
-            broken = cl.unreadable(raw_prefix + f.source, F.col(f.name))
+            broken = F.col(raw_prefix + f.source).isNotNull() & F.col(f.name).isNull()
             found.append(ru.Rule(f"{f.name} could not be read as {spark_type}.", broken, kind))
         found += [ru.required(c) for c in self.required]
         return found + self.checks()
