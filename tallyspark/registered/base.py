@@ -37,7 +37,13 @@ def comparable(df: DataFrame) -> DataFrame:
 def register(name: str, build: Build, sql: str | None = None) -> None:
     if name in REGISTRY:
         raise ValueError(f"query registered twice: {name}")
-    REGISTRY[name] = Registered(name, lambda spark, folder: comparable(build(spark, folder)), sql)
+
+    def in_utc(spark: SparkSession, folder: str) -> DataFrame:
+        # DuckDB reads timestamps without a zone
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+        return comparable(build(spark, folder))
+
+    REGISTRY[name] = Registered(name, in_utc, sql)
 
 
 def on_warehouse(plan: Callable[[TpchWarehouse], DataFrame]) -> Build:

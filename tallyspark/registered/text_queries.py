@@ -35,7 +35,8 @@ WHEN 5 THEN '2024-13-45' ELSE {_DAY} || '-' || {_MONTH} || '-' || {_YEAR} END"""
 def _orders_text(expression: str, parse):
     def build(spark, folder):
         rows = table("orders")(spark, folder).selectExpr("o_orderkey", f"{expression} AS cell")
-        return rows.select("o_orderkey", parse("cell").alias("day"), cl.unreadable("cell", parse("cell")).alias("unreadable"))
+        parsed = rows.withColumn("day", parse("cell"))
+        return parsed.select("o_orderkey", "day", cl.unreadable("cell", F.col("day")).alias("unreadable"))
 
     return build
 
@@ -82,8 +83,10 @@ WHEN 6 THEN {_TS_MDY} || ' ' || substr({_SECOND}, 12, 8) WHEN 7 THEN {_TS_MDY} E
 def _events_instant(expression: str, parse):
     def build(spark, folder):
         rows = table("events")(spark, folder).selectExpr("event_id", f"{expression} AS cell")
-        value = parse("cell")
-        return rows.select("event_id", F.unix_micros(value).alias("micros"), cl.unreadable("cell", value).alias("unreadable"))
+        parsed = rows.withColumn("value", parse("cell"))
+        return parsed.select(
+            "event_id", F.unix_micros("value").alias("micros"), cl.unreadable("cell", F.col("value")).alias("unreadable")
+        )
 
     return build
 
@@ -142,8 +145,8 @@ _PLAIN_CASES = f"WHEN 0 THEN {_V} WHEN 1 THEN -{_V} WHEN 6 THEN 1000 WHEN 9 THEN
 def _number(parse):
     def build(spark, folder):
         rows = table("orders")(spark, folder).selectExpr("o_orderkey", f"{_NUMBER} AS cell")
-        value = parse("cell")
-        return rows.select("o_orderkey", value.alias("value"), cl.unreadable("cell", value).alias("unreadable"))
+        parsed = rows.withColumn("value", parse("cell"))
+        return parsed.select("o_orderkey", "value", cl.unreadable("cell", F.col("value")).alias("unreadable"))
 
     return build
 

@@ -17,6 +17,8 @@ ENGINE_CONF = {
     "spark.sql.sources.partitionOverwriteMode": "dynamic",
     "spark.sql.parquet.filterPushdown": "true",
     "spark.sql.optimizer.runtime.bloomFilter.enabled": "true",
+    # the JVM never compiles a method above 8000 bytes; Spark then splits wide projections instead
+    "spark.sql.codegen.hugeMethodLimit": "8000",
 }
 
 
