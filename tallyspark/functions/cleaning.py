@@ -28,7 +28,7 @@ QUANTITY = "decimal(14,3)"
 _CLOCK = r"\d{1,2}:\d{1,2}:\d{1,2}"
 _ISO_DAY = r"\d{4}-\d{1,2}-\d{1,2}"
 _SLASH_DAY = r"(\d{1,2})/(\d{1,2})/(\d{4})"
-_SCRIPT = r"[A-Za-z]{3} ([A-Za-z]{3}) (\d{1,2}) (\d{4}) (" + _CLOCK + r") GMT([+-]\d{2}):?(\d{2})"
+_SCRIPT = r"[A-Za-z]{3} [A-Za-z]{3} \d{1,2} \d{4} " + _CLOCK + r" GMT[+-]\d{2}:?\d{2}"
 _MONTHS = "janfebmaraprmayjunjulaugsepoctnovdec"
 
 
@@ -48,7 +48,7 @@ def unreadable(raw: Column | str, parsed: Column) -> Column:
 
 def drop_zone_name(c: Column | str) -> Column:
     """Cut the trailing `` (zone description)`` of a script-style date."""
-    return clean_text(F.substring_index(clean_text(c), " (", 1))
+    return clean_text(F.substring_index(_col(c), " (", 1))
 
 
 def _shaped(text: Column, shape: str) -> Column:
@@ -69,13 +69,19 @@ def _instant(iso_text: Column) -> Column:
 
 def _script_day(text: Column) -> Column:
     """ISO day of ``Sat Aug 15 2026 ...``: the calendar day where it was written."""
-    place = F.position(F.lower(F.regexp_extract(text, _SCRIPT, 1)), F.lit(_MONTHS))
+    place = F.position(F.lower(F.substring(text, 5, 3)), F.lit(_MONTHS))
     month = F.when(place % 3 == 1, ((place + 2) / 3).cast("int").cast("string"))
-    return F.concat(F.regexp_extract(text, _SCRIPT, 3), F.lit("-"), month, F.lit("-"), F.regexp_extract(text, _SCRIPT, 2))
+    return F.concat_ws("-", _word(text, 4), F.coalesce(month, F.lit("?")), _word(text, 3))
+
+
+def _word(text: Column, n: int) -> Column:
+    return F.split_part(text, F.lit(" "), F.lit(n))
 
 
 def _script_instant(text: Column) -> Column:
-    return F.concat(_script_day(text), F.lit(" "), _rewrite(text, _SCRIPT, "$4$5:$6"))
+    zone = _word(text, 6)
+    offset = F.concat(F.substring(zone, 4, 3), F.lit(":"), F.right(zone, F.lit(2)))
+    return F.concat(_script_day(text), F.lit(" "), _word(text, 5), offset)
 
 
 def parse_date_day_first(c: Column | str) -> Column:
