@@ -35,12 +35,12 @@ def frequent_digests(prints: DataFrame) -> DataFrame:
     parts = prints.groupBy(F.pmod(F.spark_partition_id(), F.lit(MERGE_GROUPS)).alias("part")).agg(
         F.expr(f"approx_top_k_accumulate(digest, {COUNTERS})").alias("summary"), F.count("*").alias("n")
     )
-    merged = parts.agg(
+    # grouped by a value that is the same for all: without a group, tasks that got no summary would add one of no type
+    merged = parts.groupBy((F.col("part") >= 0).alias("all")).agg(
         F.expr(f"approx_top_k_combine(summary, {COUNTERS})").alias("summary"), F.sum("n").alias("n")
     )
     return (
-        merged.where("n > 0")
-        .select("n", F.explode(F.expr(f"approx_top_k_estimate(summary, {MOST_HOT})")).alias("top"))
+        merged.select("n", F.explode(F.expr(f"approx_top_k_estimate(summary, {MOST_HOT})")).alias("top"))
         .where((F.col("top.count") > 1) & (F.col("top.count") >= F.col("n") * HOT_SHARE))
         .select(F.col("top.item").alias("digest"))
     )
