@@ -42,7 +42,7 @@ def cut(df: DataFrame) -> DataFrame:
 def stored(df: DataFrame, name: str = "stored") -> DataFrame:
     """The rows of ``df``, written to the shared folder as Parquet and read again."""
     path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

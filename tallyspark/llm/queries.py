@@ -5,7 +5,10 @@ from __future__ import annotations
 from tallyspark.llm.decontaminate import op8
 from tallyspark.llm.exact_dedup import OP2_SQL, op2
 from tallyspark.llm.language_id import op1
+from tallyspark.llm.language_model import op9
+from tallyspark.llm.licenses import op10
 from tallyspark.llm.mixing import OP7_SQL, op7
+from tallyspark.llm.quality import op6
 from tallyspark.llm.simhash import op5
 from tallyspark.llm.warc import OP4_SQL, op4
 
@@ -14,8 +17,11 @@ QUERIES = {
     "op2_exact_dedup": op2,
     "op4_warc": op4,
     "op5_simhash_near_dedup": op5,
+    "op6_quality": op6,
     "op7_mixing": op7,
     "op8_decontamination": op8,
+    "op9_language_model": op9,
+    "op10_licenses": op10,
 }
 
 ORACLES = {
