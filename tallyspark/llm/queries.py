@@ -8,6 +8,7 @@ from tallyspark.llm.language_id import op1
 from tallyspark.llm.language_model import op9
 from tallyspark.llm.licenses import op10
 from tallyspark.llm.mixing import OP7_SQL, op7
+from tallyspark.llm.pii import op3
 from tallyspark.llm.quality import op6
 from tallyspark.llm.simhash import op5
 from tallyspark.llm.warc import OP4_SQL, op4
@@ -15,6 +16,7 @@ from tallyspark.llm.warc import OP4_SQL, op4
 QUERIES = {
     "op1_language_id": op1,
     "op2_exact_dedup": op2,
+    "op3_pii": op3,
     "op4_warc": op4,
     "op5_simhash_near_dedup": op5,
     "op6_quality": op6,
