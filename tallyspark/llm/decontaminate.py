@@ -158,7 +158,8 @@ class Index:
         return shared / sum(own.values())
 
     def matches(self, texts: list[str | None]) -> list[list[tuple[int, int, int, float]]]:
-        """Per text (item, first word, end word, similarity) of the best place of every item with a similarity of at least LEAST.
+        """Per text (item, first word, end word, similarity) of the best place of every item with a similarity of at least LEAST,
+        in the order of the items.
 
         Texts are put end to end, about BATCH_WORDS words at a time, and windowed together; a window never
         reaches into the next text.
@@ -206,7 +207,10 @@ class Index:
                         if alike >= LEAST and alike > best[owner].get(n, (0.0, 0))[0]:
                             best[owner][n] = (alike, start - first)
         return [
-            sorted((self.ids[n], max(0, start), min(int(size), start + self.lengths[n]), float(alike)) for n, (alike, start) in own.items())
+            [
+                (self.ids[n], max(0, start), min(int(size), start + self.lengths[n]), float(alike))
+                for n, (alike, start) in sorted(own.items())
+            ]
             for own, size in zip(best, lengths, strict=True)
         ]
 

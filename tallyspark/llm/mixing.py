@@ -90,7 +90,7 @@ def copies(
         F.coalesce(F.sum("n").over(so_far("source_key", "class", "bucket")), F.lit(0)).alias("bucket_start"),
     ).join(class_starts, ["source_key", "class"])
 
-    here = W.partitionBy("source_key", "class", "bucket").orderBy("hash", "size", "id")
+    here = W.partitionBy("source_key", "class", "bucket").orderBy("hash", "size", "id", "key")
     crossed = lambda place: F.floor(F.col("rate") * place + F.col("start"))
     return (
         placed.withColumn("number", F.row_number().over(here)).join(starts, ["source_key", "class", "bucket"])
@@ -103,13 +103,13 @@ def copies(
 def mixed(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", source_column: str = "source", **options) -> DataFrame:
     """``docs`` with each row as often as the mix takes it, and copy_no, counted from 1 (with underscores if the name is taken)."""
     keyed, key = common.row_keyed(docs)
-    number = common.fresh(docs, "copy_no")
+    number, numbers = common.fresh(docs, "copy_no"), common.fresh(docs, "_copy_numbers")
     taken = copies(keyed, key, id_column, text_column, source_column, **options).where("copies > 0").select(
-        F.col("key").alias(key), F.sequence(F.lit(1), F.col("copies").cast("int")).alias("copy_numbers_of_row")
+        F.col("key").alias(key), F.sequence(F.lit(1), F.col("copies").cast("int")).alias(numbers)
     )
     both = keyed.join(taken.hint("shuffle_hash"), key)
     return both.select(
-        *[F.col(f"`{c}`") for c in docs.columns], F.explode("copy_numbers_of_row").alias(number)
+        *[F.col(f"`{c}`") for c in docs.columns], F.explode(numbers).alias(number)
     )
 
 
