@@ -19,6 +19,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -26,7 +27,7 @@ from pyspark.sql import types as T
 from tallyspark.llm import common, words
 
 #: Documents of a chunk, and bytes of text for each hash range of the counts.
-CHUNK_ROWS, RANGE_BYTES = 2_048, 8 << 20
+CHUNK_ROWS, RANGE_BYTES = 4_096, 8 << 20
 #: Role of a text: only scored; counted; counted, and held out while the weights are learned.
 SCORED, COUNTED, HELD_OUT = 0, 1, 2
 HELD_OUT_PARTS, ROUNDS = 8, 40
@@ -83,42 +84,43 @@ class Counted:
         return word, np.roll(word, 1), placed[self.n_words :][self.pair_of]
 
 
-def packed(counts: np.ndarray) -> bytes:
-    small = not len(counts) or counts.max() < 1 << 32
-    return counts.astype(np.uint32 if small else np.uint64).tobytes()
+def packed(values: np.ndarray) -> bytes:
+    """Whole numbers of the least width that holds them, byte by byte, compressed: the high bytes are mostly equal."""
+    width = next(w for w in (1, 2, 4, 8) if not len(values) or int(values.max()) < 1 << 8 * w)
+    planes = values.astype(f"<u{width}").view(np.uint8).reshape(-1, width).T
+    return bytes([width]) + zstandard.ZstdCompressor(level=1).compress(planes.tobytes())
 
 
-def unpacked(data: bytes, count: int) -> np.ndarray:
-    return np.frombuffer(data, np.uint64 if len(data) == 8 * count else np.uint32).astype(np.int64)
+def unpacked(data: bytes, kind=np.int64) -> np.ndarray:
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data[1:]), np.uint8).reshape(data[0], -1)
+    return np.ascontiguousarray(planes.T).view(f"<u{data[0]}").ravel().astype(kind)
 
 
-REQUEST = "file long, chunk long, low long, high long, bucket long, keys binary, counted binary, held_out binary"
-ANSWER = (
-    "file long, chunk long, low long, high long, bucket long, n int, totals binary, held_out binary, "
-    "tokens long, held_out_tokens long, distinct_words long"
-)
+#: The texts that are held out have requests of their own, so that learning the weights reads them alone.
+PLACE = "file long, chunk long, apart boolean, low long, high long, bucket long, "
+REQUEST = PLACE + "steps binary, counted binary"
+ANSWER = PLACE + "totals binary, held_out binary, tokens long, held_out_tokens long, distinct_words long"
 
 
 def requests(buckets: int):
-    """Of each chunk, or part of it that a task sees: its keys and counts, cut into hash ranges."""
+    """Of each chunk, or part of it that a task sees: its keys, as steps from one to the next, and counts, cut into hash ranges."""
 
     def apply(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for (file, chunk), rows in batch.groupby(["file", "chunk"], sort=False):
+            for (file, chunk, apart), rows in batch.groupby(["file", "chunk", "apart"], sort=False):
                 rows = rows.sort_values("at")
                 own = Counted.of(rows["text"].tolist())
-                role = rows["role"].to_numpy()
-                counted, held_out = own.counts(role >= COUNTED), own.counts(role == HELD_OUT)
+                counted = own.counts(rows["counts"].to_numpy(bool))
                 bucket = bucket_of(own.keys, buckets)
                 starts = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
                 ends = np.r_[starts[1:], len(bucket)]
                 low, high = int(rows["at"].iloc[0]), int(rows["at"].iloc[-1])
                 yield pd.DataFrame(
                     [
-                        (file, chunk, low, high, int(bucket[a]), own.keys[a:b].tobytes(), packed(counted[a:b]), packed(held_out[a:b]))
+                        (file, chunk, apart, low, high, int(bucket[a]), packed(np.diff(own.keys[a:b], prepend=np.uint64(0))), packed(counted[a:b]))
                         for a, b in zip(starts, ends, strict=True)
                     ],
-                    columns=["file", "chunk", "low", "high", "bucket", "keys", "counted", "held_out"],
+                    columns=["file", "chunk", "apart", "low", "high", "bucket", "steps", "counted"],
                 )
 
     return apply
@@ -130,34 +132,33 @@ def bucket_of(keys: np.ndarray, buckets: int) -> np.ndarray:
 
 def answers(rows: pd.DataFrame) -> pd.DataFrame:
     """Adds up one hash range and answers each request in its order; the first answer carries the range's sums."""
-    keys = [np.frombuffer(k, np.uint64) for k in rows["keys"]]
-    sizes = [len(k) for k in keys]
+    keys = [np.cumsum(unpacked(k, np.uint64)) for k in rows["steps"]]
+    sizes = np.array([len(k) for k in keys])
     distinct, at = np.unique(np.concatenate(keys), return_inverse=True)
-    ends = np.cumsum(sizes)
-    out = rows[["file", "chunk", "low", "high", "bucket"]].assign(n=sizes)
-    is_word = (distinct & PAIR) == 0
-    sums = []
-    for source, name in (("counted", "totals"), ("held_out", "held_out")):
-        total = np.zeros(len(distinct), np.int64)
-        np.add.at(total, at, np.concatenate([unpacked(c, n) for c, n in zip(rows[source], sizes, strict=True)]))
-        out[name] = [packed(total[at[e - n : e]]) for e, n in zip(ends, sizes, strict=True)]
-        sums.append(total[is_word])
-    first = np.arange(len(rows)) == 0
-    return out.assign(
-        tokens=first * int(sums[0].sum()), held_out_tokens=first * int(sums[1].sum()), distinct_words=first * int((sums[0] > 0).sum())
+    counted = np.concatenate([unpacked(c) for c in rows["counted"]])
+    apart = rows["apart"].to_numpy(bool)
+    add = lambda n: np.bincount(at, n, len(distinct)).astype(np.int64)  # noqa: E731  (exact below 2^53)
+    total, held_out = add(counted), add(counted * np.repeat(apart, sizes))
+    of = list(zip(np.cumsum(sizes) - sizes, np.cumsum(sizes), apart, strict=True))
+    first, is_word = np.arange(len(rows)) == 0, (distinct & PAIR) == 0
+    return rows[["file", "chunk", "apart", "low", "high", "bucket"]].assign(
+        totals=[packed(total[at[a:b]]) for a, b, _ in of],
+        held_out=[packed(held_out[at[a:b]]) if x else None for a, b, x in of],
+        tokens=first * int(total[is_word].sum()), held_out_tokens=first * int(held_out[is_word].sum()),
+        distinct_words=first * int((total[is_word] > 0).sum()),
     )
 
 
-def parts(docs: pd.DataFrame, answered: pd.DataFrame) -> Iterator[tuple[pd.DataFrame, Counted, np.ndarray, np.ndarray]]:
-    """The parts of a chunk as they were asked for, with their totals: all counted texts, and held-out ones."""
+def parts(docs: pd.DataFrame, answered: pd.DataFrame) -> Iterator[tuple[pd.DataFrame, Counted, pd.DataFrame]]:
+    """The parts of a chunk as they were asked for, with their answers in order."""
     docs = docs.sort_values("at")
     for (low, high), own in answered.groupby(["low", "high"]):
         rows = docs[(docs["at"] >= low) & (docs["at"] <= high)]
-        own = own.sort_values("bucket")
-        totals, held_out = (
-            np.concatenate([unpacked(d, n) for d, n in zip(own[c], own["n"], strict=True)]) for c in ("totals", "held_out")
-        )
-        yield rows, Counted.of(rows["text"].tolist()), totals, held_out
+        yield rows, Counted.of(rows["text"].tolist()), own.sort_values("bucket")
+
+
+def whole(answers_of_part: pd.Series) -> np.ndarray:
+    return np.concatenate([unpacked(d) for d in answers_of_part])
 
 
 def bucket_of_count(count: np.ndarray) -> np.ndarray:
@@ -178,12 +179,9 @@ def held_out_bins(n_rest: int):
 
     def apply(docs: pd.DataFrame, answered: pd.DataFrame) -> pd.DataFrame:
         found = [np.zeros(0, np.int64)]
-        for rows, own, totals, held_out in parts(docs, answered):
-            word, before, pair = own.of_tokens(totals - held_out)
-            mine = np.repeat(rows["role"].to_numpy() == HELD_OUT, own.sizes)
-            word, before, pair = word[mine], before[mine], pair[mine]
-            code = bucket_of_count(before) << 20 | (bins(share(pair, before)) + 1) << 10 | (bins(share(word, n_rest)) + 1)
-            found.append(code)
+        for _, own, told in parts(docs, answered):
+            word, before, pair = own.of_tokens(whole(told["totals"]) - whole(told["held_out"]))
+            found.append(bucket_of_count(before) << 20 | (bins(share(pair, before)) + 1) << 10 | (bins(share(word, n_rest)) + 1))
         code, n = np.unique(np.concatenate(found), return_counts=True)
         return pd.DataFrame({"code": code, "n": n})
 
@@ -237,26 +235,30 @@ def scored(docs: DataFrame, role: str, id_column: str = "doc_id", text_column: s
     scored each. An empty table gives no rows. Other columns are not looked at.
     """
     keyed, key = common.row_keyed(docs)
+    given = F.coalesce(F.col(f"`{role}`").cast("int"), F.lit(SCORED))
     rows = keyed.select(
-        F.col(f"`{key}`.file").alias("file"), F.floor(F.col(f"`{key}`.at") / CHUNK_ROWS).alias("chunk"), F.col(f"`{key}`.at").alias("at"),
-        F.col(f"`{id_column}`").alias("id"), F.coalesce(F.col(f"`{role}`").cast("int"), F.lit(SCORED)).alias("role"),
+        F.col(f"`{key}`.file").alias("file"), F.floor(F.col(f"`{key}`.at") / CHUNK_ROWS).alias("chunk"), (given == HELD_OUT).alias("apart"),
+        F.col(f"`{key}`.at").alias("at"), F.col(f"`{id_column}`").alias("id"), given.alias("role"), (given >= COUNTED).alias("counts"),
         common.text_of(text_column).alias("text"),
     )
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    asked = rows.drop("id").mapInPandas(requests(max(1, -(-size // RANGE_BYTES))), REQUEST)
+    asked = rows.drop("id", "role").mapInPandas(requests(max(1, -(-size // RANGE_BYTES))), REQUEST)
     answered = common.stored(asked.groupBy("bucket").applyInPandas(answers, ANSWER), "counts")
     sums = answered.agg(F.sum("tokens"), F.sum("held_out_tokens"), F.sum("distinct_words")).first()
     tokens, held_out, distinct = (int(x or 0) for x in sums)
 
-    chunks, of_chunks = rows.groupBy("file", "chunk"), answered.groupBy("file", "chunk")
-    histogram = chunks.cogroup(of_chunks).applyInPandas(held_out_bins(tokens - held_out), "code long, n long")
+    def with_answers(some: DataFrame, told: DataFrame, function, schema) -> DataFrame:
+        of = ["file", "chunk", "apart"]
+        return some.groupBy(*of).cogroup(told.groupBy(*of)).applyInPandas(function, schema)
+
+    histogram = with_answers(rows.where("apart"), answered.where("apart"), held_out_bins(tokens - held_out), "code long, n long")
     learned = histogram.groupBy("code").agg(F.sum("n").alias("n")).toPandas()  # bounded by buckets times bins
     model = Model(learned_weights(learned["code"].to_numpy(np.int64), learned["n"].to_numpy(np.float64), distinct), tokens, distinct)
 
-    def score(some: pd.DataFrame, totals_of: pd.DataFrame) -> pd.DataFrame:
+    def score(some: pd.DataFrame, answers_of: pd.DataFrame) -> pd.DataFrame:
         out = []
-        for part, own, totals, _ in parts(some, totals_of):
-            known, base, chance = model.scores(own, totals)
+        for part, own, told in parts(some, answers_of):
+            known, base, chance = model.scores(own, whole(told["totals"]))
             out.append(part[["id", "role"]].assign(
                 n_tokens=own.sizes, n_known=known, train_tokens=model.tokens, base_score=base, score=chance
             ))
@@ -267,7 +269,7 @@ def scored(docs: DataFrame, role: str, id_column: str = "doc_id", text_column: s
         *[T.StructField(c, T.LongType()) for c in ("n_tokens", "n_known", "train_tokens")],
         T.StructField("base_score", T.DoubleType()), T.StructField("score", T.DoubleType()),
     ])
-    return chunks.cogroup(of_chunks).applyInPandas(score, result)
+    return with_answers(rows.drop("counts"), answered.drop("held_out"), score, result)
 
 
 def op9(spark: SparkSession, folder: str) -> DataFrame:
