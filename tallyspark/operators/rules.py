@@ -89,8 +89,16 @@ def enforce_constraints(df: DataFrame, rules: Iterable[Rule], mode: str = "quara
     ``fail`` puts the check into the plan of the kept rows: the job raises on
     the first breaking row, and no extra pass is made.
     """
-    rules = list(rules)
-    judged = df.withColumn("errors", broken_messages(rules))
+    return split_judged(with_errors(df, rules), mode)
+
+
+def with_errors(df: DataFrame, rules: Iterable[Rule]) -> DataFrame:
+    """``df`` with the messages of the rules each row breaks in ``errors``."""
+    return df.withColumn("errors", broken_messages(list(rules)))
+
+
+def split_judged(judged: DataFrame, mode: str = "quarantine") -> tuple[DataFrame, DataFrame]:
+    """Kept and breaking rows of a frame with ``errors``, which is best written once before."""
     holds = F.size("errors") == 0
     if mode == "quarantine":
         return judged.where(holds).drop("errors"), judged.where(~holds)

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from tallyspark.operators.joins import missing_from
-from tallyspark.operators.rules import enforce_constraints, table_constraints
+from tallyspark.operators.rules import split_judged, table_constraints, with_errors
 from tallyspark.plans.dimensions import (
     CALENDAR_END, CALENDAR_START, DIMENSIONS, calendar, extend_calendar, incoming_rows, upsert_dimension,
 )
@@ -78,7 +78,7 @@ def ingest(
         rows = add_lineage(read_export(store.spark, path, spec, strict, multi_line), spec, batch_id)
         received, loaded = append_raw(store, rows, spec)
     except Exception as exc:
-        ledger.fail(batch_id, spec.table, str(exc)[:2000])
+        ledger.fail(batch_id, spec.table, str(exc))
         raise
     ledger.complete(batch_id, spec.table, received, loaded, received - loaded)
     return batch_id
@@ -121,12 +121,18 @@ def load_dimensions(store: TableStore, start: dt.date = CALENDAR_START, end: dt.
         store.replace(upsert_dimension(name, incoming, store.read("core", name)), "core", name)
 
 
-# fact -> (staging of its parent, key of the parent in both): a changed parent changes its lines
+# fact -> (staging of a parent, key of the parent there, the same key in the fact's staging): a changed parent changes its lines
 PARENTS = {
-    "fact_sales": ("stg_order", "order_id"),
-    "fact_return_items": ("stg_return", "return_id"),
-    "fact_purchases": ("stg_purchase", "purchase_id"),
+    "fact_sales": (("stg_order", "order_id", "order_id"),),
+    "fact_return_items": (
+        ("stg_return", "return_id", "return_id"),
+        ("stg_order_item", "order_item_id", "order_item_id"),  # quantity and cogs sold
+        ("stg_product", "product_id", "product_id"),  # present cost price
+    ),
+    "fact_purchases": (("stg_purchase", "purchase_id", "purchase_id"),),
 }
+# fact -> parents that reach it through another staging: (staging, its key, the staging between, key in that, key it has in common with the fact's)
+THROUGH = {"fact_return_items": (("stg_order", "order_id", "stg_order_item", "order_id", "order_item_id"),)}
 
 
 def _of_batches(tables: Mapping[str, DataFrame], fact: str, batches: Sequence[str]) -> Mapping[str, DataFrame]:
@@ -135,10 +141,15 @@ def _of_batches(tables: Mapping[str, DataFrame], fact: str, batches: Sequence[st
     staged, key = tables[spec.staging], spec.staging_key
     in_batch = F.col("ingestion_batch_id").isin(*batches)
     touched = staged.where(in_batch).select(key)
-    if fact in PARENTS and PARENTS[fact][0] in tables:
-        parent, parent_key = PARENTS[fact]
-        parents = tables[parent].where(in_batch).select(parent_key)
-        touched = touched.unionByName(staged.join(parents, parent_key, "left_semi").select(key))
+    for parent, parent_key, own_key in PARENTS.get(fact, ()):
+        if parent in tables and own_key in staged.columns:
+            parents = tables[parent].where(in_batch).select(F.col(parent_key).alias(own_key))
+            touched = touched.unionByName(staged.join(parents, own_key, "left_semi").select(key))
+    for parent, parent_key, between, between_key, own_key in THROUGH.get(fact, ()):
+        if parent in tables and between in tables and own_key in staged.columns:
+            parents = tables[parent].where(in_batch).select(F.col(parent_key).alias(between_key))
+            lines = tables[between].join(parents, between_key, "left_semi").select(own_key)
+            touched = touched.unionByName(staged.join(lines, own_key, "left_semi").select(key))
     return ChainMap({spec.staging: staged.join(touched, key, "left_semi")}, tables)
 
 
@@ -150,7 +161,8 @@ def load_facts(
 
     Without ``batches`` all accepted rows are loaded again, which also picks
     up rows whose dimension arrived late. With them only the keys those
-    batches touch are, directly or through their order, return or purchase.
+    batches touch are, directly or through what they depend on (PARENTS, THROUGH).
+    Each fact is computed and judged once, written aside, and split from there.
     """
     stored = StoredTables(store)
     for name, spec in FACTS.items():
@@ -158,9 +170,14 @@ def load_facts(
             continue
         tables = stored if batches is None else _of_batches(stored, name, batches)
         rows = spec.load(tables)
+        if name == "fact_return_items":
+            # lines have no date of their own; they lie in the month of their return
+            month = F.floor(F.col("date_key") / 100).cast("int").alias(MONTH)
+            rows = rows.join(stored["fact_returns"].select("return_id", month), "return_id")
         rules = table_constraints().get(name)
         if rules:
-            rows, broken = enforce_constraints(rows, rules, constraints)
+            judged = store.aside(with_errors(rows, rules), "core", f"{name}__judged")
+            rows, broken = split_judged(judged, constraints)
             if constraints == "quarantine":
                 report = broken.select(
                     F.lit(name).alias("table_name"),
@@ -172,10 +189,6 @@ def load_facts(
                 if known is not None:
                     report = missing_from(report, known, ["table_name", "business_key", "ingestion_batch_id"])
                 store.append(report, "ops", VIOLATIONS)
-        if name == "fact_return_items":
-            # lines have no date of their own; they lie in the month of their return
-            month = F.floor(F.col("date_key") / 100).cast("int").alias(MONTH)
-            rows = rows.join(stored["fact_returns"].select("return_id", month), "return_id")
         store.merge_by_month(rows, "core", name, spec.business_key, spec.key_column)
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,6 +12,9 @@ from tallyspark.operators.upsert import keyed_rows
 
 MONTH = "load_month"
 LAYERS = ("raw", "staging", "core", "analytics", "ops")
+VERSION, POINTERS = "version", "_versions"
+#: States whose files stay, for readers that opened one of them.
+KEPT_STATES = 2
 
 
 class TableStore:
@@ -18,6 +22,13 @@ class TableStore:
 
     ``base`` has to be visible to every executor (a shared file system or
     object store).
+
+    Tables that are replaced or merged keep their files in version folders.
+    A state of such a table is a small pointer file that names the folders it
+    consists of; a write makes a new version beside the others and then puts
+    one pointer in place. Until then nothing has changed for anybody, so a
+    driver lost at any step leaves the old state, and the write can be run
+    again. Readers see one state, never parts of two.
     """
 
     def __init__(self, spark: SparkSession, base: str):
@@ -30,25 +41,27 @@ class TableStore:
         return f"{self.base}/{layer}/{table}"
 
     def exists(self, layer: str, table: str) -> bool:
-        jvm = self.spark.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(self.path(layer, table))
-        return path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(path)
+        fs, path = self._at(self.path(layer, table))
+        return fs.exists(path)
 
     def read(self, layer: str, table: str) -> DataFrame | None:
         """The table, or None when nothing was written yet."""
-        return self.spark.read.parquet(self.path(layer, table)) if self.exists(layer, table) else None
+        root = self.path(layer, table)
+        number, parts = self._state(layer, table)
+        if number:
+            paths = [f"{root}/{p}" for p in parts]
+            return self.spark.read.option("basePath", root).parquet(*paths).drop(VERSION) if parts else None
+        return self.spark.read.parquet(root) if self.exists(layer, table) else None
 
     def append(self, df: DataFrame, layer: str, table: str, partition_by: Sequence[str] = ()) -> None:
         df.write.mode("append").partitionBy(*partition_by).parquet(self.path(layer, table))
 
     def replace(self, df: DataFrame, layer: str, table: str) -> None:
-        """Swap the content of an unpartitioned table that ``df`` may be derived from.
-
-        The new content is written beside the table first, so the table is
-        never read and overwritten by one job, and a lost driver leaves a
-        whole copy behind.
-        """
-        self.aside(df, layer, f"{table}__next").write.mode("overwrite").parquet(self.path(layer, table))
+        """Swap the content of an unpartitioned table that ``df`` may be derived from."""
+        number, _ = self._state(layer, table)
+        part = f"{VERSION}={number + 1}"
+        df.write.mode("overwrite").parquet(f"{self.path(layer, table)}/{part}")
+        self._switch(layer, table, number + 1, [part])
 
     def merge_by_month(
         self,
@@ -64,10 +77,9 @@ class TableStore:
         A month is touched when a new row falls in it or when it holds the
         older version of a new row. The list of months is bounded by the
         calendar, so it may go through the driver; it becomes a partition
-        filter on the read and the set of partitions replaced by the write.
-        Rows equal to what is stored are left out first, so a load that repeats
-        old rows does not rewrite their months. A rerun after a lost driver
-        repeats the load and ends in the same rows.
+        filter on the read and the folders of the new version. Rows equal to
+        the one stored row of their key are left out first, so a load that
+        repeats old rows does not rewrite their months.
         """
         keys = list(keys)
         if MONTH not in incoming.columns:
@@ -76,47 +88,114 @@ class TableStore:
         # written before they are read several times: the plan behind a load is long
         loaded = self.aside(incoming, layer, f"{table}__load")
         if existing is not None:
-            loaded = _changed_rows(loaded, existing, keys)
+            loaded = changed_rows(loaded, existing, keys)
         loaded = self.aside(keyed_rows(existing, loaded, keys, key_column), layer, f"{table}__next")
+        number, parts = self._state(layer, table)
         if existing is None:
-            self._overwrite_months(loaded, layer, table)
+            self._write_months(loaded, layer, table, number + 1, [])
             return
-        new_keys = loaded.select(*keys)
-        new_months = _months(loaded)
-        old_months = _months(existing.join(new_keys, keys, "left_semi"))
-        touched = sorted(new_months | old_months)
-        kept = existing.where(F.col(MONTH).isin(touched)).join(new_keys, keys, "left_anti")
-        only_old = sorted(old_months - new_months)
-        vacated = set(only_old) - _months(kept.where(F.col(MONTH).isin(only_old))) if only_old else set()
-        empty = existing.where(F.lit(False)).drop(MONTH)
-        self._overwrite_months(kept.unionByName(loaded.select(*existing.columns)), layer, table)
-        for month in sorted(vacated):
-            empty.write.mode("overwrite").parquet(f"{self.path(layer, table)}/{MONTH}={month}")
+        touched = sorted(_months(loaded) | _months(existing.join(loaded.select(*keys), keys, "left_semi")))
+        if not touched:
+            return
+        if not number:  # written as plain month folders: all of it becomes a version
+            self._write_months(merged_rows(existing, loaded, keys), layer, table, 1, [])
+            return
+        untouched = [p for p in parts if int(p.rpartition("=")[2]) not in touched]
+        kept = existing.where(F.col(MONTH).isin(touched))
+        self._write_months(merged_rows(kept, loaded, keys), layer, table, number + 1, untouched)
 
     def aside(self, df: DataFrame, layer: str, table: str) -> DataFrame:
         """Write a frame under a side name and read it back, so that it is computed once."""
-        df.write.mode("overwrite").parquet(self.path(layer, table))
-        return self.spark.read.parquet(self.path(layer, table))
+        df.write.mode("overwrite").option("partitionOverwriteMode", "static").parquet(self.path(layer, table))
+        return self.spark.read.schema(df.schema).parquet(self.path(layer, table))
 
-    def _overwrite_months(self, df: DataFrame, layer: str, table: str) -> None:
+    def _write_months(self, df: DataFrame, layer: str, table: str, number: int, others: Sequence[str]) -> None:
+        """A new version of the months in ``df``, then a state of these and the ``others``."""
+        folder = f"{self.path(layer, table)}/{VERSION}={number}"
         # rebalancing splits a month that holds most of a load and joins small ones
         (
             df.hint("rebalance", MONTH)
             .write.mode("overwrite")
-            .option("partitionOverwriteMode", "dynamic")
+            .option("partitionOverwriteMode", "static")
             .partitionBy(MONTH)
-            .parquet(self.path(layer, table))
+            .parquet(folder)
         )
+        months = [n for n in self._names(folder) if n.startswith(f"{MONTH}=")]
+        self._switch(layer, table, number, sorted([*others, *(f"{VERSION}={number}/{m}" for m in months)]))
 
+    # pointer files --------------------------------------------------------------
 
-def _changed_rows(loaded: DataFrame, existing: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Rows that are new or differ from the stored row of their key in any column.
+    def _at(self, path: str):
+        jvm = self.spark.sparkContext._jvm
+        place = jvm.org.apache.hadoop.fs.Path(path)
+        return place.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), place
+
+    def _names(self, path: str) -> list[str]:
+        fs, place = self._at(path)
+        return [s.getPath().getName() for s in fs.listStatus(place)] if fs.exists(place) else []
+
+    def _states(self, layer: str, table: str) -> list[int]:
+        return sorted(int(n) for n in self._names(f"{self.path(layer, table)}/{POINTERS}") if n.isdigit())
+
+    def _parts(self, layer: str, table: str, number: int) -> list[str]:
+        fs, place = self._at(f"{self.path(layer, table)}/{POINTERS}/{number:09d}")
+        stream = fs.open(place)
+        try:
+            return json.loads(self.spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
+        finally:
+            stream.close()
+
+    def _state(self, layer: str, table: str) -> tuple[int, list[str]]:
+        """Number and folders of the present state; 0 for a table without states."""
+        numbers = self._states(layer, table)
+        return (numbers[-1], self._parts(layer, table, numbers[-1])) if numbers else (0, [])
+
+    def _switch(self, layer: str, table: str, number: int, parts: Sequence[str]) -> None:
+        """Put a pointer in place by a rename, then drop what no kept state names."""
+        folder = f"{self.path(layer, table)}/{POINTERS}"
+        fs, draft = self._at(f"{folder}/draft-{number}")
+        stream = fs.create(draft, True)
+        stream.write(bytearray(json.dumps(list(parts)).encode()))
+        stream.close()
+        if not fs.rename(draft, self._at(f"{folder}/{number:09d}")[1]):
+            raise RuntimeError(f"{table}: state {number} was written by somebody else")
+        self._drop_unused(layer, table)
+
+    def _drop_unused(self, layer: str, table: str) -> None:
+        root = self.path(layer, table)
+        numbers = self._states(layer, table)
+        used = {p for n in numbers[-KEPT_STATES:] for p in self._parts(layer, table, n)}
+        for version in [n for n in self._names(root) if n.startswith(f"{VERSION}=")]:
+            months = [f"{version}/{m}" for m in self._names(f"{root}/{version}") if m.startswith(f"{MONTH}=")]
+            gone = [m for m in months if m not in used] if months and version not in used else []
+            if len(gone) == len(months) and version not in used:
+                gone = [version]
+            for part in gone:
+                fs, place = self._at(f"{root}/{part}")
+                fs.delete(place, True)
+        for n in numbers[:-KEPT_STATES]:
+            fs, place = self._at(f"{root}/{POINTERS}/{n:09d}")
+            fs.delete(place, False)
+
+
+def merged_rows(existing: DataFrame, loaded: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Stored rows whose key is not loaded, and the loaded rows, one per key."""
+    return existing.join(loaded.select(*keys), list(keys), "left_anti").unionByName(loaded.select(*existing.columns))
+
+
+def changed_rows(loaded: DataFrame, existing: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Rows that are new, differ from the stored row of their key in any column, or have several stored rows.
 
     The stored rows are first cut to the keys of the load, which for a small
     load is a broadcast and no shuffle of the table.
     """
-    known = existing.join(loaded.select(*keys), list(keys), "left_semi")
-    stored = known.select(*[F.col(c).alias(f"__{c}") for c in loaded.columns])
+    keys = list(keys)
+    known = existing.join(loaded.select(*keys), keys, "left_semi").select(*loaded.columns)
+    # one row per key: a repeated key has no equal row
+    once = known.groupBy(*keys).agg(
+        F.count("*").alias("__rows"), F.first(F.struct(*[c for c in loaded.columns if c not in keys])).alias("__row")
+    ).where("__rows = 1")
+    stored = once.select(*[F.col(c).alias(f"__{c}") if c in keys else F.col("__row")[c].alias(f"__{c}") for c in loaded.columns])
     same = [
         F.col(c) == F.col(f"__{c}") if c in keys else F.col(c).eqNullSafe(F.col(f"__{c}")) for c in loaded.columns
     ]
