@@ -12,6 +12,7 @@ Everything is column expressions; documents are not shuffled, only the verified
 
 from __future__ import annotations
 
+import hashlib
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -20,7 +21,9 @@ from pyspark.sql import functions as F
 from tallyspark.llm import common
 
 SHINGLE, LEAST = 5, 0.8
-WINDOW, STRIDE, BANDS = 8, 4, 6
+STRIDE, BANDS = 4, 6
+#: A window is two blocks of STRIDE shingles.
+WINDOW = 2 * STRIDE
 #: Templates of fewer shingles are searched by single shingles: a window of WINDOW must fit in STRIDE places.
 LONG_TEMPLATE = WINDOW + STRIDE - 1
 #: Shingles around the stretch in which verification looks, for words put in or left out.
@@ -68,14 +71,21 @@ def shingles(words: Column) -> Column:
     return F.transform(upto(F.size(words) - SHINGLE + 1), lambda i: F.concat_ws(" ", F.slice(words, i + 1, SHINGLE)))
 
 
-def band_keys(hashed: Column, band: int, stride: int) -> Column:
-    """For the windows from shingle 0, stride, 2 stride ... on: the MinHash of the band, keyed by the band."""
-    starts = upto(F.floor((F.size(hashed) + stride - 1) / stride).cast("int"))
+def mask(band: int) -> Column:
+    """The band's permutation of hashes: they are spread already, so flipping a fixed set of bits reorders them."""
+    return F.lit(int.from_bytes(hashlib.md5(f"band {band}".encode()).digest()[:8], "big", signed=True))
 
-    def least_of(start: Column) -> Column:
-        return F.array_min(F.transform(F.slice(hashed, start * stride + 1, WINDOW), lambda h: F.xxhash64(h, F.lit(band))))
 
-    return F.transform(starts, lambda i: F.xxhash64(least_of(i), F.lit(band), F.lit(WINDOW)))
+def block_minima(hashed: Column, length: int, step: int, count: Column, band: int) -> Column:
+    """The band's least hash of ``count`` stretches of ``length`` shingles, ``step`` apart."""
+    return F.transform(upto(count), lambda i: F.array_min(
+        F.transform(F.slice(hashed, i * step + 1, length), lambda h: h.bitwiseXOR(mask(band)))
+    ))
+
+
+def window_keys(minima: Column) -> Column:
+    """The MinHash of each window of two neighbouring blocks, of the last block alone at the end."""
+    return F.transform(minima, lambda x, i: F.least(x, F.get(minima, i + 1)))
 
 
 def settled(df: DataFrame, name: str, value: Column) -> DataFrame:
@@ -92,8 +102,8 @@ def keyed_templates(spark: SparkSession, templates=TEMPLATES) -> tuple[DataFrame
     single = hashed.where(F.col("number") < LONG_TEMPLATE).select("template", "own", "number", F.posexplode("h").alias("shingle", "key"))
     windows = hashed.where(F.col("number") >= LONG_TEMPLATE)
     banded = reduce(DataFrame.union, [
-        windows.select("template", "own", "number", F.posexplode(band_keys(F.col("h"), b, 1)).alias("shingle", "key"))
-        .where(F.col("shingle") <= F.col("number") - WINDOW) for b in range(BANDS)
+        windows.select("template", "own", "number", F.posexplode(block_minima(F.col("h"), WINDOW, 1, F.col("number") - WINDOW + 1, b)).alias("shingle", "key"))
+        for b in range(BANDS)
     ])
     keys = single.union(banded)
     return keys, sorted({r["key"] for r in keys.select("key").collect()})
@@ -114,13 +124,14 @@ def scan(
     literal = F.array(*map(F.lit, keys)) if keys else F.array().cast("array<bigint>")
     plain = docs.select(F.col(f"`{key}`").alias("key"), F.col(f"`{id_column}`").alias("id"), common.text_of(text_column).alias("text"))
     hashed = settled(settled(plain, "words", words_of(F.col("text"))).drop("text"), "h", shingle_hashes(F.col("words")))
-    banded = settled(hashed, "bands", F.concat(*[band_keys(F.col("h"), b, STRIDE) for b in range(BANDS)]))
+    count = F.floor((F.size("h") + STRIDE - 1) / STRIDE).cast("int")
+    blocks = settled(hashed, "minima", F.array(*[block_minima(F.col("h"), STRIDE, STRIDE, count, b) for b in range(BANDS)]))
+    banded = settled(blocks, "bands", F.flatten(F.transform("minima", window_keys))).drop("minima")
     # most documents end here: nothing they hold is a key
     held = settled(banded, "met", F.array_intersect(F.concat("h", "bands"), literal)).where(F.size("met") > 0)
-    windows = F.floor((F.size("h") + STRIDE - 1) / STRIDE).cast("int")
     places = F.concat(
         F.transform("h", lambda x, i: F.struct(x.alias("key"), i.alias("at"))),
-        F.transform("bands", lambda x, i: F.struct(x.alias("key"), (F.pmod(i, windows) * STRIDE).alias("at"))),
+        F.transform("bands", lambda x, i: F.struct(x.alias("key"), (F.pmod(i, count) * STRIDE).alias("at"))),
     )
     met = held.select("key", "id", "words", F.explode(F.filter(places, lambda p: F.array_contains(F.col("met"), p["key"]))).alias("place"))
     candidates = met.join(F.broadcast(known.withColumnRenamed("key", "template_key")), F.col("place.key") == F.col("template_key")).select(
