@@ -79,6 +79,16 @@ def timed(build) -> float:
     return round(best, 3)
 
 
+def shared_folder(spark) -> str:
+    """BENCH_STORE or the checkpoint folder; a local session, whose tasks see local files, may use a temporary one."""
+    named = os.environ.get("BENCH_STORE") or spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named
+    if not spark.sparkContext.master.startswith("local["):
+        raise SystemExit("name a folder that all executors see in BENCH_STORE")
+    return tempfile.gettempdir()
+
+
 def main() -> None:
     folder = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
@@ -94,8 +104,7 @@ def main() -> None:
         times[name] = timed(lambda n=name: REGISTRY[n].build(spark, folder))
 
     start = time.perf_counter()
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    store = TableStore(spark, f"{shared}/bench-{uuid.uuid4()}" if shared else tempfile.mkdtemp(prefix="bench-"))
+    store = TableStore(spark, f"{shared_folder(spark)}/bench-{uuid.uuid4()}")
     tables = write_warehouse(store, TpchWarehouse(spark, folder))
     times["write_warehouse"] = round(time.perf_counter() - start, 3)
     for name, request in questions().items():

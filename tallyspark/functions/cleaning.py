@@ -172,8 +172,8 @@ def parse_amount(c: Column | str, to: str = MONEY) -> Column:
 
 
 def parse_quantity(c: Column | str) -> Column:
-    """Quantity with separators and accounting parentheses, three decimals."""
-    return parse_amount(c, QUANTITY)
+    """Quantity with separators and accounting parentheses, three decimals. A currency sign is no quantity."""
+    return F.when(~F.contains(clean_text(c), F.lit("$")), parse_amount(c, QUANTITY))
 
 
 def parse_boolean(c: Column | str) -> Column:

@@ -8,20 +8,20 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-NULL_SPREAD = 64
-
 
 def left_join_spread_nulls(
-    left: DataFrame, right: DataFrame, left_key: str, right_key: str, spread_by: str
+    left: DataFrame, right: DataFrame, left_key: str, right_key: str, spread_by: str, parts: int | None = None
 ) -> DataFrame:
     """Left outer join whose NULL-key rows do not meet in one task.
 
     A NULL key matches nothing, but all NULL-key rows hash to one partition.
     They get a second key part, taken from the row's own id ``spread_by``,
-    that the right side never has.
+    that the right side never has: one of ``parts``, as many as there are
+    shuffle partitions when not given.
     """
+    parts = parts or int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     spread = F.when(
-        F.col(left_key).isNull(), F.pmod(F.xxhash64(spread_by), F.lit(NULL_SPREAD)) + 1
+        F.col(left_key).isNull(), F.pmod(F.xxhash64(spread_by), F.lit(parts)) + 1
     ).otherwise(F.lit(0))
     marked = left.withColumn("__spread", spread)
     keyed = right.withColumn("__right_spread", F.lit(0).cast("bigint"))

@@ -152,6 +152,12 @@ def table_exists(spark: SparkSession, tables: Mapping[str, DataFrame] | None, na
     return _static(spark, f"table_exists:{name}", 0 if found else 1, f"{name} does not exist")
 
 
+def view_exists(spark: SparkSession, name: str) -> DataFrame:
+    """A view registered in the session catalog."""
+    found = spark.catalog.tableExists(name)
+    return _static(spark, f"view_exists:{name}", 0 if found else 1, f"{name} does not exist")
+
+
 def columns_exist(df: DataFrame, table: str, required: Sequence[str]) -> DataFrame:
     missing = sorted(set(required) - set(df.columns))
     return _static(df.sparkSession, f"required_columns:{table}", len(missing), f"{table} lacks {missing}")
@@ -192,22 +198,30 @@ CORE_TYPES = {
     "dim_product": "product_key bigint, product_id string, product_name string, category string, unit string,"
     " current_selling_price decimal(14,2), current_cost_price decimal(14,2), opening_stock decimal(14,3),"
     " reorder_level decimal(14,3), active string, valid_from timestamp, valid_to timestamp, is_current boolean",
-    "fact_orders": "order_id string, date_key int, customer_key bigint, subtotal decimal(14,2),"
+    "fact_orders": "order_key bigint, order_id string, date_key int, customer_key bigint, subtotal decimal(14,2),"
     " invoice_discount decimal(14,2), delivery_charge decimal(14,2), total_amount decimal(14,2), order_status string,"
     " collected_by string, source_created_at timestamp, " + _LINEAGE,
-    "fact_sales": "order_id string, order_item_id string, date_key int, customer_key bigint, product_key bigint,"
+    "fact_sales": "sales_key bigint, order_id string, order_item_id string, date_key int, customer_key bigint, product_key bigint,"
     " location_key bigint, quantity decimal(14,3), unit_price decimal(14,2), item_discount decimal(14,2),"
     " line_total decimal(14,2), gross_sales decimal(14,2), unit_cost decimal(14,2), cogs decimal(14,2), " + _LINEAGE,
 }
 CORE_NOT_NULL = {
-    "dim_date": "date_key date year quarter month month_number month_name week day day_name is_weekend",
-    "dim_customer": "customer_key customer_id customer_name valid_from is_current",
-    "dim_product": "product_key product_id product_name valid_from is_current",
-    "fact_orders": "order_id date_key subtotal invoice_discount delivery_charge total_amount order_status source_system"
-    " source_table ingestion_batch_id ingested_at",
-    "fact_sales": "order_id order_item_id date_key product_key location_key quantity unit_price item_discount line_total"
-    " gross_sales unit_cost cogs source_system source_table ingestion_batch_id ingested_at",
+    "dim_date": (
+        "date_key", "date", "year", "quarter", "month", "month_number", "month_name", "week", "day", "day_name", "is_weekend",
+    ),
+    "dim_customer": ("customer_key", "customer_id", "customer_name", "valid_from", "is_current"),
+    "dim_product": ("product_key", "product_id", "product_name", "valid_from", "is_current"),
+    "fact_orders": (
+        "order_key", "order_id", "date_key", "subtotal", "invoice_discount", "delivery_charge", "total_amount", "order_status",
+        "source_system", "source_table", "ingestion_batch_id", "ingested_at",
+    ),
+    "fact_sales": (
+        "sales_key", "order_id", "order_item_id", "date_key", "product_key", "location_key", "quantity", "unit_price",
+        "item_discount", "line_total", "gross_sales", "unit_cost", "cogs", "source_system", "source_table", "ingestion_batch_id",
+        "ingested_at",
+    ),
 }
+CORE_VIEWS = ("v_orders", "v_sales", "v_payments", "v_returns", "v_purchases", "v_daily_business_summary")
 CORE_TABLES = (
     "dim_date", "dim_customer", "dim_product", "dim_supplier", "dim_partner", "dim_location", "dim_cash_account",
     "fact_orders", "fact_sales", "fact_payments", "fact_purchases", "fact_returns", "fact_return_items",
@@ -216,28 +230,25 @@ CORE_TABLES = (
 
 
 def warehouse_structure(spark: SparkSession, tables: Mapping[str, DataFrame], verify_nulls: bool = True) -> DataFrame:
-    """Existence, types and required columns of the core tables.
+    """Existence, types and required columns of the core tables, and the views in the session catalog.
 
     Parquet marks every column nullable, so required columns are verified on
     the data: one scan per table, only of the columns concerned.
     """
-    from tallyspark.plans.views import SUMMARY, VIEWS
-
     reports = [table_exists(spark, tables, t) for t in CORE_TABLES]
-    for view in ("v_orders", "v_sales", "v_payments", "v_returns", "v_purchases", SUMMARY):
-        known = view in VIEWS or view == SUMMARY
-        reports.append(_static(spark, f"view_exists:{view}", 0 if known else 1, f"{view} does not exist"))
-    for name, ddl in CORE_TYPES.items():
-        if name in tables:
-            expected = {f.name: f.dataType.simpleString() for f in T.StructType.fromDDL(ddl)}
-            reports.append(column_types(tables[name], name, expected))
+    reports += [view_exists(spark, v) for v in CORE_VIEWS]
+    reports += [column_types(tables[name], name, core_types(name)) for name in CORE_TYPES if name in tables]
     if verify_nulls:
         for name, columns in CORE_NOT_NULL.items():
             if name in tables:
-                reports.append(run_table_checks(tables[name], [not_null(name, c) for c in columns.split()]))
+                reports.append(run_table_checks(tables[name], [not_null(name, c) for c in columns]))
     return stack_reports(reports)
 
 
+def core_types(name: str) -> dict[str, str]:
+    return {f.name: f.dataType.simpleString() for f in T.StructType.fromDDL(CORE_TYPES[name])}
+
+
 class CheckRegistry:
     """Named checks, each a function of the tables that gives report rows."""
 

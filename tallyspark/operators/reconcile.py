@@ -104,7 +104,7 @@ def warehouse_report(t: Tables, version_of: Callable[[str], Version] = lambda st
     ).withColumn("check_group", F.coalesce("check_group", F.lit("all")))
 
 
-# Fact -> foreign key -> dimension
+# Fact -> foreign key -> dimension, or the fact it belongs to
 FOREIGN_KEYS = {
     "fact_orders": {"date_key": "dim_date", "customer_key": "dim_customer"},
     "fact_sales": {
@@ -115,7 +115,7 @@ FOREIGN_KEYS = {
         "date_key": "dim_date", "customer_key": "dim_customer", "location_key": "dim_location",
         "cash_account_key": "dim_cash_account",
     },
-    "fact_return_items": {"product_key": "dim_product"},
+    "fact_return_items": {"product_key": "dim_product", "return_id": "fact_returns"},
     "fact_purchases": {
         "date_key": "dim_date", "supplier_key": "dim_supplier", "product_key": "dim_product", "location_key": "dim_location",
     },

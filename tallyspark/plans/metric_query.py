@@ -22,12 +22,11 @@ from tallyspark.functions.calendar import GRAIN_UNITS, time_bucket
 from tallyspark.operators.combine import combine_results
 from tallyspark.plans.metrics import FixedFilter, Metric, MetricRegistry, standard_registry
 from tallyspark.plans.timeranges import TimeRange, resolve
-from tallyspark.plans.views import SUMMARY, VIEWS, compose_view
+from tallyspark.plans.views import SUMMARY, TENANT, VIEWS, compose_view, has_tenant
 
 Tables = Mapping[str, DataFrame]
 
 PERIOD = "period"
-MAX_RESULT_ROWS = 1000  # fixed value: the cap a service applies to a result
 
 # dimensions that live in tables which may be too large to broadcast
 LARGE_DIMENSIONS = ("dim_customer", "dim_product")
@@ -197,15 +196,29 @@ def _one_view(
     all_joins = bool(request.options.get("all_joins"))
     if early and not all_joins:
         return _aggregate_before_join(tables, view, metrics, request, registry, bounds, columns, early)
-    rows = compose_view(tables, view, columns or ["date_key"], *bounds, all_joins=all_joins)
+    rows = _with_tenant(compose_view, request, tables, view, columns or ["date_key"], *bounds, all_joins=all_joins)
     rows = _filtered(rows, leaves, request)
     return _grouped(rows, view, metrics, request, registry)
 
 
+def _with_tenant(compose, request: MetricRequest, tables: Tables, view: str, columns: Sequence[str], *bounds, **options) -> DataFrame:
+    """The view with the tenant of each row where the request has one.
+
+    Facts that carry a ``tenant_id`` column say so themselves; for a warehouse
+    of one tenant the request's option ``view_tenant`` names it.
+    """
+    if request.tenant_id is None:
+        return compose(tables, view, columns, *bounds, **options)
+    if has_tenant(tables, view):
+        return compose(tables, view, [TENANT, *columns], *bounds, **options)
+    if "view_tenant" not in request.options:
+        raise InvalidRequest("the views carry no tenant")
+    return compose(tables, view, columns, *bounds, **options).withColumn(TENANT, F.lit(request.options["view_tenant"]))
+
+
 def _filtered(rows: DataFrame, leaves: Sequence[Metric], request: MetricRequest) -> DataFrame:
     if request.tenant_id is not None:
-        # the views of one warehouse all belong to one tenant
-        rows = rows.where(F.lit(request.options.get("view_tenant")) == F.lit(request.tenant_id))
+        rows = rows.where(F.col(TENANT) == request.tenant_id)
     for f in request.filters:
         rows = rows.where(filter_column(f))
     tests = [_holds(leaf.filters) for leaf in leaves]
@@ -219,11 +232,20 @@ def _grouped(
 ) -> DataFrame:
     keys = [F.col(d) for d in request.dimensions]
     if request.time_grain:
-        keys.append(time_bucket(request.time_grain, F.col(_date_column(view))).alias(PERIOD))
+        keys.append(_period(request, view))
     measures = [_aggregate(m, registry, bool(keys)).alias(m.output_field) for m in metrics]
     return rows.groupBy(*keys).agg(*measures) if keys else rows.agg(*measures)
 
 
+def _period(request: MetricRequest, view: str) -> Column:
+    """The bucket of a row's day, moved by the shift of an earlier period first."""
+    day = F.col(_date_column(view))
+    shift = request.options.get("period_shift")
+    if shift:
+        day = F.add_months(day, shift["months"]) if "months" in shift else F.date_add(day, shift["days"])
+    return time_bucket(request.time_grain, day).alias(PERIOD)
+
+
 def _decomposable(leaves: Sequence[Metric]) -> bool:
     return all(leaf.aggregation == "sum" and leaf.zero_if_no_data for leaf in leaves)
 
@@ -251,11 +273,11 @@ def _aggregate_before_join(
     first_columns += [k for k in dict.fromkeys(early.values()) if k not in first_columns]
     late = [f for f in request.filters if f.field in early]
     sooner = _changed(request, filters=[f for f in request.filters if f not in late])
-    rows = _filtered(compose_view(tables, view, first_columns, *bounds), list(leaves.values()), sooner)
+    rows = _filtered(_with_tenant(compose_view, request, tables, view, first_columns, *bounds), list(leaves.values()), sooner)
     inner_keys = [F.col(k) for k in dict.fromkeys(early.values())]
     inner_keys += [F.col(d) for d in request.dimensions if d not in early]
     if request.time_grain:
-        inner_keys.append(time_bucket(request.time_grain, F.col(_date_column(view))).alias(PERIOD))
+        inner_keys.append(_period(request, view))
     sums = []
     for name, leaf in leaves.items():
         holds = _holds(leaf.filters)
@@ -289,8 +311,6 @@ def metric_query(
     metrics = check_request(request, registry)
     if request.options.get("require_tenant") and request.tenant_id is None:
         raise InvalidRequest("an unscoped request is not allowed")
-    if request.tenant_id is not None and "view_tenant" not in request.options:
-        raise InvalidRequest("the views carry no tenant")
     bounds = resolve(request.time_range, today)
     by_view: dict[str, list[Metric]] = {}
     for m in metrics:
@@ -322,26 +342,30 @@ def compare_periods(
     tables: Tables, request: MetricRequest, mode: str, registry: MetricRegistry | None = None,
     today: dt.date | None = None,
 ) -> DataFrame:
-    """A request next to the same request one period or one year earlier (``previous_`` columns)."""
+    """A request next to the same request one period or one year earlier (``previous_`` columns).
+
+    With a time grain every earlier day counts in the bucket of the day it is compared with, so the
+    buckets of both periods meet.
+    """
     start, end = resolve(request.time_range, today)
     if start is None or end is None:
         raise InvalidRequest("a period comparison needs a range with both ends")
-    if request.time_grain is not None:
-        raise InvalidRequest("a period comparison has no time grain")
     if mode == "previous_period":
         days = end - start + dt.timedelta(days=1)
-        earlier = TimeRange(start=start - days, end=end - days)
+        earlier, shift = TimeRange(start=start - days, end=end - days), {"days": days.days}
     elif mode == "same_period_last_year":
-        earlier = TimeRange(start=_year_before(start), end=_year_before(end))
+        earlier, shift = TimeRange(start=_year_before(start), end=_year_before(end)), {"months": 12}
     else:
         raise InvalidRequest(f"unknown comparison: {mode}")
     registry = registry or standard_registry()
     names = [registry[m].output_field for m in request.metrics]
     plain = {"order_by": (), "limit": None, "row_cap": None}
     now = metric_query(tables, _changed(request, time_range=TimeRange(start=start, end=end), **plain), registry)
-    then = metric_query(tables, _changed(request, time_range=earlier, **plain), registry)
+    moved = {**request.options, "period_shift": shift}
+    then = metric_query(tables, _changed(request, time_range=earlier, options=moved, **plain), registry)
     then = then.withColumnsRenamed({n: f"previous_{n}" for n in names})
-    both = combine_results([(now, names), (then, [f"previous_{n}" for n in names])], list(request.dimensions))
+    keys = [*request.dimensions, *([PERIOD] if request.time_grain else [])]
+    both = combine_results([(now, names), (then, [f"previous_{n}" for n in names])], keys)
     return _sorted_and_cut(both, request)
 
 

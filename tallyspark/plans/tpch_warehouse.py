@@ -8,12 +8,14 @@ from other systems than text exports.
 from __future__ import annotations
 
 import datetime as dt
+from collections import ChainMap
 from collections.abc import Callable, Iterator, Mapping
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyspark.functions.cleaning import MONEY, QUANTITY
+from tallyspark.operators.upsert import assign_keys
 from tallyspark.plans.dimensions import calendar, load_dimension
 from tallyspark.plans.facts import FACTS
 
@@ -85,6 +87,11 @@ class TpchWarehouse(Mapping[str, DataFrame]):
     def __len__(self) -> int:
         return len(self._makers)
 
+    def with_keys(self, *facts: str) -> Mapping[str, DataFrame]:
+        """The tables, the given facts with their surrogate keys, which their plans leave out."""
+        keyed = {f: assign_keys(self[f], FACTS[f].business_key, FACTS[f].key_column) for f in facts}
+        return ChainMap(keyed, self)
+
     def _dimension(self, name: str, staging: str) -> DataFrame:
         partners = self["dim_partner"] if name == "dim_location" else None
         loaded_at = F.lit(LOADED_AT).cast("timestamp")

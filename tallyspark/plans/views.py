@@ -16,11 +16,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyspark.functions.calendar import key_day, literal_day_key
+from tallyspark.operators.joins import left_join_spread_nulls
 
 Tables = Mapping[str, DataFrame]
 
 FULL_CALENDAR = ("year", "quarter", "month", "month_name", "week", "day", "day_name", "is_weekend")
 SHORT_CALENDAR = ("year", "quarter", "month", "month_name")
+TENANT = "tenant_id"
 LINEAGE = ("source_system", "source_table", "source_row_identifier", "ingestion_batch_id", "ingested_at")
 
 
@@ -63,8 +65,8 @@ def _return_lines(t: Tables) -> DataFrame:
         "return_id", "date_key", "return_type", "order_id", "purchase_id", F.col("status").alias("return_status"),
         "customer_key", "location_key",
     )
-    # the month partition of a line is its own; days are limited by the return
-    return t["fact_return_items"].drop("load_month").join(parent, "return_id")
+    # a line lies in the month of its return, so a limit on days prunes its months too
+    return t["fact_return_items"].join(parent, "return_id")
 
 
 def _customer(*more: tuple[str, str]) -> Joined:
@@ -214,7 +216,7 @@ def compose_view(
         return summary if columns is None else summary.select(*columns)
     spec = VIEWS[name]
     wanted = list(spec.columns if columns is None else columns)
-    unknown = [c for c in wanted if c not in spec.columns]
+    unknown = [c for c in wanted if c not in spec.columns and not (c == TENANT and has_tenant(tables, name))]
     if unknown:
         raise ValueError(f"{name} has no column {unknown}")
 
@@ -230,7 +232,10 @@ def compose_view(
         side = tables[dim.table].select(
             F.col(dim.dim_key).alias(key), *[F.col(dim.columns[c]).alias(c) for c in needed if c != dim.fact_key]
         )
-        rows = rows.join(side, rows[dim.fact_key] == side[key], dim.how).drop(key)
+        if dim.how == "left":
+            rows = left_join_spread_nulls(rows, side, dim.fact_key, key, spec.leading[1]).drop(key)
+        else:
+            rows = rows.join(side, rows[dim.fact_key] == side[key], dim.how).drop(key)
     asked_parts = [c for c in spec.calendar if c in wanted]
     if asked_parts or all_joins:
         days = tables["dim_date"].select("date_key", F.col("date").alias(spec.date_column), *asked_parts)
@@ -243,6 +248,11 @@ def compose_view(
     return rows.select(*wanted)
 
 
+def has_tenant(tables: Tables, name: str) -> bool:
+    """Whether the rows behind a view say whose they are. The summary adds up all of them and does not."""
+    return name != SUMMARY and TENANT in VIEWS[name].base(tables).columns
+
+
 def for_tenant(view: DataFrame, tenant_id: str) -> DataFrame:
     """A view whose first column says whose rows they are."""
     return view.select(F.lit(tenant_id).alias("tenant_id"), "*")

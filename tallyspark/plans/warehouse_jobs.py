@@ -69,7 +69,7 @@ def append_raw(store: TableStore, rows: DataFrame, spec: EntitySpec) -> tuple[in
 
 def ingest(
     store: TableStore, entity: str, path: str | Sequence[str], batch_id: str | None = None, strict: bool = True,
-    multi_line: bool = True,
+    multi_line: bool | None = None,
 ) -> str:
     """Bring an export into the raw layer; returns the batch id."""
     spec, ledger = ENTITIES[entity], BatchLedger(store)

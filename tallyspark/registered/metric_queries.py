@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+from collections import ChainMap
 from dataclasses import replace
 
 from pyspark.sql import functions as F
@@ -12,6 +13,7 @@ from tallyspark.operators.combine import combine_results
 from tallyspark.plans.metric_query import Filter, MetricRequest, Sort, compare_periods, metric_query
 from tallyspark.plans.metrics import Metric, standard_registry
 from tallyspark.plans.timeranges import PRESETS, TimeRange, preset_bounds, preset_columns
+from tallyspark.plans.tpch_warehouse import TpchWarehouse
 from tallyspark.plans.views import VIEWS
 from tallyspark.registered.base import on_warehouse, register, table
 from tallyspark.registered.ctes import with_ctes
@@ -362,6 +364,26 @@ register(
     with_ctes(metric_sql(["total_expenses"], "v_expenses", ("paid_by",), None, "FALSE")),
 )
 
+
+
+def _two_tenants(w: TpchWarehouse):
+    """The warehouse as if two tenants shared it: odd days belong to one, even days to the other."""
+    owner = F.when(F.col("date_key") % 2 == 1, "t-1").otherwise("t-2").alias("tenant_id")
+    shared = {f: w[f].select("*", owner) for f in ("fact_expenses", "fact_sales", "fact_orders")}
+    return ChainMap(shared, w)
+
+
+for _name, _metrics, _view, _by in (
+    ("tenant_rows", ["total_expenses"], "v_expenses", "paid_by"),
+    ("tenant_rows_early_sum", ["gross_sales"], "v_sales", "product_name"),
+    ("tenant_rows_counted", ["number_of_orders"], "v_orders", "collected_by"),
+):
+    register(
+        _name,
+        on_warehouse(lambda w, m=_metrics, b=_by: metric_query(_two_tenants(w), MetricRequest(m, [b], tenant_id="t-2"))),
+        with_ctes(metric_sql(_metrics, _view, (_by,), None, "date_key % 2 = 0")),
+    )
+
 # period against period ---------------------------------------------------------------------
 
 _MARCH = TimeRange(start=dt.date(1997, 3, 1), end=dt.date(1997, 3, 31))
@@ -382,6 +404,30 @@ GROUP BY collected_by"""
         ),
     )
 
+_HALF = TimeRange(start=dt.date(1997, 1, 1), end=dt.date(1997, 6, 30))
+for _mode, _grain, _moved, _low, _high in (
+    ("same_period_last_year", "monthly", "CAST(order_date + INTERVAL 12 MONTH AS DATE)", "1996-01-01", "1996-06-30"),
+    ("previous_period", "weekly", "order_date + 181", "1996-07-04", "1996-12-31"),
+    ("previous_period", "daily", "order_date + 181", "1996-07-04", "1996-12-31"),
+):
+    _unit = {"monthly": "month", "weekly": "week", "daily": "day"}[_grain]
+    register(
+        f"compare_{_mode}_{_grain}",
+        on_warehouse(
+            lambda w, m=_mode, g=_grain: compare_periods(
+                w, MetricRequest(["number_of_orders"], ["collected_by"], time_grain=g, time_range=_HALF), m
+            )
+        ),
+        with_ctes(
+            f"""SELECT collected_by, period, count(DISTINCT order_id) FILTER (now) AS number_of_orders,
+  count(DISTINCT order_id) FILTER (NOT now) AS previous_number_of_orders
+FROM (SELECT collected_by, order_id, order_date >= DATE '1997-01-01' AS now,
+  CAST(date_trunc('{_unit}', CASE WHEN order_date >= DATE '1997-01-01' THEN order_date ELSE {_moved} END) AS DATE) AS period
+  FROM v_orders WHERE order_date BETWEEN DATE '1997-01-01' AND DATE '1997-06-30'
+    OR order_date BETWEEN DATE '{_low}' AND DATE '{_high}') GROUP BY collected_by, period"""
+        ),
+    )
+
 # joins kept or left out give the same rows
 register(
     "metric_all_joins",

@@ -26,23 +26,34 @@ _TERMS = {
     "  ": ("invalid", None, None),
     "Total_Returns": ("resolved", "total_returns", None),
 }
-_SAID = "CASE event_id % 11 " + " ".join(f"WHEN {i} THEN '{t}'" for i, t in enumerate(_TERMS)) + " END"
+# what users say stands in the parts: a known phrase, written in several ways, for some, the part's own name for the others
+_WRITTEN = "CASE p_size % 4 WHEN 0 THEN upper({0}) WHEN 1 THEN lower({0}) WHEN 2 THEN '  ' || replace({0}, ' ', '_') || ' ' ELSE {0} END"
 
 
-def _pick(values, kind: str = "VARCHAR") -> str:
-    cases = " ".join(f"WHEN {i} THEN {v}" for i, v in enumerate(values) if v is not None)
-    return f"CASE event_id % 11 {cases} END"
+def _said(terms) -> str:
+    phrase = "CASE p_partkey % 13 " + " ".join(f"WHEN {i} THEN '{t}'" for i, t in enumerate(terms)) + " END"
+    return f"CASE WHEN p_partkey % 13 < {len(terms)} THEN {_WRITTEN.format(f'({phrase})')} ELSE p_name END"
 
 
+def _pick(values, otherwise: str = "NULL") -> str:
+    cases = " ".join(f"WHEN {i} THEN {v or 'NULL'}" for i, v in enumerate(values))
+    return f"CASE p_partkey % 13 {cases} ELSE {otherwise} END"
+
+
+_SAID = _said(_TERMS)
+# two blanks written with underscores are a term that nobody knows, not a missing one
+_STATUS = _pick(
+    ["CASE WHEN p_size % 4 = 2 THEN 'not_found' ELSE 'invalid' END" if t == "  " else f"'{v[0]}'" for t, v in _TERMS.items()], "'not_found'"
+)
 register(
     "resolve_metric_terms",
     lambda spark, folder: rs.resolve_metrics(
-        table("events")(spark, folder).selectExpr("event_id", f"{_SAID} AS term"), "term",
+        table("part")(spark, folder).selectExpr("p_partkey", f"{_SAID} AS term"), "term",
         rs.metric_vocabulary(spark, standard_registry()),
-    ).select("event_id", "status", "resolved", F.array_join("candidates", ", ").alias("candidates")),
-    f"""SELECT event_id, {_pick([f"'{v[0]}'" for v in _TERMS.values()])} AS status,
+    ).select("p_partkey", "status", "resolved", F.array_join("candidates", ", ").alias("candidates")),
+    f"""SELECT p_partkey, {_STATUS} AS status,
   {_pick([f"'{v[1]}'" if v[1] else None for v in _TERMS.values()])} AS resolved,
-  {_pick([f"'{', '.join(v[2])}'" if v[2] else None for v in _TERMS.values()])} AS candidates FROM events""",
+  {_pick([f"'{', '.join(v[2])}'" if v[2] else None for v in _TERMS.values()])} AS candidates FROM part""",
 )
 
 _ALLOWED = ("customer_id", "customer_name", "product_name", "product_category", "location_name")
@@ -52,20 +63,20 @@ _DIM_TERMS = {
     "vendor": ("invalid", None), "supplier_name": ("invalid", None), "weather": ("not_found", None), "": ("invalid", None),
     "customer_id": ("resolved", "customer_id"), "SKU": ("resolved", "product_name"), "paid_by": ("invalid", None),
 }
-_DIM_SAID = "CASE event_id % 11 " + " ".join(f"WHEN {i} THEN '{t}'" for i, t in enumerate(_DIM_TERMS)) + " END"
+_DIM_SAID = _said(_DIM_TERMS)
 register(
     "resolve_dimension_terms",
     lambda spark, folder: rs.resolve_dimensions(
-        table("events")(spark, folder).selectExpr("event_id", f"{_DIM_SAID} AS term"), "term",
+        table("part")(spark, folder).selectExpr("p_partkey", f"{_DIM_SAID} AS term"), "term",
         rs.dimension_vocabulary(spark, standard_registry()), _ALLOWED,
-    ).select("event_id", "status", "resolved"),
-    f"""SELECT event_id, {_pick([f"'{v[0]}'" for v in _DIM_TERMS.values()])} AS status,
-  {_pick([f"'{v[1]}'" if v[1] else None for v in _DIM_TERMS.values()])} AS resolved FROM events""",
+    ).select("p_partkey", "status", "resolved"),
+    f"""SELECT p_partkey, {_pick([f"'{v[0]}'" for v in _DIM_TERMS.values()], "'not_found'")} AS status,
+  {_pick([f"'{v[1]}'" if v[1] else None for v in _DIM_TERMS.values()])} AS resolved FROM part""",
 )
 
 
 def _issues(spark, folder):
-    said = table("events")(spark, folder).selectExpr("event_id", f"{_SAID} AS term", f"{_DIM_SAID} AS dim")
+    said = table("part")(spark, folder).selectExpr("p_partkey", f"{_SAID} AS term", f"{_DIM_SAID} AS dim")
     registry = standard_registry()
     metrics = rs.resolve_metrics(said, "term", rs.metric_vocabulary(spark, registry))
     dims = rs.resolve_dimensions(said, "dim", rs.dimension_vocabulary(spark, registry), _ALLOWED)
@@ -77,8 +88,8 @@ register(
     "resolution_issues",
     _issues,
     f"""SELECT position, kind, status, count(*) AS issues FROM (
-SELECT 0 AS position, 'metric' AS kind, {_pick([f"'{v[0]}'" for v in _TERMS.values()])} AS status FROM events
-UNION ALL SELECT 1, 'dimension', {_pick([f"'{v[0]}'" for v in _DIM_TERMS.values()])} FROM events)
+SELECT 0 AS position, 'metric' AS kind, {_STATUS} AS status FROM part
+UNION ALL SELECT 1, 'dimension', {_pick([f"'{v[0]}'" for v in _DIM_TERMS.values()], "'not_found'")} FROM part)
 WHERE status <> 'resolved' GROUP BY position, kind, status""",
 )
 

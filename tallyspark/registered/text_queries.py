@@ -175,7 +175,7 @@ register(
     "parse_quantity", _number(cl.parse_quantity),
     _number_sql(
         f"{_PLAIN_CASES.replace('0.01', '0.005').replace('DECIMAL(3,2)', 'DECIMAL(4,3)')} WHEN 2 THEN {_GROUPED_V}"
-        f" WHEN 3 THEN {_GROUPED_V} WHEN 4 THEN -{_V} WHEN 5 THEN -{_V}", "7"),
+        f" WHEN 4 THEN -{_V}", "3, 5, 7"),
 )
 register(
     "parse_int",
@@ -206,6 +206,17 @@ register(
     "SELECT l_orderkey, sha256('flag=' || coalesce(CASE WHEN l_linenumber % 2 = 0 THEN l_returnflag END, '') || '|product='"
     " || CAST(l_partkey % 50 AS STRING)) AS hash FROM lineitem",
 )
+_ESCAPED_SQL = r"replace(replace({0}, '\', '\\'), '|', '\|')"
+register(
+    "row_hash_of_free_text",
+    # texts hold separators of their own: the tables of symbol pages are full of them
+    lambda spark, folder: table("documents")(spark, folder)
+    .select("doc_id", F.concat("text", F.lit("\\|"), "source").alias("note"), F.col("text").alias("body"))
+    .select("doc_id", row_hash(["note", "body"]).alias("hash")),
+    "SELECT doc_id, sha256('body=' || {} || '|note=' || {}) AS hash FROM documents".format(
+        _ESCAPED_SQL.format("text"), _ESCAPED_SQL.format("text || '\\|' || source")
+    ),
+)
 
 
 def _hash_dedupe(spark, folder):
@@ -278,12 +289,28 @@ register(
 
 # row validation ---------------------------------------------------------------------------
 
-# a cell that passes, by parser
+# what a row of each base table has to tell: a text, a number and a day (Spark and DuckDB read these alike)
+_REAL = {
+    "customer": ("c_name", "CAST(c_acctbal AS DECIMAL(14,2))", "DATE '1995-01-01' + CAST(c_custkey % 3000 AS INT)"),
+    "part": ("p_name", "CAST(p_retailprice AS DECIMAL(14,2))", "DATE '1995-01-01' + CAST(p_size * 40 AS INT)"),
+    "orders": ("o_orderpriority", "CAST(o_totalprice AS DECIMAL(14,2))", "CAST(o_orderdate AS DATE)"),
+    "events": ("event_type", "CAST(CAST(value AS DECIMAL(14,2)) + 1 AS DECIMAL(14,2))", "CAST(ts AS DATE)"),
+}
+_THOUSANDS = "CAST(k % 900 + 100 AS STRING) || ',' || lpad(CAST(k % 1000 AS STRING), 3, '0')"
+# a cell that passes, by parser, and the value it stands for
 _GOOD = {
-    "text": "'v' || CAST(k AS STRING)", "date_day_first": "'2024-03-05'", "date_month_first": "'2024-03-05'",
-    "timestamp_basic": "'2024-03-05 10:00:00'", "timestamp_wide": "'2024-03-05 10:00:00'", "int": "'5'",
-    "money": "'12.50'", "quantity": "'3.125'", "money_commas": "'1,012.50'", "quantity_commas": "'1,003.125'",
-    "money_dollars": "'$1,012.50'", "amount": "'(12.50)'", "quantity_signed": "'(3.5)'", "boolean": "'Yes'",
+    "text": ("txt || ' ' || CAST(k AS STRING)", "txt || ' ' || CAST(k AS STRING)"),
+    **{p: ("CAST(day AS STRING)", "day") for p in ("date_day_first", "date_month_first")},
+    **{p: ("CAST(day AS STRING) || ' 10:20:30'", "CAST(day AS TIMESTAMP)") for p in ("timestamp_basic", "timestamp_wide")},
+    "int": ("CAST(k % 1000 AS STRING)", "k % 1000"),
+    "money": ("CAST(num AS STRING)", "num"),
+    "quantity": ("CAST(k % 90 + 1 AS STRING) || '.125'", "k % 90 + 1.125"),
+    "money_commas": (f"{_THOUSANDS} || '.50'", "(k % 900 + 100) * 1000 + k % 1000 + 0.5"),
+    "quantity_commas": (f"{_THOUSANDS} || '.125'", "(k % 900 + 100) * 1000 + k % 1000 + 0.125"),
+    "money_dollars": (f"'$' || {_THOUSANDS} || '.50'", "(k % 900 + 100) * 1000 + k % 1000 + 0.5"),
+    "amount": ("CASE WHEN k % 2 = 1 THEN '(' || CAST(num AS STRING) || ')' ELSE CAST(num AS STRING) END", "CASE WHEN k % 2 = 1 THEN -num ELSE num END"),
+    "quantity_signed": ("'(' || CAST(k % 90 + 1 AS STRING) || '.5)'", "-(k % 90 + 1.5)"),
+    "boolean": ("CASE k % 3 WHEN 0 THEN 'Yes' WHEN 1 THEN ' false' ELSE '1' END", "k % 3 <> 1"),
 }
 BASE = {
     "customer": ("customer", "c_custkey"), "product": ("part", "p_partkey"), "partner": ("customer", "c_custkey"),
@@ -395,20 +422,27 @@ BREAKS: dict[str, list[tuple[dict[str, str], str, str]]] = {
 MODULUS = 11
 
 
+def _base_rows(entity: str) -> tuple[str, str, str, str, str]:
+    """Base table, and its key, text, number and day. Rows that are broken on purpose have no negative number of their own."""
+    base, key = BASE[entity]
+    text, number, day = _REAL[base]
+    planned = f"({key}) % {MODULUS} < {len(BREAKS[entity])}"
+    return base, key, text, f"CASE WHEN {planned} THEN abs({number}) ELSE {number} END", day
+
+
 def _raw_entity(entity: str):
     """Raw text rows of an entity: one per row of its base table, some of them broken."""
     spec = ENTITIES[entity]
-    base, key = BASE[entity]
+    base, key, text, number, day = _base_rows(entity)
     parser_of = {f.source: f.parser for f in spec.staged if isinstance(f.source, str)}
     cells = []
     for c in spec.raw_columns:
-        parser = parser_of.get(c, "text")
-        good = _GOOD[parser]
+        good = _GOOD[parser_of.get(c, "text")][0]
         cases = " ".join(f"WHEN {i} THEN {b[0][c]}" for i, b in enumerate(BREAKS[entity]) if c in b[0])
         cells.append(f"CAST({f'CASE k % {MODULUS} {cases} ELSE {good} END' if cases else good} AS STRING) AS {c}")
 
     def build(spark, folder):
-        rows = table(base)(spark, folder).selectExpr(f"{key} AS k").selectExpr("k", *cells)
+        rows = table(base)(spark, folder).selectExpr(f"{key} AS k", f"{text} AS txt", f"{number} AS num", f"{day} AS day").selectExpr("k", *cells)
         return rows.select(
             *spec.raw_columns,
             F.col("k").cast("string").alias("raw_id"),
@@ -421,22 +455,54 @@ def _raw_entity(entity: str):
     return build
 
 
-def _case(values: list[str]) -> str:
-    cases = " ".join(f"WHEN {i} THEN '{v}'" for i, v in enumerate(values) if v)
-    return f"CASE k % {MODULUS} {cases} END"
+def _case(values: list[str], otherwise: str = "NULL") -> str:
+    cases = " ".join(f"WHEN {i} THEN {f"'{v}'" if v else 'NULL'}" for i, v in enumerate(values))
+    return f"CASE k % {MODULUS} {cases} ELSE {otherwise} END"
 
 
-for _entity, _breaks in BREAKS.items():
-    _base, _key = BASE[_entity]
-    register(
-        f"validate_{_entity}",
-        lambda spark, folder, e=_entity: type_and_check(_raw_entity(e)(spark, folder), ENTITIES[e]).select(
-            F.col("source_row_number").alias("k"), "record_status", "error_type", "validation_error"
-        ),
-        f"""SELECT k, CASE WHEN validation_error IS NULL THEN 'pending' ELSE 'invalid' END AS record_status, error_type, validation_error
-FROM (SELECT {_key} AS k, {_case([b[1] for b in _breaks]).replace("k %", _key + " %")} AS validation_error,
-  {_case([b[2] for b in _breaks]).replace("k %", _key + " %")} AS error_type FROM {_base})""",
+#: Balances below zero break rules by themselves.
+_NATURAL = {"customer": f"CASE WHEN num < 0 THEN '{_neg('total_spent', 'total_paid', 'total_due')}' END"}
+_SHOWN = {"text_value": ("text",), "day_value": ("date_day_first", "date_month_first"),
+          "number_value": ("money", "money_commas", "money_dollars", "amount", "quantity_signed", "quantity", "quantity_commas")}
+
+
+def _shown(entity: str) -> dict[str, tuple[str, str]]:
+    """Column of the query -> (staged column, parser): the first of each kind that the entity has."""
+    out = {}
+    for name, parsers in _SHOWN.items():
+        own = [f for f in ENTITIES[entity].staged if f.parser in parsers and isinstance(f.source, str)]
+        if own:
+            out[name] = (own[0].name, own[0].parser)
+    return out
+
+
+def _checked(spark, folder, entity: str):
+    rows = type_and_check(_raw_entity(entity)(spark, folder), ENTITIES[entity])
+    planned = F.col("source_row_number") % MODULUS < len(BREAKS[entity])
+    values = [
+        F.when(~planned, F.col(c)).cast("double" if name == "number_value" else rows.schema[c].dataType).alias(name)
+        for name, (c, _) in _shown(entity).items()
+    ]
+    return rows.select(F.col("source_row_number").alias("k"), "record_status", "error_type", "validation_error", *values)
+
+
+def _checked_sql(entity: str) -> str:
+    base, key, text, number, day = _base_rows(entity)
+    natural = _NATURAL.get(entity, "NULL")
+    breaks = BREAKS[entity]
+    values = "".join(
+        f", CASE WHEN k % {MODULUS} >= {len(breaks)} THEN {f'CAST({_GOOD[p][1]} AS DOUBLE)' if name == 'number_value' else _GOOD[p][1]} END AS {name}"
+        for name, (_, p) in _shown(entity).items()
     )
+    return f"""SELECT k, CASE WHEN validation_error IS NULL THEN 'pending' ELSE 'invalid' END AS record_status, error_type, validation_error
+  {"".join(f", {n}" for n in _shown(entity))}
+FROM (SELECT k, {_case([b[1] for b in breaks], natural)} AS validation_error,
+  {_case([b[2] for b in breaks], f"CASE WHEN {natural} IS NOT NULL THEN '{_V_}' END")} AS error_type{values}
+  FROM (SELECT {key} AS k, {text} AS txt, {number} AS num, {day} AS day FROM {base}))"""
+
+
+for _entity in BREAKS:
+    register(f"validate_{_entity}", lambda spark, folder, e=_entity: _checked(spark, folder, e), _checked_sql(_entity))
 
 
 def _quarantined(spark, folder):
@@ -450,24 +516,31 @@ def _quarantined(spark, folder):
 
 
 def _quarantine_sql(entity: str) -> str:
-    base, key = BASE[entity]
-    rows = " UNION ALL ".join(
-        f"SELECT '{ENTITIES[entity].table}' AS source_table, '{kind}' AS error_type, '{text}' AS error_message,"
-        f" count(*) AS rejected, count(*) AS with_payload FROM {base} WHERE {key} % {MODULUS} = {i}"
-        for i, (_, text, kind) in enumerate(BREAKS[entity])
+    return (
+        f"SELECT '{ENTITIES[entity].table}' AS source_table, error_type, validation_error AS error_message, count(*) AS rejected,"
+        f" count(*) AS with_payload FROM ({_checked_sql(entity)}) WHERE record_status = 'invalid' GROUP BY error_type, validation_error"
     )
-    return rows
 
 
 register("quarantine", _quarantined, " UNION ALL ".join(map(_quarantine_sql, ("order", "payment", "customer"))))
 
+_STAGED_NUMBERS = "quantity unit_price item_discount line_amount cogs"
+
+
+def _staged_values_sql() -> str:
+    parser_of = {f.name: f.parser for f in ENTITIES["order_item"].staged}
+    base, key, text, number, day = _base_rows("order_item")
+    numbers = ", ".join(f"CAST({_GOOD[parser_of[c]][1]} AS DOUBLE) AS {c}" for c in _STAGED_NUMBERS.split())
+    name = _GOOD["text"][1]
+    return f"""SELECT {name} AS order_item_id, {name} AS stock_location_id, {numbers}
+FROM (SELECT {key} AS k, {text} AS txt, {number} AS num, {day} AS day FROM {base}) WHERE k % {MODULUS} >= {len(BREAKS["order_item"])}"""
+
+
 register(
     "staged_values",
     # the typed values behind the checks of one entity
     lambda spark, folder: type_and_check(_raw_entity("order_item")(spark, folder), ENTITIES["order_item"])
     .where(F.col("record_status") == "pending")
-    .select("order_item_id", "stock_location_id", "quantity", "unit_price", "item_discount", "line_amount", "cogs"),
-    f"""SELECT {doubles("quantity unit_price item_discount line_amount cogs", "order_item_id", "stock_location_id")} FROM
-(SELECT 'v' || CAST(o_orderkey AS STRING) AS order_item_id, 'v' || CAST(o_orderkey AS STRING) AS stock_location_id, 1003.125 AS quantity,
-  1012.5 AS unit_price, 1012.5 AS item_discount, 1012.5 AS line_amount, 1012.5 AS cogs FROM orders WHERE o_orderkey % {MODULUS} > 2)""",
+    .select("order_item_id", "stock_location_id", *_STAGED_NUMBERS.split()),
+    _staged_values_sql(),
 )

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import datetime as dt
-
 from pyspark.sql import functions as F
 
 from tallyspark.operators import quality as q
@@ -13,10 +11,10 @@ from tallyspark.operators.latest import latest_per_key
 from tallyspark.operators.rules import Rule, enforce_constraints, return_reference_rule, table_constraints
 from tallyspark.operators.upsert import assign_keys, upsert
 from tallyspark.plans.dimensions import calendar, extend_calendar
-from tallyspark.plans.facts import unresolved_rows
+from tallyspark.plans.facts import FACTS, unresolved_rows
 from tallyspark.plans.summary import small_daily_summary
 from tallyspark.plans.tpch_warehouse import LINE_STAGING, LINE_VERSION, SIMPLE_VERSION, TpchWarehouse
-from tallyspark.plans.views import SUMMARY, VIEWS, compose_view, for_tenant
+from tallyspark.plans.views import SUMMARY, VIEWS, compose_view, for_tenant, register_views
 from tallyspark.registered.base import doubles, on_warehouse, register, table
 from tallyspark.registered.ctes import with_ctes
 
@@ -122,19 +120,21 @@ FROM lineitem JOIN supplier ON s_suppkey = CASE WHEN l_orderkey % 3 = 0 THEN 1 E
 
 # dimensions ----------------------------------------------------------------------
 
+def _calendar_of_data(w: TpchWarehouse):
+    """The calendar of the orders, then made longer for the days of the events."""
+    span = lambda name, c: w[name].agg(F.min(F.col(c).cast("date")), F.max(F.col(c).cast("date"))).first()
+    orders, events = span("orders", "o_orderdate"), span("events", "ts")
+    first = calendar(w.spark, *orders)
+    return extend_calendar(first, calendar(w.spark, min(orders[0], events[0]), max(orders[1], events[1])))
+
+
 register(
     "dim_date_calendar",
-    # days that have orders, then the calendar around them
-    on_warehouse(
-        lambda w: extend_calendar(
-            w["dim_date"].join(
-                w["orders"].select(F.col("o_orderdate").cast("date").alias("date")).distinct(), "date", "left_semi"
-            ),
-            calendar(w.spark, dt.date(1995, 1, 1), dt.date(2024, 12, 31)),
-        )
-    ),
+    on_warehouse(_calendar_of_data),
     with_ctes(
-        "SELECT date_key, date, year, quarter, month, month_number, month_name, week, day, day_name, is_weekend FROM dim_date"
+        """SELECT date_key, date, year, quarter, month, month_number, month_name, week, day, day_name, is_weekend FROM dim_date
+WHERE date BETWEEN (SELECT least((SELECT min(CAST(o_orderdate AS DATE)) FROM orders), (SELECT min(CAST(ts AS DATE)) FROM events)))
+  AND (SELECT greatest((SELECT max(CAST(o_orderdate AS DATE)) FROM orders), (SELECT max(CAST(ts AS DATE)) FROM events)))"""
     ),
 )
 for _dim, _columns, _decimals in (
@@ -180,34 +180,28 @@ UNION ALL SELECT customer_key, customer_id, 'new ' || c_name, DATE '2024-02-02',
 
 # views ---------------------------------------------------------------------------
 
-VIEW_COLUMNS = {
-    "v_orders": ("order_id order_date year quarter month month_name week day day_name is_weekend customer_id customer_name"
-                 " customer_status order_status collected_by", "total_amount calculated_order_amount"),
-    "v_sales": ("order_item_id order_id sale_date year day_name customer_id product_id product_category product_unit"
-                " location_id location_name location_type", "quantity line_total gross_sales cogs calculated_net_line_amount"),
-    "v_payments": ("payment_id payment_date month_name customer_id cash_account_id cash_account_name cash_account_type"
-                   " cash_account_owner_id payment_method", "amount"),
-    "v_returns": ("return_id return_date quarter return_type order_id purchase_id location_id location_name location_type"
-                  " cash_account_id cash_account_name status", "refund_amount due_adjustment cash_refund"),
-    "v_return_items": ("return_item_id return_id return_date return_type order_id purchase_id return_status product_id"
-                       " product_category location_id", "quantity unit_price line_amount returned_cogs"),
-    "v_purchases": ("purchase_id purchase_item_id purchase_date supplier_id supplier_name product_id product_category"
-                    " location_id location_type",
-                    "quantity unit_cost line_total gross_purchase_amount calculated_net_purchase_amount"),
-    "v_cash_transactions": ("transaction_id transaction_date year cash_account_id cash_account_name cash_account_owner_id"
-                            " transaction_type direction description created_by", "amount"),
-    "v_expenses": ("expense_id expense_date cash_account_id cash_account_name expense_category payment_method paid_by", "amount"),
-    "v_partner_capital": ("capital_transaction_id transaction_date partner_id partner_name cash_account_id cash_account_name"
-                          " transaction_type", "amount"),
-    "v_stock_movements": ("movement_id movement_date product_id product_category from_location_id from_location_name"
-                          " to_location_id to_location_name movement_type direction", "quantity"),
-}
-for _view, (_plain, _amounts) in VIEW_COLUMNS.items():
-    register(
-        _view,
-        on_warehouse(lambda w, v=_view, c=f"{_plain} {_amounts}": compose_view(w, v, c.split(), all_joins=True)),
-        with_ctes(f"SELECT {doubles(_amounts, *_plain.split())} FROM {_view}"),
-    )
+# every column of every view; the facts carry their keys
+_DECIMALS = set(
+    "subtotal invoice_discount delivery_charge total_amount calculated_order_amount quantity unit_price item_discount line_total"
+    " gross_sales unit_cost cogs calculated_net_line_amount amount refund_amount due_adjustment cash_refund line_amount"
+    " returned_cogs gross_purchase_amount calculated_net_purchase_amount".split()
+)
+_TIMES = ("ingested_at", "source_created_at", "created_at")
+
+
+def _whole_view(w: TpchWarehouse, view: str):
+    rows = compose_view(w.with_keys(VIEW_FACTS[view]), view, all_joins=True)
+    return rows.withColumns({c: F.col(c).cast("string") for c in _TIMES if c in rows.columns})
+
+
+def _whole_view_sql(view: str) -> str:
+    cast = lambda c: f"CAST({c} AS DOUBLE) AS {c}" if c in _DECIMALS else f"CAST({c} AS VARCHAR) AS {c}" if c in _TIMES else c
+    return f"SELECT {', '.join(map(cast, VIEWS[view].columns))} FROM {view}"
+
+
+VIEW_FACTS = {v: v.replace("v_", "fact_", 1) for v in VIEWS}
+for _view in VIEWS:
+    register(_view, on_warehouse(lambda w, v=_view: _whole_view(w, v)), with_ctes(_whole_view_sql(_view)))
 
 SUMMARY_PLAIN = ("date_key business_date year quarter month month_name week day day_name is_weekend total_orders"
                  " total_customer_returns total_supplier_returns total_purchases")
@@ -239,28 +233,84 @@ LEFT JOIN (SELECT date_key, count(*) n, sum(refund_amount) a, sum(cash_refund) c
 LEFT JOIN (SELECT date_key, count(DISTINCT purchase_id) n, sum(line_total) a FROM fact_purchases GROUP BY 1) b USING (date_key)"""
     ),
 )
+TENANT = "00000000-0000-0000-0000-000000000001"
+
+
+def _tenant_views(w: TpchWarehouse):
+    """All eleven views behind the wrapper: per view, tenant and month, its rows and days."""
+    parts = []
+    for name in (*VIEWS, SUMMARY):
+        view = for_tenant(compose_view(w, name, ["date_key"]), TENANT)
+        month = F.floor(F.col("date_key") / 100).cast("bigint").alias("month")
+        parts.append(view.groupBy(F.lit(name).alias("view"), "tenant_id", month).agg(
+            F.count("*").alias("rows"), F.count_distinct("date_key").alias("days")
+        ))
+    return q.stack_reports(parts)
+
+
 register(
     "tenant_view",
-    on_warehouse(
-        lambda w: for_tenant(compose_view(w, "v_expenses", ["expense_id", "amount"]), "00000000-0000-0000-0000-000000000001")
-    ),
-    with_ctes(
-        "SELECT '00000000-0000-0000-0000-000000000001' AS tenant_id, expense_id, CAST(amount AS DOUBLE) AS amount FROM v_expenses"
-    ),
+    on_warehouse(_tenant_views),
+    with_ctes(" UNION ALL ".join(
+        f"SELECT '{v}' AS view, '{TENANT}' AS tenant_id, date_key // 100 AS month, count(*) AS rows, count(DISTINCT date_key) AS days"
+        f" FROM {v} GROUP BY date_key // 100" for v in (*VIEWS, SUMMARY)
+    )),
 )
 
 # constraints ----------------------------------------------------------------------
 
-for _fact in [f for f in FACT_COLUMNS if f != "fact_sales"]:
-    register(
-        f"constraints_{_fact}",
-        on_warehouse(
-            lambda w, f=_fact: enforce_constraints(w[f], table_constraints()[f])[0].agg(F.count("*").alias("rows_kept"))
-        ),
-        # the loaded facts hold their constraints
-        with_ctes(f"SELECT count(*) AS rows_kept FROM {_fact}"),
+# what each fact is made to break, by its own values: column -> (condition, broken value), in Spark and DuckDB alike
+_BREAKS = {
+    "fact_orders": {"subtotal": ("total_amount > 150000", "-total_amount"), "invoice_discount": ("date_key % 7 = 0", "-1"),
+                    "delivery_charge": ("date_key % 11 = 0", "-0.01"), "total_amount": ("subtotal > 200000", "-subtotal")},
+    "fact_payments": {"amount": ("date_key % 5 = 0", "-amount - 1")},
+    "fact_purchases": {"quantity": ("quantity > 40", "0"), "unit_cost": ("item_discount > 5000", "-unit_cost"),
+                       "item_discount": ("quantity < 5", "-1"), "line_total": ("date_key % 9 = 0", "-1")},
+    "fact_returns": {"refund_amount": ("date_key % 10 = 0", "-1"), "due_adjustment": ("refund_amount > 50000", "-due_adjustment - 1"),
+                     "cash_refund": ("refund_amount < 5000", "-1")},
+    "fact_return_items": {"quantity": ("quantity > 45", "-quantity"), "unit_price": ("quantity < 3", "-1"),
+                          "line_amount": ("unit_price > 50000", "-1"), "returned_cogs": ("quantity > 30", "-0.01")},
+    "fact_stock_movements": {"quantity": ("quantity > 25", "quantity - 40"), "direction": ("date_key % 6 = 0", "'SIDEWAYS'")},
+    "fact_cash_transactions": {"amount": ("date_key % 8 = 0", "0"), "direction": ("amount > 50", "lower(direction)")},
+    "fact_expenses": {"amount": ("amount < 20", "amount - 20")},
+    "fact_partner_capital": {"amount": ("transaction_type = 'CAPITAL'", "amount - 50")},
+}
+_RULE_SQL = {
+    "not_negative": "CASE WHEN {0} < 0 THEN '{0} cannot be negative.' END",
+    "positive": "CASE WHEN {0} <= 0 THEN '{0} must be greater than zero.' END",
+    "direction": "CASE WHEN {0} NOT IN ('IN', 'OUT') THEN '{0} must be one of IN, OUT.' END",
+}
+_RULE_OF = {"quantity": "positive", "direction": "direction"}
+_POSITIVE_AMOUNT = {"fact_cash_transactions", "fact_expenses", "fact_partner_capital"}
+
+
+def _broken_fact(w: TpchWarehouse, fact: str):
+    """The rows that break rules once their values are spoiled, and one row that counts those kept."""
+    columns, key = _BREAKS[fact], F.concat_ws("|", *FACTS[fact].business_key).alias("row")
+    more = [c for c in ("return_type", "order_id", "purchase_id") if fact == "fact_returns"]
+    spoiled = w[fact].select(key, *more, *[F.expr(f"CASE WHEN {cond} THEN {bad} ELSE {c} END").alias(c) for c, (cond, bad) in columns.items()])
+    kept, broken = enforce_constraints(spoiled, table_constraints()[fact])
+    return broken.select("row", F.array_join("errors", "; ").alias("errors"), F.lit(1).cast("bigint").alias("rows")).unionByName(
+        kept.agg(F.lit("kept").alias("row"), F.lit("").alias("errors"), F.count("*").alias("rows"))
     )
 
+
+def _broken_fact_sql(fact: str) -> str:
+    def rule(c: str) -> str:
+        kind = "positive" if c == "amount" and fact in _POSITIVE_AMOUNT else _RULE_OF.get(c, "not_negative")
+        return _RULE_SQL[kind].format(c)
+
+    key = " || '|' || ".join(FACTS[fact].business_key)
+    spoiled = ", ".join(f"CASE WHEN {cond} THEN {bad} ELSE {c} END AS {c}" for c, (cond, bad) in _BREAKS[fact].items())
+    errors = f"concat_ws('; ', {', '.join(map(rule, _BREAKS[fact]))})"
+    return f""", s AS (SELECT {key} AS row, {spoiled} FROM {fact}), e AS (SELECT row, {errors} AS errors FROM s)
+SELECT row, errors, CAST(1 AS BIGINT) AS rows FROM e WHERE errors <> ''
+UNION ALL SELECT 'kept', '', count(*) FROM e WHERE errors = ''"""
+
+
+for _fact in _BREAKS:
+    register(f"constraints_{_fact}", on_warehouse(lambda w, f=_fact: _broken_fact(w, f)), with_ctes(_broken_fact_sql(_fact)))
+
 register(
     "constraint_return_ref",
     # every fifth order's returns lose their reference and must be caught
@@ -482,15 +532,48 @@ register(
   count(*) AS total_count, count(*) FILTER (status = 'PASS') AS pass_count, count(*) FILTER (status = 'WARNING') AS warning_count,
   count(*) FILTER (status = 'FAIL') AS fail_count FROM ({_CHECKED})""",
 )
-register(
-    "dq_warehouse_structure",
-    on_warehouse(lambda w: q.warehouse_structure(w.spark, w).select(*REPORT).where(F.col("status") != "PASS")),
-    # every table exists with its types, and the required columns hold no NULL
-    with_ctes(
-        "SELECT 'x' AS check_name, 'FAIL' AS status, 'ERROR' AS severity, count(*) AS affected_rows FROM fact_sales"
-        " WHERE product_key IS NULL OR location_key IS NULL OR date_key IS NULL HAVING count(*) > 0"
-    ),
-)
+def _structure(w: TpchWarehouse):
+    """The report over sound tables, and over a warehouse whose sales lost a column, a type and some values."""
+    tables = w.with_keys("fact_orders", "fact_sales")
+    registered = register_views(w.with_keys(*FACTS))
+    whole = q.warehouse_structure(w.spark, tables)
+    sales = tables["fact_sales"]
+    spoiled = sales.drop("unit_cost").withColumns({
+        "quantity": F.col("quantity").cast("double"), "line_total": F.when(F.col("line_total") > 1000, F.col("line_total")),
+    })
+    names = [c for c in q.CORE_NOT_NULL["fact_sales"] if c != "unit_cost"]
+    broken = q.stack_reports([
+        q.columns_exist(spoiled, "broken_sales", q.CORE_NOT_NULL["fact_sales"]),
+        q.column_types(spoiled, "broken_sales", q.core_types("fact_sales")),
+        q.run_table_checks(spoiled, [q.not_null("broken_sales", c) for c in names]),
+        q.view_exists(w.spark, "v_missing_view"),
+    ])
+    assert set(registered) == {*VIEWS, SUMMARY}
+    return whole.unionByName(broken).select(*REPORT)
+
+
+def _structure_sql() -> str:
+    line = lambda name, n=0: (
+        f"SELECT '{name}' AS check_name, '{'FAIL' if n else 'PASS'}' AS status, '{'ERROR' if n else 'INFO'}' AS severity, CAST({n} AS BIGINT) AS affected_rows"
+    )
+    parts = [line(f"table_exists:{t}") for t in q.CORE_TABLES] + [line(f"view_exists:{v}") for v in q.CORE_VIEWS]
+    parts += [line(f"column_types:{t}") for t in q.CORE_TYPES]
+    # dim columns that the SQL tables leave out are constants of the load
+    parts += [line(f"nullability:{t}.{c}") for t, columns in q.CORE_NOT_NULL.items() for c in columns if c in ("valid_from", "is_current")]
+    parts += [
+        _report(f"nullability:{t}.{c}", f"SELECT count(*) FILTER ({c} IS NULL) AS n FROM {t}", "FAIL", "ERROR")
+        for t, columns in q.CORE_NOT_NULL.items() for c in columns if c not in ("valid_from", "is_current")
+    ]
+    parts += [line("required_columns:broken_sales", 1), line("column_types:broken_sales", 2), line("view_exists:v_missing_view", 1)]
+    parts += [
+        _report(f"nullability:broken_sales.{c}", f"SELECT count(*) FILTER ({'line_total <= 1000' if c == 'line_total' else f'{c} IS NULL'}) AS n FROM fact_sales",
+                "FAIL", "ERROR")
+        for c in q.CORE_NOT_NULL["fact_sales"] if c != "unit_cost"
+    ]
+    return " UNION ALL ".join(parts)
+
+
+register("dq_warehouse_structure", on_warehouse(_structure), with_ctes(_structure_sql()))
 
 # reconciliation ---------------------------------------------------------------------
 
@@ -566,18 +649,20 @@ UNION ALL SELECT 'totals', is_valid FROM ({_TOTALS_SQL})) GROUP BY ROLLUP (check
     ),
 )
 
-for _fact, _unique in (("fact_sales", "order_item_id"), ("fact_payments", "payment_id"), ("fact_partner_capital", "capital_transaction_id")):
-    register(
-        f"integrity_{_fact}",
-        on_warehouse(lambda w, f=_fact: reconcile.fact_integrity(w, f)),
-        with_ctes(
-            f"SELECT '{_fact}' AS fact, 'unique {_unique}' AS rule, count(*) - count(DISTINCT {_unique}) AS broken_rows FROM {_fact}"
-            + "".join(
-                f" UNION ALL SELECT '{_fact}', '{k} in {d}', count(*) FROM {_fact} WHERE {k} IS NOT NULL AND {k} NOT IN (SELECT {k} FROM {d})"
-                for k, d in reconcile.FOREIGN_KEYS[_fact].items()
-            )
-        ),
-    )
+def _integrity_sql(fact: str) -> str:
+    key = FACTS[fact].business_key
+    parts = [f"SELECT '{fact}' AS fact, 'unique {', '.join(key)}' AS rule, count(*) - count(DISTINCT ({', '.join(key)})) AS broken_rows FROM {fact}"]
+    for column, target in reconcile.FOREIGN_KEYS[fact].items():
+        known = column.removeprefix("from_").removeprefix("to_")
+        parts.append(
+            f"SELECT '{fact}', '{column} in {target}', count(*) FROM {fact} WHERE {column} IS NOT NULL"
+            f" AND {column} NOT IN (SELECT {known} FROM {target})"
+        )
+    return " UNION ALL ".join(parts)
+
+
+for _fact in FACTS:
+    register(f"integrity_{_fact}", on_warehouse(lambda w, f=_fact: reconcile.fact_integrity(w, f)), with_ctes(_integrity_sql(_fact)))
 
 # the fact whose dangling keys must be found: sales against the parts of one category only
 register(

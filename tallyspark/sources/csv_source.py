@@ -21,20 +21,30 @@ class MissingColumns(ValueError):
 
 
 def read_export(
-    spark: SparkSession, path: str | Sequence[str], spec: EntitySpec, strict: bool = True, multi_line: bool = True
+    spark: SparkSession, path: str | Sequence[str], spec: EntitySpec, strict: bool = True, multi_line: bool | None = None
 ) -> DataFrame:
     """Read an export as text columns under their raw names.
 
     Columns are found by header name, in any order; ``strict`` raises before
     any row is read when one is missing, otherwise it becomes NULL. Files read
     together must share one header line. ``multi_line`` keeps line breaks
-    inside quotes and reads each file in one task; turn it off for large files
-    known to hold one record per line, so Spark can split them.
+    inside quotes and reads each file in one task. When it is not given, the
+    files are looked through for such breaks first, line by line in split
+    files, and only those that have one are read whole.
     """
-    df = _csv_options(spark.read, multi_line).csv(list(path) if not isinstance(path, str) else path)
+    paths = list(path) if not isinstance(path, str) else path
+    if multi_line is None:
+        multi_line = has_quoted_line_breaks(spark, paths)
+    df = _csv_options(spark.read, multi_line).csv(paths)
     return export_rows(_with_position(df), spec, strict)
 
 
+def has_quoted_line_breaks(spark: SparkSession, paths: str | Sequence[str]) -> bool:
+    """Whether a line has an odd number of quotes, as the first line of a record with a line break in a cell has."""
+    odd = spark.read.text(paths).where(F.regexp_count("value", F.lit('"')) % 2 == 1)
+    return not odd.limit(1).isEmpty()
+
+
 def stream_export(spark: SparkSession, folder: str, spec: EntitySpec, multi_line: bool = True, **options: str) -> DataFrame:
     """The files arriving in a folder as a stream of text rows with their position.
 
@@ -96,11 +106,15 @@ def _number_rows(positioned: DataFrame) -> DataFrame:
 
 
 def row_hash(columns: Sequence[str]) -> Column:
-    """SHA-256 over ``name=value`` pairs in name order; NULL counts as empty."""
-    pairs = [F.concat(F.lit(f"{c}="), F.coalesce(F.col(c), F.lit(""))) for c in sorted(columns)]
+    """SHA-256 over ``name=value`` pairs in name order; NULL counts as empty, separators inside values are escaped."""
+    pairs = [F.concat(F.lit(f"{c}="), F.coalesce(_escaped(F.col(c)), F.lit(""))) for c in sorted(columns)]
     return F.sha2(F.concat_ws("|", *pairs), 256)
 
 
+def _escaped(value: Column) -> Column:
+    return F.replace(F.replace(value, F.lit("\\"), F.lit("\\\\")), F.lit("|"), F.lit("\\|"))
+
+
 def add_lineage(df: DataFrame, spec: EntitySpec, batch_id: str, ingested_at: Column | None = None) -> DataFrame:
     """Add batch id, content hash, a row id that survives retries, and arrival time."""
     hashed = df.withColumn("source_row_hash", row_hash(spec.raw_columns)).withColumn(

@@ -29,6 +29,14 @@ def ingest_stream(
     def land(rows: DataFrame, epoch: int) -> None:
         batch_id = f"{entity}-stream-{epoch}"
         ledger.open(spec.table, batch_id)
+        try:
+            received, loaded = landed(rows, batch_id)
+        except Exception as exc:
+            ledger.fail(batch_id, spec.table, str(exc))
+            raise
+        ledger.complete(batch_id, spec.table, received, loaded, received - loaded)
+
+    def landed(rows: DataFrame, batch_id: str) -> tuple[int, int]:
         named = add_lineage(export_rows(rows, spec), spec, batch_id)
         raw = store.read("raw", entity)
         if raw is not None:
@@ -36,7 +44,7 @@ def ingest_stream(
             named = missing_from(named, own, ["raw_id"])
         received, loaded = append_raw(store, named, spec)
         stage(store, entity, batch_id)
-        ledger.complete(batch_id, spec.table, received, loaded, received - loaded)
+        return received, loaded
 
     stream = stream_export(store.spark, folder, spec, **options)
     writer = stream.writeStream.foreachBatch(land).option("checkpointLocation", checkpoint)
