@@ -23,10 +23,10 @@ from tallyspark.llm import common, words
 #: Hashed dimensions, halves for words and for shapes and shares.
 DIMENSIONS = 1 << 18
 #: Bound of the training sample: rated rows.
-MOST_RATED = 12_000
+MOST_RATED = 8_000
 #: A feature that fewer rated texts have is not learned.
 LEAST_TEXTS = 8
-EPOCHS, BATCH, RATE, SHRINK = 12, 128, 0.05, 1e-5
+EPOCHS, BATCH, RATE, SHRINK = 12, 128, 0.1, 1e-5
 #: A text is selected if it reaches the best grade with at least this probability; short texts, which say little, stay above it.
 LEAST_TAIL = 0.3
 
