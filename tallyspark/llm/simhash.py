@@ -5,7 +5,8 @@ from some segment on, for every length l, the chain of l consecutive segments di
 floor(l * radius / SEGMENTS) bits (pigeonring principle, Qin and Xiao 2018). Chains whose budget is 0 must
 be equal, and of the bits that follow while the budget is 1, one half must be. That gives the join key; in
 the join's condition the budgets of all longer chains prune what is left, and the last chain, the whole
-ring, is the Hamming check. Nothing within the radius is lost, and only true links leave the join.
+ring, is the Hamming check. Nothing within the radius is lost, and only true links leave the join, each
+at the first of the neighbouring segments it could be found from.
 
 Equal fingerprints are one node of the graph of links, so copies cost no links. Groups are the connected
 components of that graph.
@@ -25,25 +26,47 @@ from tallyspark.llm.components import components
 
 BITS, SEGMENTS = 64, 8
 WIDTH = BITS // SEGMENTS
+#: Hashes whose bits are counted at a time.
+AT_ONCE = 1 << 15
 
 
-def fingerprints(text: str | None, shingle: int = 3, count: int = 1) -> np.ndarray:
-    """``count`` fingerprints of the whole text; the first from XXH64 itself, the others from hashes of it. No word: zeros."""
-    ones, total = np.zeros((count, BITS), np.int64), 0
+def bits_set(hashed: np.ndarray) -> np.ndarray:
+    """How many of the hashes set each bit."""
+    ones = np.zeros(BITS, np.int64)
+    for low in range(0, len(hashed), AT_ONCE):
+        some = np.ascontiguousarray(hashed[low : low + AT_ONCE])
+        ones += np.unpackbits(some.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return ones
+
+
+def fingerprints(text: str | None, shingle: int = 3, count: int = 1, distinct: bool = False) -> np.ndarray:
+    """``count`` fingerprints of the whole text; the first from XXH64 itself, the others from hashes of it. No word: zeros.
+
+    With ``distinct`` a shingle that repeats counts once.
+    """
+    ones, total, known = np.zeros((count, BITS), np.int64), 0, np.zeros(0, np.uint64)
     for pieces in words.shingle_blocks(words.lowered(text), shingle):
         h = words.hashes(pieces)
+        if distinct:
+            h = np.setdiff1d(h, known)
+            known = np.union1d(known, h)
         total += len(h)
         for j in range(count):
-            bits = np.unpackbits((words.mixed(h, j) if j else h).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-            ones[j] += bits.sum(axis=0, dtype=np.int64)
+            ones[j] += bits_set(words.mixed(h, j) if j else h)
     return np.packbits(2 * ones > total, axis=1, bitorder="little").view(np.uint64).ravel()
 
 
-def with_prints(docs: DataFrame, text_column: str, shingle: int, count: int) -> Column:
+def with_prints(docs: DataFrame, text_column: str, shingle: int, count: int, distinct: bool, check_shingle: int | None) -> Column:
+    """Array of the fingerprints, followed by one of the check's shingles, or 0."""
+
+    def of(text: str | None) -> np.ndarray:
+        check = fingerprints(text, check_shingle) if check_shingle else np.zeros(1, np.uint64)
+        return np.concatenate([fingerprints(text, shingle, count, distinct), check]).view(np.int64)
+
     @F.pandas_udf("array<long>")
     def prints(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in texts:
-            yield pd.Series([fingerprints(t, shingle, count).view(np.int64) for t in batch])
+            yield pd.Series([of(t) for t in batch])
 
     return prints(F.col(f"`{text_column}`").cast("string"))
 
@@ -55,61 +78,93 @@ def turned(value: Column, segments: int) -> Column:
     return F.shiftleft(value, WIDTH * segments).bitwiseOR(F.shiftrightunsigned(value, BITS - WIDTH * segments))
 
 
-def chain_keys(value: Column, radius: int) -> Column:
-    """Array of (key, ring): for each first segment two keys, and the fingerprint turned to that segment."""
+def chain_lengths(radius: int) -> tuple[int, int, int]:
+    """Segments whose chain must be equal, bits in each half of those that may differ in one bit, and where the halves begin."""
     exact = max(n for n in range(SEGMENTS + 1) if n * radius // SEGMENTS == 0)
     single = max(n for n in range(SEGMENTS + 1) if n * radius // SEGMENTS <= 1)
-    half = (single - exact) * WIDTH // 2
+    return exact, (single - exact) * WIDTH // 2, BITS - exact * WIDTH
+
+
+def half_of(ring: Column, radius: int, part: int) -> Column:
+    _, half, top = chain_lengths(radius)
+    return F.shiftrightunsigned(ring, top - half * (part + 1)).bitwiseAND(F.lit((1 << half) - 1).cast("long"))
+
+
+def chain_keys(value: Column, radius: int) -> Column:
+    """Array of (key, part, ring): for each first segment two keys, and the fingerprint turned to that segment."""
+    exact, half, top = chain_lengths(radius)
     keys = []
     for first in range(SEGMENTS):
         ring = turned(value, first)
-        head = F.shiftrightunsigned(ring, BITS - exact * WIDTH) if exact else F.lit(0).cast("long")
+        head = F.shiftrightunsigned(ring, top) if exact else F.lit(0).cast("long")
         for part in range(2 if half else 1):
-            tail = F.shiftrightunsigned(ring, BITS - exact * WIDTH - half * (part + 1)).bitwiseAND(F.lit((1 << half) - 1).cast("long"))
             name = F.shiftleft(F.lit(first * 2 + part).cast("long"), exact * WIDTH + half)
-            keys.append(F.struct(name.bitwiseOR(F.shiftleft(head, half)).bitwiseOR(tail).alias("key"), ring.alias("ring")))
+            tail = half_of(ring, radius, part) if half else F.lit(0).cast("long")
+            key = name.bitwiseOR(F.shiftleft(head, half)).bitwiseOR(tail)
+            keys.append(F.struct(key.alias("key"), F.lit(part).alias("part"), ring.alias("ring")))
     return F.array(*keys)
 
 
-def links(nodes: DataFrame, radius: int) -> DataFrame:
-    """Pairs a, b of nodes whose fingerprints of the same number are within ``radius``; ``nodes``: number, print, node, each print once."""
-    indexed = nodes.select("number", "node", F.explode(chain_keys(F.col("print"), radius)).alias("k")).select(
-        "number", "node", F.col("k.key").alias("key"), F.col("k.ring").alias("ring")
+def chains_hold(apart: Column, radius: int) -> Column:
+    """Whether every chain from the first segment on stays within its budget; the last one is the Hamming check."""
+    holds = F.lit(True)
+    for n in range(1, SEGMENTS + 1):
+        holds &= F.bit_count(F.shiftrightunsigned(apart, BITS - n * WIDTH)) <= n * radius // SEGMENTS
+    return holds
+
+
+def links(nodes: DataFrame, radius: int, check_radius: int = BITS) -> DataFrame:
+    """Pairs a, b of nodes whose fingerprints of the same number are within ``radius`` and whose checks are within ``check_radius``.
+
+    ``nodes``: number, print, check, node; each print and check of a number once.
+    """
+    indexed = nodes.select("number", "node", "check", F.explode(chain_keys(F.col("print"), radius)).alias("k")).select(
+        "number", "node", "check", F.col("k.key").alias("key"), F.col("k.part").alias("part"), F.col("k.ring").alias("ring")
     )
-    one, other = indexed.alias("one"), indexed.alias("other")
+
+    def pairs(rows: DataFrame, on: str, condition) -> DataFrame:
+        one, other = rows.alias("one"), rows.alias("other")
+        both = (F.col(f"one.{on}") == F.col(f"other.{on}")) & (F.col("one.number") == F.col("other.number"))
+        checks = F.bit_count(F.col("one.check").bitwiseXOR(F.col("other.check"))) <= check_radius
+        found = one.join(other, both & (F.col("one.node") < F.col("other.node")) & checks & condition)
+        return found.select(F.col("one.node").alias("a"), F.col("other.node").alias("b"))
+
     apart = F.col("one.ring").bitwiseXOR(F.col("other.ring"))
-    within = F.col("one.node") < F.col("other.node")
-    for n in range(1, SEGMENTS + 1):
-        within &= F.bit_count(F.shiftrightunsigned(apart, BITS - n * WIDTH)) <= n * radius // SEGMENTS
-    same = (F.col("one.key") == F.col("other.key")) & (F.col("one.number") == F.col("other.number"))
-    return one.join(other, same & within).select(F.col("one.node").alias("a"), F.col("other.node").alias("b")).distinct()
+    here = (apart != 0) & chains_hold(apart, radius) & ~chains_hold(turned(apart, SEGMENTS - 1), radius)
+    if chain_lengths(radius)[1]:  # with both halves equal, the first one finds the pair
+        here &= (F.col("one.part") == 0) | (half_of(apart, radius, 0) != 0)
+    return pairs(indexed, "key", here).union(pairs(nodes, "print", F.lit(True))).distinct()
 
 
 def near_groups(
     docs: DataFrame, key: str, id_column: str = "doc_id", text_column: str = "text",
-    shingle: int = 3, radius: int = 3, count: int = 1,
+    shingle: int = 3, radius: int = 3, count: int = 1, distinct: bool = False, check: tuple[int, int] | None = None,
 ) -> DataFrame:
     """One row per row of ``docs``: key, id, prints, component_id, stays.
 
     Documents are linked if one of their ``count`` fingerprints is within ``radius`` (at most 7) of the
-    other's of the same number; component_id is the smallest id reachable, and the row with that id, of
-    equal ids the first row, stays. Null ids come after all others; a component of null ids has a null
-    one. Null, empty and blank texts have the fingerprint zero and are linked as any other. Texts are
-    read whole, in blocks of bounded size. An empty table gives no rows.
+    other's of the same number and, where ``check`` is given as (shingle, radius), fingerprints of such
+    shingles are within that radius as well. component_id is the smallest id reachable, and the row with
+    that id, of equal ids the first row, stays. Null ids come after all others; a component of null ids has
+    a null one. Null, empty and blank texts have the fingerprint zero and are linked as any other. Texts
+    are read whole, in blocks of bounded size. An empty table gives no rows.
     """
     if not 0 <= radius < SEGMENTS:
         raise ValueError(f"radius must be from 0 to {SEGMENTS - 1}")
-    printed = common.cut(docs.select(
-        F.col(f"`{key}`").alias("key"), F.col(f"`{id_column}`").alias("id"), with_prints(docs, text_column, shingle, count).alias("prints")
-    ))
+    check_shingle, check_radius = check or (None, BITS)
+    prints = with_prints(docs, text_column, shingle, count, distinct, check_shingle)
+    printed = common.cut(docs.select(F.col(f"`{key}`").alias("key"), F.col(f"`{id_column}`").alias("id"), prints.alias("prints")))
     first = F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "key")).alias("first")
     groups = common.cut(printed.groupBy("prints").agg(first).withColumn("node", F.monotonically_increasing_id()))
-    each = groups.select("node", F.posexplode("prints").alias("number", "print"))
-    heads = each.groupBy("number", "print").agg(F.min("node").alias("head"))
-    found = links(heads.withColumnRenamed("head", "node"), radius)
+    each = groups.select(
+        "node", F.get("prints", F.lit(count)).alias("check"), F.posexplode(F.slice("prints", 1, count)).alias("number", "print")
+    )
+    heads = each.groupBy("number", "print", "check").agg(F.min("node").alias("node"))
+    found = links(heads, radius, check_radius)
     if count > 1:  # groups that share one of several fingerprints
+        same = heads.withColumnRenamed("node", "head")
         found = found.union(
-            each.join(heads, ["number", "print"]).where("node > head").select(F.col("node").alias("a"), F.col("head").alias("b"))
+            each.join(same, ["number", "print", "check"]).where("node > head").select(F.col("node").alias("a"), F.col("head").alias("b"))
         )
     roots = common.cut(components(found))
     members = groups.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))

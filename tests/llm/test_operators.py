@@ -181,10 +181,17 @@ def test_pigeonring_loses_no_link(spark, radius):
             values.add(near)
     values = sorted(values)
     signed = [v - (1 << 64) if v >> 63 else v for v in values]
-    nodes = spark.createDataFrame([(0, p, n) for n, p in enumerate(signed)], "number int, print long, node long")
-    got = {(r.a, r.b) for r in simhash.links(nodes, radius).collect()}
-    want = {(a, b) for a in range(len(values)) for b in range(a + 1, len(values)) if (values[a] ^ values[b]).bit_count() <= radius}
-    assert got == want
+    checks = [draw.getrandbits(3) for _ in values]
+    nodes = spark.createDataFrame([(0, p, c, n) for n, (p, c) in enumerate(zip(signed, checks, strict=True))], "number int, print long, check long, node long")
+    near = {(a, b) for a in range(len(values)) for b in range(a + 1, len(values)) if (values[a] ^ values[b]).bit_count() <= radius}
+    assert {(r.a, r.b) for r in simhash.links(nodes, radius).collect()} == near
+    got = {(r.a, r.b) for r in simhash.links(nodes, radius, 1).collect()}
+    assert got == {(a, b) for a, b in near if (checks[a] ^ checks[b]).bit_count() <= 1}
+
+
+def test_equal_fingerprints_with_different_checks(spark):
+    nodes = spark.createDataFrame([(0, 7, 0, 1), (0, 7, 1, 2), (0, 7, 63, 3), (1, 7, 0, 4)], "number int, print long, check long, node long")
+    assert {(r.a, r.b) for r in simhash.links(nodes, 3, 1).collect()} == {(1, 2)}
 
 
 def test_components_of_chains_stars_and_loops(spark):
