@@ -14,7 +14,9 @@ components of that graph.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -56,12 +58,30 @@ def fingerprints(text: str | None, shingle: int = 3, count: int = 1, distinct: b
     return np.packbits(2 * ones > total, axis=1, bitorder="little").view(np.uint64).ravel()
 
 
-def with_prints(docs: DataFrame, text_column: str, shingle: int, count: int, distinct: bool, check_shingle: int | None) -> Column:
-    """Array of the fingerprints, followed by one of the check's shingles, or 0."""
+@dataclass(frozen=True)
+class Check:
+    """What linked documents must agree in besides: ``count`` fingerprints of ``shingle`` words, ``radius`` bits of all of them."""
+
+    shingle: int
+    count: int
+    radius: int
+
+
+def similarity_check(shingle: int, similarity: float, count: int = 4) -> Check:
+    """The check for a Jaccard ``similarity`` of the shingles. Sets of equal size with it have the cosine 2 s / (1 + s), and a
+    bit differs with the probability angle / pi."""
+    share = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    return Check(shingle, count, int(share * count * BITS))
+
+
+def with_prints(docs: DataFrame, text_column: str, shingle: int, count: int, distinct: bool, check: Check | None) -> Column:
+    """Array of the fingerprints, followed by those of the check."""
 
     def of(text: str | None) -> np.ndarray:
-        check = fingerprints(text, check_shingle) if check_shingle else np.zeros(1, np.uint64)
-        return np.concatenate([fingerprints(text, shingle, count, distinct), check]).view(np.int64)
+        own = [fingerprints(text, shingle, count, distinct)]
+        if check:
+            own.append(fingerprints(text, check.shingle, check.count, distinct))
+        return np.concatenate(own).view(np.int64)
 
     @F.pandas_udf("array<long>")
     def prints(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -113,20 +133,16 @@ def chains_hold(apart: Column, radius: int) -> Column:
     return holds
 
 
-def links(nodes: DataFrame, radius: int, check_radius: int = BITS) -> DataFrame:
-    """Pairs a, b of nodes whose fingerprints of the same number are within ``radius`` and whose checks are within ``check_radius``.
-
-    ``nodes``: number, print, check, node; each print and check of a number once.
-    """
-    indexed = nodes.select("number", "node", "check", F.explode(chain_keys(F.col("print"), radius)).alias("k")).select(
-        "number", "node", "check", F.col("k.key").alias("key"), F.col("k.part").alias("part"), F.col("k.ring").alias("ring")
+def links(nodes: DataFrame, radius: int) -> DataFrame:
+    """Pairs a, b of nodes whose fingerprints of the same number are within ``radius``; ``nodes``: number, print, node."""
+    indexed = nodes.select("number", "node", F.explode(chain_keys(F.col("print"), radius)).alias("k")).select(
+        "number", "node", F.col("k.key").alias("key"), F.col("k.part").alias("part"), F.col("k.ring").alias("ring")
     )
 
     def pairs(rows: DataFrame, on: str, condition) -> DataFrame:
         one, other = rows.alias("one"), rows.alias("other")
         both = (F.col(f"one.{on}") == F.col(f"other.{on}")) & (F.col("one.number") == F.col("other.number"))
-        checks = F.bit_count(F.col("one.check").bitwiseXOR(F.col("other.check"))) <= check_radius
-        found = one.join(other, both & (F.col("one.node") < F.col("other.node")) & checks & condition)
+        found = one.join(other, both & (F.col("one.node") < F.col("other.node")) & condition)
         return found.select(F.col("one.node").alias("a"), F.col("other.node").alias("b"))
 
     apart = F.col("one.ring").bitwiseXOR(F.col("other.ring"))
@@ -136,32 +152,40 @@ def links(nodes: DataFrame, radius: int, check_radius: int = BITS) -> DataFrame:
     return pairs(indexed, "key", here).union(pairs(nodes, "print", F.lit(True))).distinct()
 
 
+def checked(found: DataFrame, checks: DataFrame, radius: int) -> DataFrame:
+    """The pairs whose checks (``checks``: node, check) differ in at most ``radius`` bits together."""
+    side = lambda c: checks.select(F.col("node").alias(c), F.col("check").alias(f"check_{c}"))
+    both = found.join(side("a"), "a").join(side("b"), "b")
+    apart = F.zip_with("check_a", "check_b", lambda x, y: F.bit_count(x.bitwiseXOR(y)))
+    return both.where(F.aggregate(apart, F.lit(0), lambda n, x: n + x) <= radius).select("a", "b")
+
+
 def near_groups(
     docs: DataFrame, key: str, id_column: str = "doc_id", text_column: str = "text",
-    shingle: int = 3, radius: int = 3, count: int = 1, distinct: bool = False, check: tuple[int, int] | None = None,
+    shingle: int = 3, radius: int = 3, count: int = 1, distinct: bool = False, check: Check | None = None,
 ) -> DataFrame:
     """One row per row of ``docs``: key, id, prints, component_id, stays.
 
     Documents are linked if one of their ``count`` fingerprints is within ``radius`` (at most 7) of the
-    other's of the same number and, where ``check`` is given as (shingle, radius), fingerprints of such
-    shingles are within that radius as well. component_id is the smallest id reachable, and the row with
-    that id, of equal ids the first row, stays. Null ids come after all others; a component of null ids has
-    a null one. Null, empty and blank texts have the fingerprint zero and are linked as any other. Texts
-    are read whole, in blocks of bounded size. An empty table gives no rows.
+    other's of the same number and, where a ``check`` is given, they pass it. component_id is the smallest
+    id reachable, and the row with that id, of equal ids the first row, stays. Null ids come after all
+    others; a component of null ids has a null one. Null, empty and blank texts have the fingerprint zero
+    and are linked as any other. Texts are read whole, in blocks of bounded size. An empty table gives
+    no rows.
     """
     if not 0 <= radius < SEGMENTS:
         raise ValueError(f"radius must be from 0 to {SEGMENTS - 1}")
-    check_shingle, check_radius = check or (None, BITS)
-    prints = with_prints(docs, text_column, shingle, count, distinct, check_shingle)
+    prints = with_prints(docs, text_column, shingle, count, distinct, check)
     printed = common.cut(docs.select(F.col(f"`{key}`").alias("key"), F.col(f"`{id_column}`").alias("id"), prints.alias("prints")))
     first = F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "key")).alias("first")
     groups = common.cut(printed.groupBy("prints").agg(first).withColumn("node", F.monotonically_increasing_id()))
-    each = groups.select(
-        "node", F.get("prints", F.lit(count)).alias("check"), F.posexplode(F.slice("prints", 1, count)).alias("number", "print")
-    )
+    own_check = F.slice("prints", count + 1, check.count if check else 0).alias("check")
+    each = groups.select("node", own_check, F.posexplode(F.slice("prints", 1, count)).alias("number", "print"))
     heads = each.groupBy("number", "print", "check").agg(F.min("node").alias("node"))
-    found = links(heads, radius, check_radius)
-    if count > 1:  # groups that share one of several fingerprints
+    found = links(heads, radius)
+    if check:
+        found = checked(found, groups.select("node", own_check), check.radius)
+    if count > 1:  # groups that share one of several fingerprints, and the check
         same = heads.withColumnRenamed("node", "head")
         found = found.union(
             each.join(same, ["number", "print", "check"]).where("node > head").select(F.col("node").alias("a"), F.col("head").alias("b"))

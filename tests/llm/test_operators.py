@@ -181,17 +181,33 @@ def test_pigeonring_loses_no_link(spark, radius):
             values.add(near)
     values = sorted(values)
     signed = [v - (1 << 64) if v >> 63 else v for v in values]
-    checks = [draw.getrandbits(3) for _ in values]
-    nodes = spark.createDataFrame([(0, p, c, n) for n, (p, c) in enumerate(zip(signed, checks, strict=True))], "number int, print long, check long, node long")
+    nodes = spark.createDataFrame([(0, p, n) for n, p in enumerate(signed)], "number int, print long, node long")
     near = {(a, b) for a in range(len(values)) for b in range(a + 1, len(values)) if (values[a] ^ values[b]).bit_count() <= radius}
     assert {(r.a, r.b) for r in simhash.links(nodes, radius).collect()} == near
-    got = {(r.a, r.b) for r in simhash.links(nodes, radius, 1).collect()}
-    assert got == {(a, b) for a, b in near if (checks[a] ^ checks[b]).bit_count() <= 1}
 
 
-def test_equal_fingerprints_with_different_checks(spark):
-    nodes = spark.createDataFrame([(0, 7, 0, 1), (0, 7, 1, 2), (0, 7, 63, 3), (1, 7, 0, 4)], "number int, print long, check long, node long")
-    assert {(r.a, r.b) for r in simhash.links(nodes, 3, 1).collect()} == {(1, 2)}
+def test_links_of_equal_fingerprints_and_their_check(spark):
+    rows = [(0, 7, 1), (0, 7, 2), (0, 7, 3), (1, 7, 4), (0, 15, 5)]
+    found = simhash.links(spark.createDataFrame(rows, "number int, print long, node long"), 3)
+    assert {(r.a, r.b) for r in found.collect()} == {(1, 2), (1, 3), (2, 3), (1, 5), (2, 5), (3, 5)}
+    checks = spark.createDataFrame([(1, [0, 0]), (2, [1, 2]), (3, [7, 7]), (4, [0, 0]), (5, [7, 3])], "node long, check array<long>")
+    assert {(r.a, r.b) for r in simhash.checked(found, checks, 2).collect()} == {(1, 2), (3, 5)}
+
+
+def test_near_copies_are_told_by_five_word_shingles(spark):
+    draw = random.Random(12)
+    whole = [f"w{draw.randrange(4_000)}" for _ in range(500)]
+    few, many = list(whole), list(whole)
+    for n in range(2):
+        few[100 + 200 * n] = "other"
+    for n in range(40):
+        many[12 * n] = "other"
+    shuffled = list(whole)
+    draw.shuffle(shuffled)
+    texts = [" ".join(t) for t in (whole, few, many, shuffled)]
+    df, key = common.row_keyed(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    rows = simhash.near_groups(df, key, shingle=1, distinct=True, count=4, check=simhash.similarity_check(5, 0.8)).collect()
+    assert {r.id: r.component_id for r in rows} == {0: 0, 1: 0, 2: 2, 3: 3}
 
 
 def test_components_of_chains_stars_and_loops(spark):
