@@ -29,75 +29,93 @@ TOTALS = {
 TOTAL_TYPE = "decimal(38,2)"
 
 
-def _one_row_per_name(parts: Sequence[DataFrame], name: str, values: Sequence[str]) -> DataFrame:
-    """Put one-row parts that each know some of the values side by side, by name."""
+def _sums_of_staged(staged: DataFrame, key: str, amount: str | None = None, version: Version = VERSION_COLUMNS) -> DataFrame:
+    """One row: distinct accepted keys, and the exact sum over the latest row of each, from one pass over the staging."""
+    total = F.coalesce(F.sum(amount), F.lit(0)).cast(TOTAL_TYPE) if amount else F.lit(None).cast(TOTAL_TYPE)
+    if amount:
+        return pending_latest(staged, [key], version).agg(F.count(key).alias("expected_count"), total.alias("source_value"))
+    pending = staged.where((F.col("record_status") == "pending") & F.col(key).isNotNull())
+    return pending.agg(F.count_distinct(key).alias("expected_count")).withColumn("source_value", total)
+
+
+def _sums_of_core(core: DataFrame, key: str, amount: str | None = None) -> DataFrame:
+    """One row: rows, repeated keys and the exact sum of a core table, from one pass with one shuffle."""
+    value = F.sum(amount) if amount else F.lit(None)
+    per_key = core.groupBy(key).agg(F.count("*").alias("n"), value.cast(TOTAL_TYPE).alias("value"))
+    return per_key.agg(
+        F.coalesce(F.sum("n"), F.lit(0)).cast("bigint").alias("actual_count"),
+        F.count_if(F.col("n") > 1).alias("duplicate_count"),
+        (F.coalesce(F.sum("value"), F.lit(0)) if amount else F.lit(None)).cast(TOTAL_TYPE).alias("warehouse_value"),
+    )
+
+
+def _side_by_side(pairs: Mapping[str, tuple[DataFrame, DataFrame]], name: str) -> DataFrame:
+    """Per table its staged and its core sums in one row, with both verdicts; the total's is NULL for a table without one."""
+    parts = [df.select(F.lit(n).alias(name), *df.columns) for n, both in pairs.items() for df in both]
     stacked = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
-    return stacked.groupBy(name).agg(*[F.max(v).alias(v) for v in values])
+    values = ["expected_count", "source_value", "actual_count", "duplicate_count", "warehouse_value"]
+    rows = stacked.groupBy(name).agg(*[F.max(v).alias(v) for v in values])
+    difference = F.col("source_value") - F.col("warehouse_value")
+    return rows.select(
+        "*", ((F.col("expected_count") == F.col("actual_count")) & (F.col("duplicate_count") == 0)).alias("is_valid"),
+        difference.cast(TOTAL_TYPE).alias("difference"), (difference == 0).alias("total_is_valid"),
+    )
 
 
-def _count_report(parts: Sequence[DataFrame], name: str) -> DataFrame:
-    rows = _one_row_per_name(parts, name, ["expected_count", "actual_count", "duplicate_count"])
-    valid = (F.col("expected_count") == F.col("actual_count")) & (F.col("duplicate_count") == 0)
-    return rows.withColumn("is_valid", valid)
+def _dimensions(t: Tables) -> DataFrame:
+    return _side_by_side({
+        name: (
+            _sums_of_staged(t[f"stg_{spec.staging}"], spec.business_key),
+            _sums_of_core(t[name].where(F.col(spec.current_column)), spec.business_key),
+        )
+        for name, spec in DIMENSIONS.items()
+    }, "dimension_name")
 
 
-def _expected(staged: DataFrame, key: str, label: str, name: str) -> DataFrame:
-    pending = staged.where((F.col("record_status") == "pending") & F.col(key).isNotNull())
-    return pending.agg(F.count_distinct(key).alias("expected_count")).select(F.lit(name).alias(label), "expected_count")
+def _facts(t: Tables, only: Sequence[str] = (), amounts: bool = False, version_of=lambda staging: VERSION_COLUMNS) -> DataFrame:
+    total_of = {fact: (key, amount, own) for _, key, amount, fact, own in TOTALS.values()} if amounts else {}
+    pairs = {}
+    for name, spec in FACTS.items():
+        if only and name not in only:
+            continue
+        key = spec.business_key[-1]
+        staged_key = key if name == "fact_partner_capital" else spec.staging_key
+        _, amount, own = total_of.get(name, (None, None, None))
+        pairs[name] = (_sums_of_staged(t[spec.staging], staged_key, amount, version_of(spec.staging)), _sums_of_core(t[name], key, own))
+    return _side_by_side(pairs, "fact_name")
 
 
-def _actual(core: DataFrame, key: str, label: str, name: str) -> DataFrame:
-    """Rows and repeated keys of a core table in one shuffle."""
-    per_key = core.groupBy(key).agg(F.count("*").alias("n"))
-    return per_key.agg(
-        F.coalesce(F.sum("n"), F.lit(0)).cast("bigint").alias("actual_count"),
-        F.count_if(F.col("n") > 1).alias("duplicate_count"),
-    ).select(F.lit(name).alias(label), "actual_count", "duplicate_count")
+_COUNTS = ("expected_count", "actual_count", "duplicate_count", "is_valid")
 
 
 def dimension_report(t: Tables) -> DataFrame:
     """Distinct accepted staged ids against current rows, per dimension."""
-    parts = []
-    for name, spec in DIMENSIONS.items():
-        current = t[name].where(F.col(spec.current_column))
-        parts.append(_expected(t[f"stg_{spec.staging}"], spec.business_key, "dimension_name", name))
-        parts.append(_actual(current, spec.business_key, "dimension_name", name))
-    return _count_report(parts, "dimension_name")
+    return _dimensions(t).select("dimension_name", *_COUNTS)
 
 
 def fact_report(t: Tables) -> DataFrame:
     """Distinct accepted staged keys against fact rows, per fact."""
-    parts = []
-    for name, spec in FACTS.items():
-        key = spec.business_key[-1]
-        staged_key = key if name == "fact_partner_capital" else spec.staging_key
-        parts.append(_expected(t[spec.staging], staged_key, "fact_name", name))
-        parts.append(_actual(t[name], key, "fact_name", name))
-    return _count_report(parts, "fact_name")
+    return _facts(t).select("fact_name", *_COUNTS)
 
 
 def totals_report(t: Tables, version_of: Callable[[str], Version] = lambda staging: VERSION_COLUMNS) -> DataFrame:
     """Exact money totals of the latest accepted staged rows against the facts."""
-    parts = []
-    for name, (staging, key, amount, fact, fact_amount) in TOTALS.items():
-        latest = pending_latest(t[staging], [key], version_of(staging))
-        label = F.lit(name).alias("metric_name")
-        parts.append(latest.agg(F.coalesce(F.sum(amount), F.lit(0)).cast(TOTAL_TYPE).alias("source_value")).select(label, "source_value"))
-        parts.append(t[fact].agg(F.coalesce(F.sum(fact_amount), F.lit(0)).cast(TOTAL_TYPE).alias("warehouse_value")).select(label, "warehouse_value"))
-    rows = _one_row_per_name(parts, "metric_name", ["source_value", "warehouse_value"])
-    difference = F.col("source_value") - F.col("warehouse_value")
-    return rows.withColumn("difference", difference.cast(TOTAL_TYPE)).withColumn("is_valid", difference == 0)
+    name_of = {fact: name for name, (_, _, _, fact, _) in TOTALS.items()}
+    rows = _facts(t, list(name_of), True, version_of)
+    names = F.create_map(*[F.lit(x) for pair in name_of.items() for x in pair])
+    return rows.select(
+        names[F.col("fact_name")].alias("metric_name"), "source_value", "warehouse_value", "difference", F.col("total_is_valid").alias("is_valid")
+    )
 
 
 def warehouse_report(t: Tables, version_of: Callable[[str], Version] = lambda staging: VERSION_COLUMNS) -> DataFrame:
-    """One row per group of checks and one for all: is everything valid?"""
-    groups = {
-        "dimensions": dimension_report(t),
-        "facts": fact_report(t),
-        "totals": totals_report(t, version_of),
-    }
-    rows = reduce(
-        lambda a, b: a.unionByName(b), [df.select(F.lit(n).alias("check_group"), "is_valid") for n, df in groups.items()]
+    """One row per group of checks and one for all: is everything valid? Each table is read once for all its checks."""
+    facts = _facts(t, (), True, version_of)
+    rows = _dimensions(t).select(F.lit("dimensions").alias("check_group"), "is_valid").unionByName(
+        facts.select(F.inline(F.array(
+            F.struct(F.lit("facts").alias("check_group"), F.col("is_valid")),
+            F.struct(F.lit("totals").alias("check_group"), F.col("total_is_valid").alias("is_valid")),
+        ))).where("is_valid IS NOT NULL")
     )
     return rows.rollup("check_group").agg(
         F.bool_and("is_valid").alias("is_valid"), F.count("*").alias("check_count")

@@ -128,7 +128,8 @@ def _finish(joined: DataFrame, terms: DataFrame, status: Column, candidates: Col
 
 # entity names ------------------------------------------------------------------
 
-GRAM = 3
+#: Texts are looked up by a piece of LONG_GRAM characters, shorter ones by one of GRAM.
+GRAM, LONG_GRAM = 3, 8
 
 
 def _grams(text: Column, length: int) -> Column:
@@ -142,17 +143,18 @@ def _contained_pairs(short: DataFrame, long: DataFrame) -> DataFrame:
     """(s, l) where text ``s`` occurs inside text ``l``.
 
     Each short text is looked up by the one of its grams that fewest long
-    texts hold, so a common syllable never pairs everything with everything.
-    Texts below the gram length are looked up whole.
+    texts hold, so a common syllable never pairs everything with everything,
+    and names that are mostly digits differ in eight of them sooner than in
+    three. Texts below the gram length are looked up whole.
     """
-    holders = long.select(
-        "l", F.explode(F.array_distinct(F.concat(*[_grams(F.col("l"), n) for n in range(1, GRAM + 1)]))).alias("gram")
-    )
+    lengths = (*range(1, GRAM + 1), LONG_GRAM)
+    holders = long.select("l", F.explode(F.array_distinct(F.concat(*[_grams(F.col("l"), n) for n in lengths]))).alias("gram"))
     frequency = holders.groupBy("gram").agg(F.count("*").alias("n"))
-    whole = F.char_length("s") < GRAM
-    probes = short.select(
-        "s", F.explode(F.when(whole, F.array("s")).otherwise(F.array_distinct(_grams(F.col("s"), GRAM)))).alias("gram")
+    size = F.char_length("s")
+    pieces = (
+        F.when(size < GRAM, F.array("s")).when(size < LONG_GRAM, _grams(F.col("s"), GRAM)).otherwise(_grams(F.col("s"), LONG_GRAM))
     )
+    probes = short.select("s", F.explode(F.array_distinct(pieces)).alias("gram"))
     rarest = (
         probes.join(frequency, "gram", "left")
         .groupBy("s")
@@ -184,26 +186,23 @@ def resolve_entities(values: DataFrame, column: str, directory: DataFrame) -> Da
     """Add ``status``, ``resolved`` id and ``match_count`` to each value.
 
     One exact match wins over any loose ones; one loose match alone is taken;
-    more of the deciding kind is ambiguous. The matches themselves can be
-    many: take them from ``entity_matches``.
+    more of the deciding kind is ambiguous. So values with an exact match,
+    found by an equality join, need no search, and only the others are looked
+    for inside names. The matches themselves can be many: take them from
+    ``entity_matches``.
     """
-    per_value = (
-        entity_matches(values, column, directory)
-        .groupBy("v")
-        .agg(
-            F.count_if("exact").alias("exact_n"),
-            F.count("*").alias("all_n"),
-            F.min(F.when(F.col("exact"), F.col("id"))).alias("exact_id"),
-            F.min("id").alias("any_id"),
-        )
-    )
+    wanted = values.select(normalize_term(column).alias("v")).where(F.coalesce(F.col("v"), F.lit("")) != "").distinct()
+    named = directory.select("id", normalize_term("name").alias("n"))
+    exact = wanted.join(named, F.col("v") == F.col("n")).groupBy("v").agg(F.count("*").alias("n"), F.min("id").alias("id"))
+    rest = wanted.join(exact.select("v"), "v", "left_anti")
+    loose = entity_matches(rest, "v", directory).groupBy("v").agg(F.count("*").alias("n"), F.min("id").alias("id"))
+    per_value = exact.unionByName(loose)
     joined = values.withColumn("__v", normalize_term(column)).join(
-        per_value.withColumnRenamed("v", "__match"), F.col("__v") == F.col("__match"), "left"
+        per_value.withColumnsRenamed({"v": "__match", "n": "__n", "id": "__id"}), F.col("__v") == F.col("__match"), "left"
     )
-    exact_n, all_n = F.coalesce("exact_n", F.lit(0)), F.coalesce("all_n", F.lit(0))
-    deciding = F.when(exact_n > 0, exact_n).otherwise(all_n)
+    deciding = F.coalesce("__n", F.lit(0))
     status = F.when(deciding == 0, NOT_FOUND).when(deciding == 1, RESOLVED).otherwise(AMBIGUOUS)
-    best = F.when(exact_n == 1, F.col("exact_id")).otherwise(F.col("any_id"))
+    best = F.col("__id")
     return (
         joined.withColumn("status", status)
         .withColumn("resolved", F.when(F.col("status") == RESOLVED, best))

@@ -122,6 +122,25 @@ SELECT p_partkey, CASE WHEN all_n IS NULL THEN 'not_found' WHEN exact_n = 1 OR (
   coalesce(CASE WHEN exact_n > 0 THEN exact_n ELSE all_n END, 0) AS match_count
 FROM v LEFT JOIN m USING (v)""",
 )
+# customer names are digits but for their first letters: exact, without leading letters, cut at the end, and unknown
+_CALLED = """CASE c_custkey % 4 WHEN 0 THEN upper(c_name) WHEN 1 THEN substr(c_name, 10) WHEN 2 THEN substr(c_name, 1, length(c_name) - 1)
+ELSE 'no ' || c_name || '0' END"""
+register(
+    "resolve_customer_names",
+    lambda spark, folder: rs.resolve_entities(
+        table("customer")(spark, folder).selectExpr("c_custkey", f"{_CALLED} AS said"), "said",
+        table("customer")(spark, folder).select(F.col("c_custkey").cast("string").alias("id"), F.col("c_name").alias("name")),
+    ).select("c_custkey", "status", "resolved", "match_count"),
+    f"""WITH d AS (SELECT CAST(c_custkey AS VARCHAR) AS id, lower(c_name) AS n FROM customer),
+v AS (SELECT c_custkey, lower({_CALLED}) AS v FROM customer),
+m AS (SELECT v, count(*) FILTER (v = n) AS exact_n, count(*) AS all_n, min(id) FILTER (v = n) AS exact_id, min(id) AS any_id
+  FROM (SELECT DISTINCT v FROM v), d WHERE contains(n, v) OR contains(v, n) GROUP BY v)
+SELECT c_custkey, CASE WHEN all_n IS NULL THEN 'not_found' WHEN exact_n = 1 OR (exact_n = 0 AND all_n = 1) THEN 'resolved'
+  ELSE 'ambiguous' END AS status,
+  CASE WHEN exact_n = 1 THEN exact_id WHEN exact_n = 0 AND all_n = 1 THEN any_id END AS resolved,
+  coalesce(CASE WHEN exact_n > 0 THEN exact_n ELSE all_n END, 0) AS match_count
+FROM v LEFT JOIN m USING (v)""",
+)
 register(
     "entity_matches",
     on_warehouse(
