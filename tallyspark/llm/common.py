@@ -58,7 +58,7 @@ def row_keyed(df: DataFrame, name: str = "_row") -> tuple[DataFrame, str]:
     """``df`` with a key that tells its rows apart, even equal ones, and the name of that column.
 
     The key is the place of the row in its Parquet file, the same for every scan and every retried
-    task. Rows that come from no Parquet file are written to one first.
+    task. Rows that are not simply read from Parquet files, but joined or made otherwise, are written to one first.
     """
     name = fresh(df, name)
 
@@ -68,10 +68,17 @@ def row_keyed(df: DataFrame, name: str = "_row") -> tuple[DataFrame, str]:
             "*", F.struct(F.xxhash64(place["file_path"]).alias("file"), place["row_index"].alias("at")).alias(name)
         )
 
-    try:
-        return keyed(df), name
-    except AnalysisException:
-        return keyed(stored(df, "rows")), name
+    def only_read(plan) -> bool:
+        children = plan.children()
+        own = plan.nodeName() in ("Project", "Filter", "LogicalRelation", "SubqueryAlias") and children.size() <= 1
+        return own and all(only_read(children.apply(n)) for n in range(children.size()))
+
+    if only_read(df._jdf.queryExecution().analyzed()):
+        try:
+            return keyed(df), name
+        except AnalysisException:  # the relation is no file source
+            pass
+    return keyed(stored(df, "rows")), name
 
 
 def text_of(column: str) -> Column:

@@ -6,10 +6,11 @@ floor(l * radius / SEGMENTS) bits (pigeonring principle, Qin and Xiao 2018). Cha
 be equal, and of the bits that follow while the budget is 1, one half must be. That gives the join key; in
 the join's condition the budgets of all longer chains prune what is left, and the last chain, the whole
 ring, is the Hamming check. Nothing within the radius is lost, and only true links leave the join, each
-at the first of the neighbouring segments it could be found from.
+at the first of the neighbouring segments it could be found from. Keys of one node only are dropped before.
 
 Equal fingerprints are one node of the graph of links, so copies cost no links. Groups are the connected
-components of that graph.
+components of that graph. Nodes are first linked to the first and the last node of each of their keys; the
+join then looks only for links between nodes that this has not connected.
 """
 
 from __future__ import annotations
@@ -21,6 +22,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tallyspark.llm import common, words
@@ -110,18 +112,22 @@ def half_of(ring: Column, radius: int, part: int) -> Column:
     return F.shiftrightunsigned(ring, top - half * (part + 1)).bitwiseAND(F.lit((1 << half) - 1).cast("long"))
 
 
-def chain_keys(value: Column, radius: int) -> Column:
-    """Array of (key, part, ring): for each first segment two keys, and the fingerprint turned to that segment."""
+def chain_keys(number: Column, value: Column, radius: int) -> Column:
+    """Array of (key, ring): for each first segment two keys, and the fingerprint turned to that segment.
+
+    A key holds the fingerprint's number, the first segment, the equal chain, one half of what follows, and in the lowest bit
+    which half.
+    """
     exact, half, top = chain_lengths(radius)
     keys = []
     for first in range(SEGMENTS):
         ring = turned(value, first)
-        head = F.shiftrightunsigned(ring, top) if exact else F.lit(0).cast("long")
+        name = F.shiftleft(number.cast("long") * SEGMENTS + first, exact * WIDTH)
+        head = name.bitwiseOR(F.shiftrightunsigned(ring, top)) if exact else name
         for part in range(2 if half else 1):
-            name = F.shiftleft(F.lit(first * 2 + part).cast("long"), exact * WIDTH + half)
             tail = half_of(ring, radius, part) if half else F.lit(0).cast("long")
-            key = name.bitwiseOR(F.shiftleft(head, half)).bitwiseOR(tail)
-            keys.append(F.struct(key.alias("key"), F.lit(part).alias("part"), ring.alias("ring")))
+            key = F.shiftleft(F.shiftleft(head, half).bitwiseOR(tail), 1).bitwiseOR(F.lit(part).cast("long"))
+            keys.append(F.struct(key.alias("key"), ring.alias("ring")))
     return F.array(*keys)
 
 
@@ -133,23 +139,63 @@ def chains_hold(apart: Column, radius: int) -> Column:
     return holds
 
 
-def links(nodes: DataFrame, radius: int) -> DataFrame:
-    """Pairs a, b of nodes whose fingerprints of the same number are within ``radius``; ``nodes``: number, print, node."""
-    indexed = nodes.select("number", "node", F.explode(chain_keys(F.col("print"), radius)).alias("k")).select(
-        "number", "node", F.col("k.key").alias("key"), F.col("k.part").alias("part"), F.col("k.ring").alias("ring")
+def index(nodes: DataFrame, radius: int) -> DataFrame:
+    """Rows (key, node, ring) of keys that several nodes share, with the first and the last of those nodes; ``nodes``: number, print, node."""
+    rows = nodes.select("node", F.explode(chain_keys(F.col("number"), F.col("print"), radius)).alias("k")).select("node", "k.key", "k.ring")
+    of_key = W.partitionBy("key")
+    place = F.struct("node", "ring")
+    return common.cut(
+        rows.select("*", F.min(place).over(of_key).alias("low"), F.max(place).over(of_key).alias("high")).where("low.node < high.node")
     )
 
-    def pairs(rows: DataFrame, on: str, condition) -> DataFrame:
-        one, other = rows.alias("one"), rows.alias("other")
-        both = (F.col(f"one.{on}") == F.col(f"other.{on}")) & (F.col("one.number") == F.col("other.number"))
-        found = one.join(other, both & (F.col("one.node") < F.col("other.node")) & condition)
-        return found.select(F.col("one.node").alias("a"), F.col("other.node").alias("b"))
 
-    apart = F.col("one.ring").bitwiseXOR(F.col("other.ring"))
+def found_here(apart: Column, key: Column, radius: int) -> Column:
+    """Whether rings with this difference are linked and this key is one that has to tell it."""
     here = (apart != 0) & chains_hold(apart, radius) & ~chains_hold(turned(apart, SEGMENTS - 1), radius)
     if chain_lengths(radius)[1]:  # with both halves equal, the first one finds the pair
-        here &= (F.col("one.part") == 0) | (half_of(apart, radius, 0) != 0)
-    return pairs(indexed, "key", here).union(pairs(nodes, "print", F.lit(True))).distinct()
+        here &= (key.bitwiseAND(F.lit(1).cast("long")) == 0) | (half_of(apart, radius, 0) != 0)
+    return here
+
+
+def star_links(indexed: DataFrame, radius: int) -> DataFrame:
+    """Links of every node to the first and the last node of its keys: at most two per row of the index."""
+    near = lambda end: indexed.where(
+        (F.col("node") != F.col(f"{end}.node")) & (F.bit_count(F.col("ring").bitwiseXOR(F.col(f"{end}.ring"))) <= radius)
+    ).select(F.col("node").alias("a"), F.col(f"{end}.node").alias("b"))
+    return near("low").union(near("high")).distinct()
+
+
+def links(
+    indexed: DataFrame, nodes: DataFrame, radius: int, roots: DataFrame | None = None,
+    checks: DataFrame | None = None, check: Check | None = None,
+) -> DataFrame:
+    """Pairs a, b of nodes whose fingerprints of the same number are within ``radius``, of nodes with unequal ``roots`` (node, root) only.
+
+    With a ``check``, pairs have to pass it too (``checks``: node, check). Nodes that some links connect already need no further
+    link between them; a dense group of n near copies, which has as many links as pairs, so leaves the join with few.
+    """
+    def described(rows: DataFrame) -> DataFrame:
+        if roots is None:
+            rows = rows.withColumn("root", F.col("node"))
+        else:
+            rows = rows.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        return rows.join(checks, "node") if check else rows
+
+    def pairs(rows: DataFrame, on: list[str], condition) -> DataFrame:
+        one, other = rows.alias("one"), rows.alias("other")
+        both = F.lit(True)
+        for c in on:
+            both &= F.col(f"one.{c}") == F.col(f"other.{c}")
+        both &= (F.col("one.node") < F.col("other.node")) & (F.col("one.root") != F.col("other.root")) & condition
+        if check:
+            apart = [F.bit_count(F.get("one.check", F.lit(n)).bitwiseXOR(F.get("other.check", F.lit(n)))) for n in range(check.count)]
+            both &= sum(apart[1:], apart[0]) <= check.radius
+        return one.join(other, both).select(F.col("one.node").alias("a"), F.col("other.node").alias("b"))
+
+    apart = F.col("one.ring").bitwiseXOR(F.col("other.ring"))
+    near = pairs(described(indexed.select("key", "node", "ring")), ["key"], found_here(apart, F.col("one.key"), radius))
+    equal = pairs(described(nodes.select("number", "print", "node")), ["number", "print"], F.lit(True))
+    return near.union(equal).distinct()
 
 
 def checked(found: DataFrame, checks: DataFrame, radius: int) -> DataFrame:
@@ -182,15 +228,19 @@ def near_groups(
     own_check = F.slice("prints", count + 1, check.count if check else 0).alias("check")
     each = groups.select("node", own_check, F.posexplode(F.slice("prints", 1, count)).alias("number", "print"))
     heads = each.groupBy("number", "print", "check").agg(F.min("node").alias("node"))
-    found = links(heads, radius)
+    checks = groups.select("node", own_check)
+    indexed = index(heads, radius)
+    known = star_links(indexed, radius)
     if check:
-        found = checked(found, groups.select("node", own_check), check.radius)
+        known = checked(known, checks, check.radius)
     if count > 1:  # groups that share one of several fingerprints, and the check
         same = heads.withColumnRenamed("node", "head")
-        found = found.union(
+        known = known.union(
             each.join(same, ["number", "print", "check"]).where("node > head").select(F.col("node").alias("a"), F.col("head").alias("b"))
         )
-    roots = common.cut(components(found))
+    starred = common.cut(components(known))
+    more = links(indexed, heads, radius, starred, checks, check)
+    roots = common.cut(components(more.union(starred.select(F.col("node").alias("a"), F.col("root").alias("b")))))
     members = groups.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     of_root = members.groupBy("root").agg(F.min("first").alias("of_component"))
     of_prints = members.join(of_root, "root").select("prints", "of_component")

@@ -183,15 +183,27 @@ def test_pigeonring_loses_no_link(spark, radius):
     signed = [v - (1 << 64) if v >> 63 else v for v in values]
     nodes = spark.createDataFrame([(0, p, n) for n, p in enumerate(signed)], "number int, print long, node long")
     near = {(a, b) for a in range(len(values)) for b in range(a + 1, len(values)) if (values[a] ^ values[b]).bit_count() <= radius}
-    assert {(r.a, r.b) for r in simhash.links(nodes, radius).collect()} == near
+    indexed = simhash.index(nodes, radius)
+    found = simhash.links(indexed, nodes, radius)
+    assert {(r.a, r.b) for r in found.collect()} == near
+    stars = simhash.star_links(indexed, radius)
+    assert {tuple(sorted(r)) for r in stars.collect()} <= near
+    # with what the stars connect left out, the components stay the same
+    starred = components(stars)
+    more = simhash.links(indexed, nodes, radius, starred).union(stars)
+    whole = {r.node: r.root for r in components(found).collect()}
+    assert {r.node: r.root for r in components(more).collect()} == whole
 
 
 def test_links_of_equal_fingerprints_and_their_check(spark):
     rows = [(0, 7, 1), (0, 7, 2), (0, 7, 3), (1, 7, 4), (0, 15, 5)]
-    found = simhash.links(spark.createDataFrame(rows, "number int, print long, node long"), 3)
+    nodes = spark.createDataFrame(rows, "number int, print long, node long")
+    found = simhash.links(simhash.index(nodes, 3), nodes, 3)
     assert {(r.a, r.b) for r in found.collect()} == {(1, 2), (1, 3), (2, 3), (1, 5), (2, 5), (3, 5)}
     checks = spark.createDataFrame([(1, [0, 0]), (2, [1, 2]), (3, [7, 7]), (4, [0, 0]), (5, [7, 3])], "node long, check array<long>")
     assert {(r.a, r.b) for r in simhash.checked(found, checks, 2).collect()} == {(1, 2), (3, 5)}
+    within = simhash.links(simhash.index(nodes, 3), nodes, 3, None, checks, simhash.Check(5, 2, 2))
+    assert {(r.a, r.b) for r in within.collect()} == {(1, 2), (3, 5)}
 
 
 def test_near_copies_are_told_by_five_word_shingles(spark):
