@@ -95,6 +95,8 @@ def stage(store: TableStore, entity: str, batch_id: str | None = None) -> None:
     if raw is None:
         return
     staged = store.read("staging", entity)
+    if staged is not None:
+        staged = raw_rows(staged, batch_id)  # row ids hold their batch: the history of other batches need not be read
     fresh = not_yet_staged(raw_rows(raw, batch_id), _stored(staged, ["source_row_identifier"]))
     # a row id is made of batch, file and position, so rows not staged yet cannot meet a staged twin
     store.append(type_and_check(fresh, spec), "staging", entity, partition_by=["record_status"])

@@ -8,7 +8,7 @@ from tallyspark.plans import warehouse_jobs as wj
 from tallyspark.plans.facts import unresolved_rows
 from tallyspark.plans.metric_query import MetricRequest, metric_query
 from tallyspark.plans.views import SUMMARY, register_views
-from tallyspark.sources.csv_source import MissingColumns, read_export
+from tallyspark.sources.csv_source import MissingColumns, has_quoted_line_breaks, read_export, row_hash
 from tallyspark.sources.ledger import BatchLedger
 from tallyspark.sources.specs import ENTITIES
 from tallyspark.sources.tables import TableStore
@@ -207,3 +207,65 @@ def test_stream_stages_new_files_once(spark, tmp_path):
     ]
 
 
+
+CORRECTIONS = {
+    "order": ["O1,2026-11-06,C2,21,0,0,21,20,1,Delivered,Kim,"],
+    "order_item": ["I1,O1,P1,3,10,7,0,30,21,L1"],
+    "product": ["P1,Nuts,Food,kg,10,8,5,1,true"],
+}
+
+
+@pytest.mark.parametrize("entity", CORRECTIONS)
+def test_a_batch_load_equals_a_full_load(loaded, entity):
+    """Whatever a corrected row touches, directly or through what depends on it, is loaded with its batch."""
+    store, base = loaded
+    path = write(base / f"fix-{entity}", entity, CORRECTIONS[entity])
+    batch = wj.ingest(store, entity, path)
+    wj.stage(store, entity, batch)
+    if entity == "product":
+        wj.load_dimensions(store, dt.date(2026, 7, 1), dt.date(2026, 12, 31))
+    t = wj.StoredTables(store)
+    before = {n: rows(t[n]) for n in wj.FACTS}
+    wj.load_facts(store, batches=[batch])
+    after = {n: rows(t[n]) for n in wj.FACTS}
+    assert after != before
+    wj.load_facts(store)
+    assert {n: rows(t[n]) for n in wj.FACTS} == after
+
+
+def test_return_lines_follow_the_line_and_the_order_they_return(spark):
+    pending = "pending"
+    line = "return_item_id string, return_id string, order_item_id string, product_id string, ingestion_batch_id string, record_status string"
+    tables = {
+        "stg_return_item": spark.createDataFrame(
+            [("a", "r1", "i1", "p", "b1", pending), ("b", "r2", "i2", "p", "b1", pending), ("c", "r3", None, "q", "b1", pending)], line
+        ),
+        "stg_order_item": spark.createDataFrame([("i1", "o1", "b2"), ("i2", "o2", "b1")], "order_item_id string, order_id string, ingestion_batch_id string"),
+        "stg_order": spark.createDataFrame([("o2", "b3"), ("o1", "b1")], "order_id string, ingestion_batch_id string"),
+        "stg_return": spark.createDataFrame([("r3", "b4")], "return_id string, ingestion_batch_id string"),
+        "stg_product": spark.createDataFrame([("q", "b5")], "product_id string, ingestion_batch_id string"),
+    }
+    chosen = {b: [r[0] for r in rows(wj._of_batches(tables, "fact_return_items", [b])["stg_return_item"])] for b in ("b1", "b2", "b3", "b4", "b5", "b6")}
+    assert chosen == {"b1": ["a", "b", "c"], "b2": ["a"], "b3": ["b"], "b4": ["c"], "b5": ["c"], "b6": []}
+
+
+def test_a_failing_micro_batch_is_recorded(spark, tmp_path):
+    store = TableStore(spark, str(tmp_path / "store"))
+    write(tmp_path / "inbox", "supplier", ["S1,Mill,true"], header="Supplier_ID,Supplier_Name,Active")
+    query = ingest_stream(store, "supplier", str(tmp_path / "inbox"), str(tmp_path / "checkpoint"))
+    with pytest.raises(Exception):
+        query.awaitTermination(120)
+    state = BatchLedger(store).state().first()
+    assert (state.batch_id, state.status) == ("supplier-stream-0", "failed") and state.error_message
+
+
+def test_row_hash_tells_separators_from_text(spark):
+    df = spark.createDataFrame([("a|product=b", "c"), ("a", "b|product=c"), ("a\\", "|"), ("a", "\\|")], "flag string, product string")
+    assert df.select(row_hash(["flag", "product"]).alias("h")).distinct().count() == 4
+
+
+def test_line_breaks_inside_quotes_are_looked_for(spark, tmp_path):
+    plain = write(tmp_path / "a", "partner", ["R1,\"Kim, \"\"K\"\"\",x,true", "R2,Lee,x,true"])
+    broken = write(tmp_path / "b", "partner", ["R1,\"Kim\nLee\",x,true", "R2,Lee,x,true"])
+    assert not has_quoted_line_breaks(spark, plain) and has_quoted_line_breaks(spark, [plain, broken])
+    assert [r.partner_name for r in read_export(spark, broken, ENTITIES["partner"]).orderBy("partner_id").collect()] == ["Kim\nLee", "Lee"]
