@@ -105,10 +105,6 @@ def _pairs(*names: str) -> tuple[str, ...]:
     return tuple(f"{n}_{part}" for n in names for part in ("id", "name"))
 
 
-def _words(text: str) -> tuple[str, ...]:
-    return tuple(w.strip() for w in text.split(","))
-
-
 # Metric names, columns, filters, dimensions and the terms users say.
 def standard_registry(capital_in: Sequence[str] = ("CAPITAL",)) -> MetricRegistry:
     """The 18 metrics. ``capital_in`` says which transaction types bring capital in."""
@@ -121,104 +117,111 @@ def standard_registry(capital_in: Sequence[str] = ("CAPITAL",)) -> MetricRegistr
         Metric(
             "number_of_orders", "v_orders", "count_distinct", "order_id",
             (*_pairs("customer"), "order_status", "collected_by"), display_name="Total Orders",
-            aliases=_words("orders received, orders, order count, how many orders, total orders, How many purchases"),
+            aliases=(
+                "orders received", "orders", "order count", "how many orders", "total orders", "How many purchases",
+            ),
         ),
         Metric(
             "gross_sales", "v_sales", "sum", "gross_sales",
             (*_pairs("customer", "product"), "product_category", *_pairs("location")), display_name="Gross Sales",
-            aliases=_words(
-                "revenue, total revenue, sales, total sales, sales amount, earn, earnings, gross revenue, top line"
+            aliases=(
+                "revenue", "total revenue", "sales", "total sales", "sales amount", "earn", "earnings",
+                "gross revenue", "top line",
             ),
         ),
         Metric(
             "net_sales", SUMMARY, "sum", "net_sales", display_name="Net Sales",
-            aliases=_words(
-                "net revenue, net income, sales after returns, final sales, earn after returns, revenue after returns,"
-                " revenue after customer returns, earn, earnings, income"
+            aliases=(
+                "net revenue", "net income", "sales after returns", "final sales", "earn after returns",
+                "revenue after returns", "revenue after customer returns", "earn", "earnings", "income",
             ),
         ),
         Metric(
             "total_payments", "v_payments", "sum", "amount",
             (*_pairs("customer", "cash_account"), "payment_method", "collected_by"), display_name="Total Payments",
-            aliases=_words(
-                "collections, payments, payment received, money received, amount received, receipts,"
-                " customers pay us in total"
+            aliases=(
+                "collections", "payments", "payment received", "money received", "amount received", "receipts",
+                "customers pay us in total",
             ),
         ),
         Metric(
             "total_returns", "v_returns", "count_distinct", "return_id",
             ("return_type", *_pairs("customer", "location", "cash_account"), "status", "returned_by"),
             display_name="Total Returns",
-            aliases=_words("returns, return count, number of returns, returned items"),
+            aliases=("returns", "return count", "number of returns", "returned items"),
         ),
         Metric(
             "return_amount", "v_returns", "sum", "refund_amount",
             ("return_type", *_pairs("customer", "location"), "status"), display_name="Return Amount",
-            aliases=_words("refund amount, total refunds, value of returns, returns value"),
+            aliases=("refund amount", "total refunds", "value of returns", "returns value"),
         ),
         Metric(
             "cash_refund", "v_returns", "sum", "cash_refund", ("return_type", *_pairs("customer", "cash_account")),
             display_name="Cash Refund",
-            aliases=_words("cash refunded, refunded in cash, cash returned"),
+            aliases=("cash refunded", "refunded in cash", "cash returned"),
         ),
         Metric(
             "due_adjustment", "v_returns", "sum", "due_adjustment", ("return_type", *_pairs("customer"), "status"),
             display_name="Due Adjustment",
-            aliases=_words("due adjusted, adjusted against dues, due settlement"),
+            aliases=("due adjusted", "adjusted against dues", "due settlement"),
         ),
         Metric(
             "total_purchases", "v_purchases", "sum", "line_total", _pairs("supplier", "product", "location"),
             display_name="Total Purchases",
-            aliases=_words("purchases, total purchase value, purchase amount, procurement spend"),
+            aliases=("purchases", "total purchase value", "purchase amount", "procurement spend"),
         ),
         Metric(
             "purchase_transactions", "v_purchases", "count_distinct", "purchase_id", _pairs("supplier", "location"),
             display_name="Purchase Transactions",
-            aliases=_words("purchase count, number of purchases, purchases made"),
+            aliases=("purchase count", "number of purchases", "purchases made"),
         ),
         Metric(
             "cash_in", "v_cash_transactions", "sum", "amount", cash, incoming, display_name="Cash In",
-            aliases=_words("cash inflow, cash in, money coming in, cash received, money came into"),
+            aliases=("cash inflow", "cash in", "money coming in", "cash received", "money came into"),
         ),
         Metric(
             "cash_out", "v_cash_transactions", "sum", "amount", cash, outgoing, display_name="Cash Out",
-            aliases=_words("cash outflow, cash out, money going out, cash spent, cash disbursed, money left"),
+            aliases=(
+                "cash outflow", "cash out", "money going out", "cash spent", "cash disbursed", "money left",
+            ),
         ),
         Metric(
             "total_expenses", "v_expenses", "sum", "amount",
             ("expense_category", *_pairs("cash_account"), "paid_by", "amount"), display_name="Total Expenses",
-            aliases=_words(
-                "expenses, business expenses, spending, money spent, what did we spend, total spent, expenditure"
+            aliases=(
+                "expenses", "business expenses", "spending", "money spent", "what did we spend", "total spent",
+                "expenditure",
             ),
         ),
         Metric(
             "capital_invested", "v_partner_capital", "sum", "amount", capital,
             (FixedFilter("transaction_type", tuple(capital_in)),), display_name="Capital Invested",
-            aliases=_words(
-                "capital added, capital contribution, capital invested, partner investment, partners put into,"
-                " investors put into"
+            aliases=(
+                "capital added", "capital contribution", "capital invested", "partner investment",
+                "partners put into", "investors put into",
             ),
         ),
         Metric(
             "capital_withdrawn", "v_partner_capital", "sum", "amount", capital,
             (FixedFilter("transaction_type", ("WITHDRAWAL",)),), display_name="Capital Withdrawn",
-            aliases=_words(
-                "capital withdrawn, capital withdrawal, partner withdrawal, capital taken out, money withdrawn"
+            aliases=(
+                "capital withdrawn", "capital withdrawal", "partner withdrawal", "capital taken out",
+                "money withdrawn",
             ),
         ),
         Metric(
             "stock_in_quantity", "v_stock_movements", "sum", "quantity", stock, incoming,
             display_name="Stock In Quantity",
-            aliases=_words("stock in, inventory received, stock received, goods received"),
+            aliases=("stock in", "inventory received", "stock received", "goods received"),
         ),
         Metric(
             "stock_out_quantity", "v_stock_movements", "sum", "quantity", stock, outgoing,
             display_name="Stock Out Quantity",
-            aliases=_words("stock out, inventory issued, stock issued, goods issued"),
+            aliases=("stock out", "inventory issued", "stock issued", "goods issued"),
         ),
         Metric(
             "gross_business_margin", SUMMARY, "sum", "gross_business_margin", display_name="Gross Business Margin",
-            aliases=_words("profit, margin, business margin, gross margin, earn, income"),
+            aliases=("profit", "margin", "business margin", "gross margin", "earn", "income"),
         ),
     ):
         registry.add(metric)
