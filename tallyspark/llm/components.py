@@ -8,10 +8,14 @@ from pyspark.sql import functions as F
 from tallyspark.llm.common import cut
 
 
-def _star(pairs: DataFrame) -> DataFrame:
+#: Links of one task. Rounds over few links take few tasks, however many shuffle partitions there are.
+LINKS_PER_TASK = 100_000
+
+
+def _star(pairs: DataFrame, tasks: int) -> DataFrame:
     """Every neighbour of a node linked to the smallest one; the node itself counts as its neighbour."""
     heads = pairs.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("head"))
-    return pairs.join(heads, "a")
+    return pairs.join(heads, "a").coalesce(tasks)
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -27,16 +31,21 @@ def components(links: DataFrame) -> DataFrame:
     edges = cut(larger_first.distinct())
     state = None
     while True:
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+        now = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+        tasks = max(1, -(-now["n"] // LINKS_PER_TASK))
+        edges = edges.coalesce(tasks)
         if now == state:
             return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).union(
                 edges.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()
             )
         state = now
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        large = _star(both).where(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("head").alias("b")).distinct()
-        small = _star(large)
+        large = _star(both, tasks).where(F.col("b") > F.col("a")).select(
+            F.col("b").alias("a"), F.col("head").alias("b")
+        ).distinct().coalesce(tasks)
+        small = _star(large, tasks)
         edges = cut(
             small.select("a", F.col("head").alias("b"))
-            .union(small.where(F.col("b") != F.col("head")).select(F.col("b").alias("a"), F.col("head").alias("b"))).distinct()
+            .union(small.where(F.col("b") != F.col("head")).select(F.col("b").alias("a"), F.col("head").alias("b")))
+            .distinct().coalesce(tasks)
         )
