@@ -1,12 +1,10 @@
-"""Benchmark passages in documents, found by SimHash windows of the size of the items.
+"""Benchmark passages in documents, found by their five-word shingles.
 
-An item of n words is entered with all its windows of c words, c a little below n. A document is cut into
-windows of c words every n - c + 1 words, so that wherever the item stands, one window of the document
-falls on exactly one window of the item. Window fingerprints are compared by multi-index hashing: a
-64-bit fingerprint within RADIUS of another differs in at most RADIUS // BLOCKS bits in one of BLOCKS
-blocks, so a table of all block values at that distance misses none. Candidates are verified on the exact
-words: the share of the item's five-word shingles, weighted by their rarity among the items, that stand in
-the stretch of the document that the item would cover.
+Every shingle of a document is looked up among those of all items. The places at which shingles of one item stand
+are taken together as long as not more words than the item has stand between two neighbours, so words put into
+a passage or taken out of it do not part it. Such a stretch is a match if the share of the item's shingles in it,
+weighted by their rarity among the items, is at least LEAST. Nothing is estimated: an item with that share in a
+stretch is always found.
 
 Words are those of the text in lower case without ASCII punctuation.
 """
@@ -15,7 +13,7 @@ from __future__ import annotations
 
 import math
 import string
-from collections import Counter, defaultdict
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from itertools import combinations
@@ -29,14 +27,10 @@ from pyspark.sql import types as T
 from tallyspark.llm import common, words
 
 SHINGLE, LEAST = 5, 0.8
-#: Features of the fingerprints are pairs of words: one changed word touches two of them.
-FEATURE = 2
 BITS, BLOCKS, RADIUS = 64, 4, 11
 BLOCK_BITS = BITS // BLOCKS
-#: Window lengths grow by this factor; a window has at most FILL of its item's words.
-GROWTH, FILL, SHORTEST = 1.25, 0.85, 5
-#: Words that are held, and windowed, at a time; a longer text is held whole.
-BATCH_WORDS, SPAN = 1 << 19, 1 << 14
+#: Words that are held, and looked up, at a time; a longer text is held whole.
+BATCH_WORDS = 1 << 19
 #: Items of one pass over the documents; more items take more passes, so no task ever holds a larger index.
 ITEMS_PER_PASS = 20_000
 
@@ -55,26 +49,6 @@ def word_hashes(text: str | None) -> np.ndarray:
     return np.concatenate([np.zeros(0, np.uint64), *(words.hashes(b) for b in words.word_blocks(plain(text)))])
 
 
-def features(hashed: np.ndarray) -> np.ndarray:
-    """Hash of each pair of neighbouring words; of a single word, its own."""
-    if len(hashed) < FEATURE:
-        return hashed
-    return words.mixed(words.mixed(hashed[:-1], 1) + hashed[1:], 2)
-
-
-def window_prints(feature: np.ndarray, length: int, starts: np.ndarray) -> np.ndarray:
-    """SimHash of the windows of ``length`` words at ``starts``: a bit is set if more than half of the features set it."""
-    ones = np.unpackbits(feature.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-    sums = np.zeros((len(feature) + 1, BITS), np.int64)
-    np.cumsum(ones, axis=0, out=sums[1:])
-    return prints_at(sums, max(1, length - FEATURE + 1), starts)
-
-
-def prints_at(sums: np.ndarray, per: int, starts: np.ndarray) -> np.ndarray:
-    inside = sums[starts + per] - sums[starts]
-    return np.packbits(inside > per // 2, axis=1, bitorder="little").view(np.uint64).ravel()
-
-
 def near_values(value: int, distance: int) -> Iterator[int]:
     for n in range(distance + 1):
         for places in combinations(range(BLOCK_BITS), n):
@@ -83,7 +57,10 @@ def near_values(value: int, distance: int) -> Iterator[int]:
 
 @dataclass
 class SizeClass:
-    """All item windows of one length, and for each block which of them are near each block value."""
+    """Fingerprints of windows of one length, and for each block which of them are near each block value.
+
+    A multi-index for Hamming distances up to RADIUS; the search itself no longer goes by fingerprints.
+    """
 
     length: int
     step: int
@@ -120,35 +97,34 @@ class SizeClass:
 
 
 class Index:
-    """Items (id, text) by size class. Items of fewer words than a shingle have none and match nothing; null texts likewise."""
+    """Items (id, text) by their shingles. Items of fewer words than a shingle have none and match nothing; null texts likewise."""
 
     def __init__(self, items: list[tuple[int, str | None]]):
-        self.ids, self.shingles = [], []
+        self.ids, self.shingles, self.lengths = [], [], []
         hashed = []
         for item_id, text in items:
             own = word_hashes(text)
             if len(own) < SHINGLE:
                 continue
             self.ids.append(item_id)
-            hashed.append(own)
-            self.shingles.append(Counter(shingle_hashes(hashed[-1]).tolist()))
+            self.lengths.append(len(own))
+            hashed.append(shingle_hashes(own))
+            self.shingles.append(Counter(hashed[-1].tolist()))
         spread = Counter(s for own in self.shingles for s in own)
         self.weights = [{s: n * math.log(1 + len(self.ids) / spread[s]) for s, n in own.items()} for own in self.shingles]
-        self.lengths = [len(h) for h in hashed]
-        classes = defaultdict(list)
-        for n, length in enumerate(self.lengths):
-            classes[window_length(length)].append(n)
-        self.classes = []
-        for length, members in sorted(classes.items()):
-            prints, owner, offset = [], [], []
-            for n in members:
-                starts = np.arange(self.lengths[n] - length + 1)
-                prints.append(window_prints(features(hashed[n]), length, starts))
-                owner.append(np.full(len(starts), n))
-                offset.append(starts)
-            step = min(self.lengths[n] - length + 1 for n in members)
-            self.classes.append(SizeClass(length, step, np.concatenate(prints), np.concatenate(owner), np.concatenate(offset)))
-        self.longest = max(self.lengths, default=0)
+        self.wholes = np.array([sum(own.values()) for own in self.weights])
+        # one entry for each distinct shingle of each item, by shingle: the item, the first place in it, the weight of one occurrence
+        own, items, places, gains = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]
+        for n, h in enumerate(hashed):
+            values, first = np.unique(h, return_index=True)
+            own.append(values)
+            items.append(np.full(len(values), n))
+            places.append(first)
+            gains.append(np.array([self.weights[n][v] / self.shingles[n][v] for v in values.tolist()]))
+        order = np.argsort(np.concatenate(own), kind="stable")
+        self.items, self.places, self.gains = (np.concatenate(c)[order] for c in (items, places, gains))
+        self.known, firsts = np.unique(np.concatenate(own)[order], return_index=True)
+        self.firsts = np.append(firsts, len(order))
 
     def similarity(self, n: int, shingles: np.ndarray) -> float:
         """Weight of the item's shingles that are among ``shingles``, over their whole weight."""
@@ -161,7 +137,7 @@ class Index:
         """Per text (item, first word, end word, similarity) of the best place of every item with a similarity of at least LEAST,
         in the order of the items.
 
-        Texts are put end to end, about BATCH_WORDS words at a time, and windowed together; a window never
+        Texts are put end to end, about BATCH_WORDS words at a time, and looked up together; a shingle never
         reaches into the next text.
         """
         out: list[list[tuple[int, int, int, float]]] = []
@@ -178,48 +154,55 @@ class Index:
     def _together(self, texts: list[np.ndarray]) -> list[list[tuple[int, int, int, float]]]:
         lengths = np.array([len(t) for t in texts], np.int64)
         ends = np.cumsum(lengths)
-        best: list[dict[int, tuple[float, int]]] = [{} for _ in texts]
+        best: list[dict[int, tuple[float, int, int]]] = [{} for _ in texts]
         if self.ids and len(texts) and ends[-1] >= SHINGLE:
-            hashed = np.concatenate(texts)
-            feature, shingles = features(hashed), shingle_hashes(hashed)
-            places = [window_starts(ends - lengths, lengths, c.length, c.step) for c in self.classes]
-            for low in range(0, len(hashed), SPAN):
-                part = feature[low : low + SPAN + self.longest]
-                ones = np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-                sums: dict = {}
-                for c, starts in zip(self.classes, places, strict=True):
-                    starts = starts[slice(*np.searchsorted(starts, (low, low + SPAN)))]
-                    if not len(starts):
-                        continue
-                    per = c.length - FEATURE + 1
-                    kind = np.uint8 if per < 256 else np.uint16 if per < 65536 else np.uint32
-                    if kind not in sums:
-                        sums[kind] = np.zeros((len(part) + 1, BITS), kind)
-                        np.cumsum(ones, axis=0, dtype=kind, out=sums[kind][1:])  # wraps around; differences stay right
-                    place, member = c.candidates(prints_at(sums[kind], per, starts - low))
-                    owners = np.searchsorted(ends, starts[place], side="right")
-                    for n, start, owner in zip(
-                        c.items[member].tolist(), (starts[place] - c.offsets[member]).tolist(), owners.tolist(), strict=True
-                    ):
-                        first = int(ends[owner] - lengths[owner])
-                        last = max(first, int(ends[owner]) - SHINGLE + 1)
-                        alike = self.similarity(n, shingles[max(first, start) : min(last, start + self.lengths[n] - SHINGLE + 1)])
-                        if alike >= LEAST and alike > best[owner].get(n, (0.0, 0))[0]:
-                            best[owner][n] = (alike, start - first)
+            shingles = shingle_hashes(np.concatenate(texts))
+            for owner, n, place, entry in self._held(shingles, ends):
+                first = int(ends[owner] - lengths[owner])
+                for low, high in stretches(place, self.lengths[n] + SHINGLE):
+                    alike, start, end = self._placed(n, shingles, place[low:high], entry[low:high])
+                    if alike >= LEAST and alike > best[owner].get(n, (0.0, 0, 0))[0]:
+                        best[owner][n] = (alike, start - first, end - first)
         return [
-            [
-                (self.ids[n], max(0, start), min(int(size), start + self.lengths[n]), float(alike))
-                for n, (alike, start) in sorted(own.items())
-            ]
+            [(self.ids[n], max(0, start), min(int(size), end), float(alike)) for n, (alike, start, end) in sorted(own.items())]
             for own, size in zip(best, lengths, strict=True)
         ]
 
-
-def window_starts(firsts: np.ndarray, lengths: np.ndarray, window: int, step: int) -> np.ndarray:
-    """Every ``step``-th place of each text at which a window still fits, in one array."""
-    count = np.where(lengths >= window, (lengths - window) // step + 1, 0)
-    number = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-    return np.repeat(firsts, count) + number * step
+    def _held(self, shingles: np.ndarray, ends: np.ndarray) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+        """Text, item, places of the item's shingles in the text and their entries, for items of which the text has enough at all."""
+        at = np.minimum(np.searchsorted(self.known, shingles), len(self.known) - 1)
+        hit = np.flatnonzero(self.known[at] == shingles)
+        hit = hit[hit + SHINGLE <= ends[np.searchsorted(ends, hit, side="right")]]
+        first, count = self.firsts[at[hit]], self.firsts[at[hit] + 1] - self.firsts[at[hit]]
+        place = np.repeat(hit, count)
+        if not len(place):
+            return
+        entry = np.repeat(first, count) + np.arange(len(place)) - np.repeat(np.cumsum(count) - count, count)
+        owner, item = np.searchsorted(ends, place, side="right"), self.items[entry]
+        order = np.lexsort((place, item, owner))
+        place, entry, owner, item = place[order], entry[order], owner[order], item[order]
+        begins = np.flatnonzero(np.append(True, (owner[1:] != owner[:-1]) | (item[1:] != item[:-1])))
+        enough = np.add.reduceat(self.gains[entry], begins) >= (LEAST - 1e-9) * self.wholes[item[begins]]
+        for low, high in zip(begins[enough].tolist(), np.append(begins[1:], len(place))[enough].tolist(), strict=True):
+            yield int(owner[low]), int(item[low]), place[low:high], entry[low:high]
+
+    def _placed(self, n: int, shingles: np.ndarray, place: np.ndarray, entry: np.ndarray) -> tuple[float, int, int]:
+        """Similarity, first and end word of a stretch: where the item would stand word for word, if nothing more is found around."""
+        whole = self.similarity(n, shingles[place])
+        if whole < LEAST:
+            return whole, 0, 0
+        starts, votes = np.unique(place - self.places[entry], return_counts=True)
+        start = int(starts[votes.argmax()])
+        end = start + self.lengths[n]
+        if self.similarity(n, shingles[place[(place >= start) & (place + SHINGLE <= end)]]) >= whole - 1e-12:
+            return whole, start, end
+        return whole, int(place[0]), int(place[-1]) + SHINGLE
+
+
+def stretches(place: np.ndarray, gap: int) -> Iterator[tuple[int, int]]:
+    """Ranges of ``place``, which ascends, whose neighbours are at most ``gap`` apart."""
+    parts = [0, *(np.flatnonzero(np.diff(place) > gap) + 1).tolist(), len(place)]
+    return zip(parts[:-1], parts[1:], strict=True)
 
 
 def shingle_hashes(hashed: np.ndarray) -> np.ndarray:
@@ -229,14 +212,6 @@ def shingle_hashes(hashed: np.ndarray) -> np.ndarray:
     return total
 
 
-def window_length(item_words: int) -> int:
-    """The largest of the lengths SHORTEST * GROWTH^k that is at most FILL of the item, SHORTEST at least."""
-    length = float(SHORTEST)
-    while round(length * GROWTH) <= item_words * FILL:
-        length *= GROWTH
-    return round(length)
-
-
 def item_blocks(items: DataFrame, id_column: str, text_column: str) -> Iterator[list[tuple[int, str | None]]]:
     """The items in blocks of at most ITEMS_PER_PASS, by id; null ids come first. Repeated items are entered once."""
     block: list[tuple[int, str | None]] = []
@@ -263,7 +238,7 @@ def with_matches(
 ) -> DataFrame:
     """``docs`` with an array of its matches (item_id, start_word, end_word, similarity) in column ``name``, empty if none.
 
-    Every window of the whole text is looked at; a null or short text has no match. One entry per item at
+    Every shingle of the whole text is looked at; a null or short text has no match. One entry per item at
     its best place; of equal items with several ids, each. The documents are not shuffled: every block of
     items is an index of bounded size that goes to the tasks.
     """
