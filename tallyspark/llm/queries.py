@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from tallyspark.llm.byte_bpe import op13
 from tallyspark.llm.decontaminate import op8
 from tallyspark.llm.exact_dedup import OP2_SQL, op2
 from tallyspark.llm.language_id import op1
@@ -24,6 +25,7 @@ QUERIES = {
     "op8_decontamination": op8,
     "op9_language_model": op9,
     "op10_licenses": op10,
+    "op13_byte_bpe": op13,
 }
 
 ORACLES = {
