@@ -8,6 +8,7 @@ from tallyspark.llm.exact_dedup import OP2_SQL, op2
 from tallyspark.llm.language_id import op1
 from tallyspark.llm.language_model import op9
 from tallyspark.llm.licenses import op10
+from tallyspark.llm.merkle import OP12_SQL, op12
 from tallyspark.llm.mixing import OP7_SQL, op7
 from tallyspark.llm.pii import op3
 from tallyspark.llm.quality import op6
@@ -25,6 +26,7 @@ QUERIES = {
     "op8_decontamination": op8,
     "op9_language_model": op9,
     "op10_licenses": op10,
+    "op12_merkle_manifest": op12,
     "op13_byte_bpe": op13,
 }
 
@@ -32,4 +34,5 @@ ORACLES = {
     "op2_exact_dedup": OP2_SQL,
     "op4_warc": OP4_SQL,
     "op7_mixing": OP7_SQL,
+    "op12_merkle_manifest": OP12_SQL,
 }
