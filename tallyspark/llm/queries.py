@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from tallyspark.llm.byte_bpe import op13
+from tallyspark.llm.collocations import OP11_SQL, op11
 from tallyspark.llm.decontaminate import op8
 from tallyspark.llm.exact_dedup import OP2_SQL, op2
 from tallyspark.llm.language_id import op1
@@ -26,6 +27,7 @@ QUERIES = {
     "op8_decontamination": op8,
     "op9_language_model": op9,
     "op10_licenses": op10,
+    "op11_collocations": op11,
     "op12_merkle_manifest": op12,
     "op13_byte_bpe": op13,
 }
@@ -34,5 +36,6 @@ ORACLES = {
     "op2_exact_dedup": OP2_SQL,
     "op4_warc": OP4_SQL,
     "op7_mixing": OP7_SQL,
+    "op11_collocations": OP11_SQL,
     "op12_merkle_manifest": OP12_SQL,
 }
