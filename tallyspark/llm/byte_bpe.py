@@ -21,6 +21,7 @@ from functools import lru_cache
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,13 +29,14 @@ from tallyspark.llm import common
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
 #: Bytes of texts that are encoded at a time; a longer text is encoded alone, whole.
-AT_ONCE = 1 << 23
-#: Chunks a worker remembers, and the bytes of the longest one it does.
-REMEMBERED, LONGEST = 1 << 18, 64
+AT_ONCE = 1 << 21
+#: Chunks a worker remembers, twice (those of late and those before), and the characters of the longest one it does.
+REMEMBERED, LONGEST = 1 << 17, 64
+#: Chunks that go through the library in one call.
+A_CALL = 1 << 14
 #: What an id that the vocabulary lacks decodes to.
 UNKNOWN = "�".encode()
 
-ENCODED = "ids array<int>, starts array<int>, ends array<int>, split int"
 
 
 def byte_characters() -> list[str]:
@@ -46,26 +48,38 @@ def byte_characters() -> list[str]:
 
 @dataclass
 class Codec:
-    """A tokenizer for one rank file, the bytes of its ids, and the chunks met so far."""
+    """A tokenizer for one rank file, the bytes of its ids, and the chunks met of late."""
 
     tokenizer: object
     pieces: pa.Array
-    known: dict[str, tuple] = field(default_factory=dict)
-
-    def chunk(self, encoding, text: str) -> tuple:
-        """ids, first and last code point of each token, and how many tokens begin inside a character."""
-        places = np.array(encoding.offsets, np.int32).reshape(-1, 2)
-        split = int((places[1:, 0] < places[:-1, 1]).sum())
-        return np.array(encoding.ids, np.int32), places[:, 0], places[:, 1], split, len(text)
-
-    def chunks(self, texts: list[str]) -> list[tuple]:
-        new = [t for t in texts if t not in self.known]
-        made = dict(zip(new, map(self.chunk, self.tokenizer.encode_batch(new, add_special_tokens=False), new), strict=True))
-        out = [self.known.get(t) or made[t] for t in texts]
-        if len(self.known) + len(made) > REMEMBERED:
-            self.known.clear()
-        self.known.update((t, c) for t, c in made.items() if len(t) <= LONGEST and len(self.known) < REMEMBERED)
-        return out
+    inside: np.ndarray  # whether a token begins inside a character
+    late: dict[str, bytes] = field(default_factory=dict)
+    before: dict[str, bytes] = field(default_factory=dict)
+
+    def encode(self, chunks: list[str], places: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Tokens of each chunk, and all ids; with ``places`` (id, first code point, the one after the last) instead of an id."""
+        counts, out = [np.zeros(0, np.int64)], [np.zeros((0, 3) if places else 0, np.int32)]
+        for n in range(0, len(chunks), A_CALL):
+            some = chunks[n : n + A_CALL]
+            made = self.tokenizer.encode(some, is_pretokenized=True, add_special_tokens=False)
+            ids = np.array(made.ids, np.int32)
+            counts.append(np.bincount(np.array(made.word_ids, np.int64), minlength=len(some)))
+            out.append(np.column_stack([ids, np.array(made.offsets, np.int32).reshape(-1, 2)]) if places else ids)
+        return np.concatenate(counts), np.concatenate(out)
+
+    def ids(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Tokens of each chunk, and all ids, with chunks met of late looked up."""
+        held = [self.late.get(c) or self.before.get(c) for c in chunks]
+        new = [n for n, h in enumerate(held) if h is None]
+        counts, ids = self.encode([chunks[n] for n in new], False)
+        data, ends = ids.tobytes(), (4 * np.cumsum(counts)).tolist()
+        for n, start, end in zip(new, [0, *ends], ends, strict=False):
+            held[n] = data[start:end]
+            if len(chunks[n]) <= LONGEST:
+                if len(self.late) >= REMEMBERED:
+                    self.late, self.before = {}, self.late
+                self.late[chunks[n]] = held[n]
+        return np.array([len(h) // 4 for h in held], np.int64), np.frombuffer(b"".join(held), np.int32)
 
 
 @lru_cache(maxsize=4)
@@ -91,7 +105,8 @@ def codec(path: str, pattern: str) -> Codec:
     byte_of = {c: b for b, c in enumerate(of)}
     tokens = [tokenizer.id_to_token(n) for n in range(max(ranks.values()) + 1)]
     pieces = [bytes(byte_of[c] for c in t) if t is not None else UNKNOWN for t in tokens]
-    return Codec(tokenizer, pa.array([*pieces, UNKNOWN], pa.large_binary()))
+    inside = np.array([p != UNKNOWN and 0x80 <= p[0] < 0xC0 for p in pieces])
+    return Codec(tokenizer, pa.array([*pieces, UNKNOWN], pa.large_binary()), inside)
 
 
 def cuts(data: np.ndarray) -> np.ndarray:
@@ -136,34 +151,29 @@ def encode_some(own: Codec, texts: pa.Array, places: bool) -> pa.StructArray:
     strings = pa.LargeStringArray.from_buffers(len(starts), pa.py_buffer(bounds), pa.py_buffer(data.tobytes()))
     distinct = strings.dictionary_encode()
     at = np.asarray(distinct.indices, np.int64) if len(starts) else np.zeros(0, np.int64)
-    made = own.chunks(distinct.dictionary.to_pylist())
-    length = np.array([len(m[0]) for m in made], np.int64)
+    chunks = distinct.dictionary.to_pylist()
+    counts, made = own.encode(chunks, True) if places else own.ids(chunks)
+    # the tokens of the chunk at each place, one behind the other
+    per_chunk, lists = counts[at], np.concatenate([[0], np.cumsum(counts)])
+    before = np.concatenate([[0], np.cumsum(per_chunk)])
+    where = np.arange(before[-1]) + np.repeat(lists[at] - before[:-1], per_chunk)
+    flat = made[where]
     first = np.searchsorted(starts, offsets)  # first chunk of each text
-    per_chunk = length[at] if len(at) else at
-    tokens = np.concatenate([[0], np.cumsum(per_chunk)])
-    rows = pa.array(tokens[first].astype(np.int32))
-
-    def spread(column: int) -> pa.Array:
-        flat = np.concatenate([m[column] for m in made]) if made else np.zeros(0, np.int32)
-        lists = pa.LargeListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(length)])), pa.array(flat, pa.int32()))
-        return lists.take(pa.array(at)).flatten()
-
-    ids = pa.ListArray.from_arrays(rows, spread(0))
-    summed = lambda values: np.diff(np.concatenate([[0], np.cumsum(values[at] if len(at) else at)])[first])
-    split = pa.array(summed(np.array([m[3] for m in made], np.int64)).astype(np.int32))
-    if not places:
-        none = pa.nulls(len(texts), pa.list_(pa.int32()))
-        return pa.StructArray.from_arrays([ids, none, none, split], ["ids", "starts", "ends", "split"])
-    letters = np.array([m[4] for m in made], np.int64)
-    before = np.concatenate([[0], np.cumsum(letters[at] if len(at) else at)])
-    in_text = before[:-1] - np.repeat(before[first[:-1]], np.diff(first))
-    shift = np.repeat(in_text, per_chunk).astype(np.int32)
-    columns = [pa.ListArray.from_arrays(rows, pa.array(np.asarray(spread(n), np.int32) + shift, pa.int32())) for n in (1, 2)]
-    return pa.StructArray.from_arrays([ids, *columns, split], ["ids", "starts", "ends", "split"])
+    rows = before[first]
+    ids = flat[:, 0] if places else flat
+    columns = {"ids": ids}
+    if places:
+        letters = np.array([len(c) for c in chunks], np.int64)[at]
+        passed = np.concatenate([[0], np.cumsum(letters)])
+        shift = np.repeat(passed[:-1] - np.repeat(passed[first[:-1]], np.diff(first)), per_chunk)
+        columns |= {"starts": flat[:, 1] + shift, "ends": flat[:, 2] + shift}
+    lists_of = {n: pa.ListArray.from_arrays(pa.array(rows, pa.int32()), pa.array(c, pa.int32())) for n, c in columns.items()}
+    split = np.diff(np.concatenate([[0], np.cumsum(own.inside[ids])])[rows])
+    return pa.StructArray.from_arrays([*lists_of.values(), pa.array(split, pa.int32())], [*lists_of, "split"])
 
 
 def encode_batch(own: Codec, texts: pa.Array, places: bool) -> pa.StructArray:
-    sizes = np.diff(buffers(texts, pa.large_string())[0])
+    sizes = np.asarray(pc.fill_null(pc.binary_length(texts), 0))
     parts = [encode_some(own, texts.slice(a, b - a), places) for a, b in groups(sizes)]
     return pa.concat_arrays(parts or [encode_some(own, texts, places)])
 
@@ -190,7 +200,9 @@ def encoded(text: Column, path: str, pattern: str = public_tokenizers.PATTERN, p
     that begin inside a character. Null and empty texts have no ids. Texts are encoded whole, whatever their length.
     """
 
-    @F.arrow_udf(ENCODED)
+    kept = ["ids", "starts", "ends"] if places else ["ids"]
+
+    @F.arrow_udf(", ".join([*[f"{n} array<int>" for n in kept], "split int"]))
     def apply(texts: pa.Array) -> pa.Array:
         return encode_batch(codec(path, pattern), texts, places)
 

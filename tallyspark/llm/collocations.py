@@ -6,16 +6,16 @@ that array shifted, and no word crosses the network. Spark's ROLLUP over languag
 the counts of ever shorter prefixes: the prefix of k words has the frequency of the phrase of k words, the
 empty one the number of words.
 
-A phrase of ``least`` or more occurrences holds no rarer word or pair of words, so windows are padded from such a pair on
-as well, which changes no frequency that is asked for and keeps one-off windows out of the shuffle. Which words and
-pairs are frequent is counted first, exactly, by 64-bit hashes, and told to the tasks as a bitmap of SLOTS bits; a slot shared with
-a frequent pair only means that a window is counted that need not be.
+A phrase of ``least`` or more occurrences holds no rarer word, pair of words or longer run, so windows are padded from
+a rarer one on as well, which changes no frequency that is asked for and keeps one-off windows out of the shuffle. What is
+frequent is found first, by exact counts of 64-bit hashes: words and pairs, then the longer runs of frequent pairs. Tasks are
+told by a bitmap of SLOTS bits; a slot shared with a frequent run only means that a window is counted that need not be.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -33,10 +33,12 @@ SCALE = 2_000_000
 #: Bits of the bitmap of frequent words and pairs: 8 MB, whatever the corpus.
 SLOTS = 1 << 26
 #: Bytes of text whose words are held at a time; longer texts are read in parts.
-AT_ONCE = 1 << 22
+AT_ONCE = 1 << 21
 #: Parts of one word, which many phrases share, are dealt to this many keys, and ranks are cut in as many groups first.
 SALTS = 32
 
+Frequent = Callable[[np.ndarray], np.ndarray]
+
 IN_PIECE, BETWEEN = b" \t", b".,;:!?\n\x0b\x0c\r"
 KIND = np.zeros(256, np.uint8)
 KIND[list(IN_PIECE)] = 1
@@ -103,28 +105,32 @@ class Part:
         """Whether a word and the next one are of one piece."""
         return lead(self.piece, 1, -1) == self.piece
 
-    def sums(self) -> tuple[np.ndarray, np.ndarray]:
-        """Hashes of words and of pairs, with their numbers."""
-        size = len(self.distinct)
-        singles = np.bincount(self.codes[: self.own], minlength=size)
-        met = np.flatnonzero(singles)
-        first, both = self.codes[: self.own], self.together()[: self.own]
-        pairs, n = np.unique((first * size + lead(self.codes, 1, 0)[: self.own])[both], return_counts=True)
-        hashes = pair_hashes(self.hashes[pairs // max(1, size)], self.hashes[pairs % max(1, size)])
-        return np.concatenate([self.hashes[met], hashes]), np.concatenate([singles[met], n])
-
-    def windows(self, frequent: Callable[[np.ndarray], np.ndarray], longest: int) -> tuple[list[np.ndarray], np.ndarray]:
+    def runs(self, longest: int, frequent: Frequent | None) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """Length, hash and whether it is in one piece and made of frequent pairs, of the run of words that begins at each word."""
+        hashes = self.hashes[self.codes]
+        pairs = self.together()
+        if frequent:
+            pairs[pairs] = frequent(pair_hashes(hashes, lead(hashes, 1, 0))[pairs])
+        run, whole = hashes, np.ones(len(hashes), bool)
+        yield 1, run, whole
+        for size in range(2, longest + 1):
+            run = pair_hashes(run, lead(hashes, size - 1, 0))
+            whole = whole & lead(pairs, size - 2, False)
+            yield size, run, whole
+
+    def sums(self, sizes: Sequence[int], frequent: Frequent | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Hashes of the runs of these lengths, with their numbers."""
+        found = [np.unique(run[: self.own][whole[: self.own]], return_counts=True) for size, run, whole in self.runs(max(sizes), frequent) if size in sizes]
+        return np.concatenate([h for h, _ in found]), np.concatenate([n for _, n in found])
+
+    def windows(self, frequent: Frequent, longest: int) -> tuple[list[np.ndarray], np.ndarray]:
         """Codes of the distinct windows, a column for each place, and their numbers. The pad is the number of distinct words."""
-        pad, codes = len(self.distinct), self.codes
-        rare = ~frequent(self.hashes)[codes] if pad else np.zeros(0, bool)
-        hashes = self.hashes[codes]
-        valid = self.together()
-        valid[valid] = frequent(pair_hashes(hashes, lead(hashes, 1, 0))[valid])
-        columns, reach = [np.where(rare, pad, codes)], np.ones(len(codes), bool)
-        for n in range(1, longest):
-            reach &= lead(valid, n - 1, False)
-            columns.append(np.where(reach, lead(codes, n, pad), pad))
-        columns = [c[: self.own] for c in columns]
+        pad, columns = len(self.distinct), []
+        reach = np.ones(len(self.codes), bool)
+        for size, run, whole in self.runs(longest, None):
+            reach = reach & whole
+            reach[reach] = frequent(run[reach])
+            columns.append(np.where(reach, lead(self.codes, size - 1, pad), pad)[: self.own])
         key = columns[0]
         for c in columns[1:-1]:
             _, key = np.unique(key * (pad + 1) + c, return_inverse=True)
@@ -152,12 +158,28 @@ def texts_of(docs: DataFrame, lang_column: str, text_column: str) -> DataFrame:
     return docs.select(F.coalesce(F.col(f"`{lang_column}`").cast("string"), F.lit("und")).alias("lang"), common.text_of(text_column).alias("text"))
 
 
-def frequent_bits(texts: DataFrame, least: int) -> np.ndarray:
-    """The bitmap of all words and pairs with ``least`` occurrences in a language, packed, SLOTS / 8 bytes."""
+def lookup(packed: bytes) -> Frequent:
+    bits = np.frombuffer(packed, np.uint8)
+
+    def frequent(hashes: np.ndarray) -> np.ndarray:
+        slot = hashes % np.uint64(8 * len(bits))
+        return (bits[slot >> np.uint64(3)] >> (slot & np.uint64(7)).astype(np.uint8)) & 1 == 1
+
+    return frequent
+
+
+def frequent_bits(texts: DataFrame, least: int, sizes: Sequence[int], known: bytes | None = None) -> bytes:
+    """The bitmap, SLOTS / 8 bytes, of all runs of these lengths with ``least`` occurrences in a language.
+
+    With the bitmap of the frequent pairs, only runs of such pairs are counted.
+    """
+    told = texts.sparkSession.sparkContext.broadcast(known)
+    ahead = max(sizes) - 1
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, part in by_language(batches, 1):
-            hashes, n = part.sums()
+        frequent = lookup(told.value) if told.value is not None else None
+        for _, part in by_language(batches, ahead):
+            hashes, n = part.sums(sizes, frequent)
             yield pa.RecordBatch.from_arrays([pa.array(hashes.view(np.int64)), pa.array(n, pa.int64())], ["hash", "n"])
 
     totals = texts.mapInArrow(hashed, "hash long, n long").groupBy("hash").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
@@ -166,26 +188,22 @@ def frequent_bits(texts: DataFrame, least: int) -> np.ndarray:
     packed = np.zeros(SLOTS // 8, np.uint8)
     for r in rows.collect():  # at most SLOTS / 32768 rows of 4 KB
         packed[(r["bucket"] - 1) * 4096 : r["bucket"] * 4096] = np.frombuffer(r["bits"], np.uint8)
-    return packed
+    return packed.tobytes()
 
 
-def windows(texts: DataFrame, bits: np.ndarray, longest: int) -> DataFrame:
-    """lang, w1 … and n: the longest windows of each task, each once per part of its texts."""
-    told = texts.sparkSession.sparkContext.broadcast(bits.tobytes())
+def windows(texts: DataFrame, bits: bytes, longest: int) -> DataFrame:
+    """lang, w1 … and n: the longest windows of each part of the texts, each once."""
+    told = texts.sparkSession.sparkContext.broadcast(bits)
     names = [f"w{n}" for n in range(1, longest + 1)]
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        packed = np.frombuffer(told.value, np.uint8)
-
-        def frequent(hashes: np.ndarray) -> np.ndarray:
-            slot = hashes % np.uint64(SLOTS)
-            return (packed[slot >> np.uint64(3)] >> (slot & np.uint64(7)).astype(np.uint8)) & 1 == 1
-
+        frequent = lookup(told.value)
         for lang, part in by_language(batches, longest - 1):
             codes, n = part.windows(frequent, longest)
             pad = len(part.distinct)
-            words = [part.distinct.take(pa.array(np.where(c == pad, 0, c), mask=c == pad)).cast(pa.string()) for c in codes] if pad else [pa.array([], pa.string())] * longest
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(n), pa.string()), *words, pa.array(n, pa.int64())], ["lang", *names, "n"])
+            if pad:
+                words = [part.distinct.take(pa.array(np.where(c == pad, 0, c), mask=c == pad)).cast(pa.string()) for c in codes]
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(n), pa.string()), *words, pa.array(n, pa.int64())], ["lang", *names, "n"])
 
     return texts.mapInArrow(counted, f"lang string, {', '.join(f'{n} string' for n in names)}, n long")
 
@@ -193,8 +211,12 @@ def windows(texts: DataFrame, bits: np.ndarray, longest: int) -> DataFrame:
 def frequencies(texts: DataFrame, longest: int, least: int) -> DataFrame:
     """lang, words and f of every phrase of up to ``longest`` words with ``least`` occurrences, and of no words with all."""
     names = [f"w{n}" for n in range(1, longest + 1)]
-    counted = windows(texts, frequent_bits(texts, least), longest)
-    sums = counted.rollup("lang", *names).agg(F.sum("n").alias("f"), F.grouping_id().alias("rolled"))
+    bits = frequent_bits(texts, least, [1, 2])
+    if longest > 2:
+        more = frequent_bits(texts, least, range(3, longest + 1), bits)
+        bits = (np.frombuffer(bits, np.uint8) | np.frombuffer(more, np.uint8)).tobytes()
+    distinct = windows(texts, bits, longest).groupBy("lang", *names).agg(F.sum("n").alias("n"))
+    sums = distinct.rollup("lang", *names).agg(F.sum("n").alias("f"), F.grouping_id().alias("rolled"))
     size = longest - F.length(F.replace(F.bin("rolled"), F.lit("0"), F.lit("")))
     words = F.slice(F.array(*names), F.lit(1), F.greatest(size, F.lit(0)))
     whole = F.when(size > 0, F.array(*names)[size - 1].isNotNull() & (F.col("f") >= least)).otherwise(size == 0)

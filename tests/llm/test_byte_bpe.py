@@ -70,7 +70,7 @@ def test_batches_of_few_bytes_and_few_remembered_chunks(monkeypatch, plain):
     monkeypatch.setattr(byte_bpe, "REMEMBERED", 20)
     made = byte_bpe.encode_batch(own(), pa.array(rows).slice(3), False).to_pylist()
     assert [m["ids"] for m in made] == [plain.encode_ordinary(t or "") for t in rows[3:]]
-    assert len(own().known) <= 20
+    assert len(own().late) <= 20 and len(own().before) <= 20
 
 
 def test_query_by_brute_force(spark, plain):
