@@ -178,17 +178,20 @@ def encode_batch(own: Codec, texts: pa.Array, places: bool) -> pa.StructArray:
     return pa.concat_arrays(parts or [encode_some(own, texts, places)])
 
 
-def decode_batch(own: Codec, ids: pa.Array) -> pa.Array:
-    ids = pa.concat_arrays([ids.cast(pa.large_list(pa.int32()))])
+def decode_some(own: Codec, ids: pa.Array) -> pa.Array:
+    ids = pa.concat_arrays([ids])
     rows = np.asarray(ids.offsets, np.int64)
-    flat = ids.values.slice(rows[0], rows[-1] - rows[0])
+    wanted = np.asarray(ids.values.slice(rows[0], rows[-1] - rows[0]).fill_null(-1))
     last = len(own.pieces) - 1
-    wanted = np.asarray(flat.fill_null(-1), np.int64)
     wanted = np.where((wanted < 0) | (wanted >= last), last, wanted)
     bounds, data = buffers(own.pieces.take(pa.array(wanted)), pa.large_binary())
-    own_bounds = bounds[rows - rows[0]]
-    whole = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(ids), [None, pa.py_buffer(own_bounds), pa.py_buffer(data.tobytes())])
-    return whole.cast(pa.binary())
+    own_bounds = pa.py_buffer(bounds[rows - rows[0]])
+    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(ids), [None, own_bounds, pa.py_buffer(data.tobytes())]).cast(pa.binary())
+
+
+def decode_batch(own: Codec, ids: pa.Array) -> pa.Array:
+    sizes = 4 * np.asarray(pc.list_value_length(ids))
+    return pa.concat_arrays([decode_some(own, ids.slice(a, b - a)) for a, b in groups(sizes)] or [decode_some(own, ids)])
 
 
 def encoded(text: Column, path: str, pattern: str = public_tokenizers.PATTERN, places: bool = False) -> Column:

@@ -170,6 +170,7 @@ def test_stages_take_odd_tables(spark, odd, name, stage):
 
 def test_pipeline_by_brute_force(spark):
     """Each stage on what its predecessor kept, against plain Python."""
+    from tests.llm.test_near_copies import staying
     from tests.llm.test_operators import contained
 
     docs = common.table(spark, FOLDER, "documents")
@@ -190,20 +191,8 @@ def test_pipeline_by_brute_force(spark):
     now = {r.doc_id: r for r in docs.collect()}
     assert set(now) == {i for _, i in best.values()}
 
-    prints = {i: [*simhash.fingerprints(r.text, 1, 4, True).tolist(), *simhash.fingerprints(r.text, 5, 4, True).tolist()] for i, r in now.items()}
-    ids = sorted(now)
-    alike = lambda a, b: any((x ^ y).bit_count() <= 3 for x, y in zip(a[:4], b, strict=False)) and sum((x ^ y).bit_count() for x, y in zip(a[4:], b[4:], strict=True)) <= 38
-    linked = {i: {j for j in ids if alike(prints[i], prints[j])} for i in ids}
-    seen, want = set(), set()
-    for i in ids:
-        if i not in seen:
-            want.add(i)
-            queue = [i]
-            while queue:
-                if (j := queue.pop()) not in seen:
-                    seen.add(j)
-                    queue += linked[j]
-    assert len(want) < len(ids)
+    want = staying({i: r.text for i, r in now.items()})
+    assert len(want) < len(now)
     docs = common.stored(step["simhash near-dedup"](spark, docs, FOLDER))
     now = {r.doc_id: r for r in docs.collect()}
     assert set(now) == want
