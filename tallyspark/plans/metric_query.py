@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from tallyspark.functions.calendar import GRAIN_UNITS, time_bucket
 from tallyspark.operators.combine import combine_results
+from tallyspark.operators.distinct import SKETCH_SIZE
 from tallyspark.plans.metrics import FixedFilter, Metric, MetricRegistry, standard_registry
 from tallyspark.plans.timeranges import TimeRange, resolve
 from tallyspark.plans.views import SUMMARY, TENANT, VIEWS, compose_view, has_tenant
@@ -165,6 +166,7 @@ def _aggregate(m: Metric, registry: MetricRegistry, grouped: bool) -> Column:
     value = value if holds is None else F.when(holds, value)
     result = {
         "sum": F.sum, "count": F.count, "count_distinct": F.count_distinct, "average": F.avg,
+        "approx_count_distinct": lambda c: F.hll_sketch_estimate(F.hll_sketch_agg(c, SKETCH_SIZE)),
     }[m.aggregation](value)
     if m.zero_if_no_data:
         return F.coalesce(result, F.lit(0))

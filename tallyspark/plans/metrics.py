@@ -8,7 +8,7 @@ from dataclasses import dataclass, field
 from tallyspark.functions.calendar import GRAIN_UNITS
 from tallyspark.plans.views import SUMMARY, VIEWS
 
-AGGREGATIONS = ("sum", "count", "count_distinct", "average", "ratio")
+AGGREGATIONS = ("sum", "count", "count_distinct", "approx_count_distinct", "average", "ratio")
 
 
 @dataclass(frozen=True)
@@ -23,7 +23,8 @@ class FixedFilter:
 class Metric:
     """A named aggregate over one view.
 
-    ``expression`` is the aggregated column (None counts rows). A ratio names
+    ``expression`` is the aggregated column (None counts rows). An approximate
+    distinct count is an HLL estimate of bounded memory. A ratio names
     its ``numerator`` and ``denominator`` metrics instead, both of one view.
     """
 

@@ -158,8 +158,8 @@ def _of_batches(tables: Mapping[str, DataFrame], fact: str, batches: Sequence[st
 def load_facts(
     store: TableStore, only: Sequence[str] | None = None, constraints: str = "quarantine",
     batches: Sequence[str] | None = None,
-) -> None:
-    """All facts whose staging exists, in dependency order.
+) -> dict[str, set[int]]:
+    """All facts whose staging exists, in dependency order; gives the months of each fact that were rewritten.
 
     Without ``batches`` all accepted rows are loaded again, which also picks
     up rows whose dimension arrived late. With them only the keys those
@@ -167,6 +167,7 @@ def load_facts(
     Each fact is computed and judged once, written aside, and split from there.
     """
     stored = StoredTables(store)
+    rewritten: dict[str, set[int]] = {}
     for name, spec in FACTS.items():
         if (only is not None and name not in only) or store.read("staging", spec.staging.removeprefix("stg_")) is None:
             continue
@@ -191,7 +192,8 @@ def load_facts(
                 if known is not None:
                     report = missing_from(report, known, ["table_name", "business_key", "ingestion_batch_id"])
                 store.append(report, "ops", VIOLATIONS)
-        store.merge_by_month(rows, "core", name, spec.business_key, spec.key_column)
+        rewritten[name] = store.merge_by_month(rows, "core", name, spec.business_key, spec.key_column)
+    return rewritten
 
 
 def run_all(store: TableStore, exports: Mapping[str, str], start: dt.date = CALENDAR_START, end: dt.date = CALENDAR_END) -> StoredTables:

@@ -2,17 +2,23 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import functions as F
 
+from tallyspark.functions.calendar import key_day
 from tallyspark.operators import quality as q
 from tallyspark.operators import reconcile
+from tallyspark.operators.distinct import BITS, BUCKET, SKETCH, bitmaps, distinct_by_bitmap, distinct_by_sketch, sketches, standard_error
 from tallyspark.operators.joins import join_split_hot_keys, missing_from
 from tallyspark.operators.latest import latest_per_key
 from tallyspark.operators.rules import Rule, enforce_constraints, return_reference_rule, table_constraints
 from tallyspark.operators.upsert import assign_keys, upsert
 from tallyspark.plans.dimensions import calendar, extend_calendar
 from tallyspark.plans.facts import FACTS, unresolved_rows
+from tallyspark.plans.kept_results import count_distinct, states_of
 from tallyspark.plans.summary import small_daily_summary
+from tallyspark.plans.timeranges import TimeRange
 from tallyspark.plans.tpch_warehouse import LINE_STAGING, LINE_VERSION, SIMPLE_VERSION, TpchWarehouse
 from tallyspark.plans.views import SUMMARY, VIEWS, compose_view, for_tenant, register_views
 from tallyspark.registered.base import doubles, on_warehouse, register, table
@@ -105,6 +111,53 @@ UNION ALL SELECT order_key, order_id, CAST(total_amount + 1 AS DOUBLE) FROM fres
      ),
 )
 
+# distinct counts from states of single days -----------------------------------------
+
+def _quarter():
+    return F.trunc(key_day(F.col("date_key")), "quarter").alias("quarter")
+
+
+_CUSTOMERS = "SELECT CAST(date_trunc('quarter', sale_date) AS DATE) AS quarter, count(DISTINCT customer_id) AS customers FROM v_sales GROUP BY 1"
+
+register(
+    "distinct_by_bitmap",
+    on_warehouse(
+        lambda w: distinct_by_bitmap(
+            bitmaps(w["fact_sales"], "customer_key", ["date_key"]).select(_quarter(), BUCKET, BITS), ["quarter"], "customers"
+        )
+    ),
+    with_ctes(_CUSTOMERS),
+)
+
+
+def _sketched(w: TpchWarehouse):
+    """Estimates from the sketches of single days, held against the exact counts."""
+    days = sketches(w["fact_sales"].where("customer_key IS NOT NULL"), "customer_key", ["date_key"])
+    estimated = distinct_by_sketch(days.select(_quarter(), SKETCH), ["quarter"], "estimate")
+    counted = w["fact_sales"].groupBy(_quarter()).agg(F.count_distinct("customer_key").alias("customers"))
+    off = F.abs(F.col("estimate") - F.col("customers"))
+    return counted.join(estimated, "quarter").select("quarter", "customers", (off <= 4 * standard_error() * F.col("customers")).alias("close"))
+
+
+register("distinct_by_sketch", on_warehouse(_sketched), with_ctes(_CUSTOMERS.replace(" FROM", ", true AS close FROM")))
+
+
+def _purchases_of_days(w: TpchWarehouse):
+    purchases = w["fact_purchases"]
+    numbers = assign_keys(purchases.select("purchase_id").distinct(), ["purchase_id"], "purchase_number")
+    days = states_of("purchase_transactions", purchases, numbers)
+    return count_distinct(days, "purchase_transactions", TimeRange(start=dt.date(1996, 2, 10), end=dt.date(1997, 11, 20)), "monthly")
+
+
+register(
+    "distinct_over_a_range",
+    on_warehouse(_purchases_of_days),
+    with_ctes(
+        "SELECT CAST(date_trunc('month', purchase_date) AS DATE) AS period, count(DISTINCT purchase_id) AS purchase_transactions FROM v_purchases"
+        " WHERE purchase_date BETWEEN DATE '1996-02-10' AND DATE '1997-11-20' GROUP BY 1"
+    ),
+)
+
 register(
     "sales_join_hot_keys",
     lambda spark, folder: join_split_hot_keys(

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -49,8 +50,11 @@ class TableStore:
         root = self.path(layer, table)
         number, parts = self._state(layer, table)
         if number:
-            paths = [f"{root}/{p}" for p in parts]
-            return self.spark.read.option("basePath", root).parquet(*paths).drop(VERSION) if parts else None
+            # months taken over from a plain table have no version in their path
+            groups = [[p for p in parts if p.startswith(VERSION) == versioned] for versioned in (True, False)]
+            read = self.spark.read.option("basePath", root)
+            frames = [read.parquet(*[f"{root}/{p}" for p in own]).drop(VERSION) for own in groups if own]
+            return reduce(DataFrame.unionByName, frames) if frames else None
         return self.spark.read.parquet(root) if self.exists(layer, table) else None
 
     def append(self, df: DataFrame, layer: str, table: str, partition_by: Sequence[str] = ()) -> None:
@@ -71,8 +75,8 @@ class TableStore:
         keys: Sequence[str],
         key_column: str,
         day_key: str = "date_key",
-    ) -> None:
-        """Upsert facts, rewriting only the months the load touches.
+    ) -> set[int]:
+        """Upsert facts, rewriting only the months the load touches; these are returned.
 
         A month is touched when a new row falls in it or when it holds the
         older version of a new row. The list of months is bounded by the
@@ -93,16 +97,25 @@ class TableStore:
         number, parts = self._state(layer, table)
         if existing is None:
             self._write_months(loaded, layer, table, number + 1, [])
-            return
+            return _months(loaded)
         touched = sorted(_months(loaded) | _months(existing.join(loaded.select(*keys), keys, "left_semi")))
         if not touched:
-            return
-        if not number:  # written as plain month folders: all of it becomes a version
-            self._write_months(merged_rows(existing, loaded, keys), layer, table, 1, [])
-            return
+            return set()
+        # a table written as plain month folders has no state yet: these folders are the parts of its first one
+        parts = parts if number else [n for n in self._names(self.path(layer, table)) if n.startswith(f"{MONTH}=")]
         untouched = [p for p in parts if int(p.rpartition("=")[2]) not in touched]
         kept = existing.where(F.col(MONTH).isin(touched))
         self._write_months(merged_rows(kept, loaded, keys), layer, table, number + 1, untouched)
+        return set(touched)
+
+    def replace_months(self, df: DataFrame, layer: str, table: str, months: Sequence[int] | None = None) -> None:
+        """Swap the rows of some months, or all, for those of ``df``, which may be derived from the table.
+
+        A month without rows in ``df`` is left with none. The files of other months stay as they are.
+        """
+        number, parts = self._state(layer, table)
+        others = [] if months is None else [p for p in parts if int(p.rpartition("=")[2]) not in months]
+        self._write_months(df, layer, table, number + 1, others)
 
     def aside(self, df: DataFrame, layer: str, table: str) -> DataFrame:
         """Write a frame under a side name and read it back, so that it is computed once."""
@@ -173,6 +186,10 @@ class TableStore:
             for part in gone:
                 fs, place = self._at(f"{root}/{part}")
                 fs.delete(place, True)
+        if len(numbers) >= KEPT_STATES:
+            for month in [n for n in self._names(root) if n.startswith(f"{MONTH}=") and n not in used]:
+                fs, place = self._at(f"{root}/{month}")
+                fs.delete(place, True)
         for n in numbers[:-KEPT_STATES]:
             fs, place = self._at(f"{root}/{POINTERS}/{n:09d}")
             fs.delete(place, False)
