@@ -15,7 +15,8 @@ from tallyspark.plans.dimensions import (
     CALENDAR_END, CALENDAR_START, DIMENSIONS, calendar, extend_calendar, incoming_rows, upsert_dimension,
 )
 from tallyspark.plans.facts import FACTS
-from tallyspark.sources.csv_source import add_lineage, drop_known_rows, read_export
+from tallyspark.sources.csv_source import add_lineage, first_of_each, read_export
+from tallyspark.sources.known_rows import drop_known
 from tallyspark.sources.ledger import ERRORS, BatchLedger
 from tallyspark.sources.specs import ENTITIES, EntitySpec
 from tallyspark.sources.staging import not_yet_staged, quarantine_rows, raw_rows, type_and_check
@@ -57,13 +58,13 @@ def _stored(df: DataFrame | None, columns: Sequence[str] | None = None) -> DataF
     return df if df is None or columns is None else df.select(*columns)
 
 
-def append_raw(store: TableStore, rows: DataFrame, spec: EntitySpec) -> tuple[int, int]:
-    """Append rows not ingested before; (received, loaded) are counted by the write itself."""
+def append_raw(store: TableStore, rows: DataFrame, spec: EntitySpec, batch_id: str) -> tuple[int, int]:
+    """Append rows not ingested before, in a folder of their batch; (received, loaded) are counted by the writes themselves."""
     received, loaded = Observation(), Observation()
     rows = _counted(rows, "n", received)
     if spec.skip_known_rows:
-        rows = drop_known_rows(rows, _stored(store.read("raw", spec.name), ["source_row_hash"]))
-    store.append(_counted(rows, "n", loaded), "raw", spec.name)
+        rows = drop_known(store, spec.name, first_of_each(rows), batch_id)
+    store.append(_counted(rows, "n", loaded), "raw", spec.name, partition_by=["ingestion_batch_id"])
     return received.get.get("n", 0), loaded.get.get("n", 0)
 
 
@@ -76,7 +77,7 @@ def ingest(
     batch_id = ledger.open(spec.table, batch_id)
     try:
         rows = add_lineage(read_export(store.spark, path, spec, strict, multi_line), spec, batch_id)
-        received, loaded = append_raw(store, rows, spec)
+        received, loaded = append_raw(store, rows, spec, batch_id)
     except Exception as exc:
         ledger.fail(batch_id, spec.table, str(exc))
         raise
@@ -87,6 +88,7 @@ def ingest(
 def stage(store: TableStore, entity: str, batch_id: str | None = None) -> None:
     """Type and check raw rows not staged yet; accepted and rejected rows are written in one pass.
 
+    Raw and staging are laid out by batch, so a batch reads its own folders only.
     Rejected rows sit in their own partition of the staging table, from which
     the error ledger is filled.
     """
@@ -99,7 +101,7 @@ def stage(store: TableStore, entity: str, batch_id: str | None = None) -> None:
         staged = raw_rows(staged, batch_id)  # row ids hold their batch: the history of other batches need not be read
     fresh = not_yet_staged(raw_rows(raw, batch_id), _stored(staged, ["source_row_identifier"]))
     # a row id is made of batch, file and position, so rows not staged yet cannot meet a staged twin
-    store.append(type_and_check(fresh, spec), "staging", entity, partition_by=["record_status"])
+    store.append(type_and_check(fresh, spec), "staging", entity, partition_by=["ingestion_batch_id", "record_status"])
 
     written = store.read("staging", entity)
     rejected = quarantine_rows(written if batch_id is None else raw_rows(written, batch_id))

@@ -12,6 +12,7 @@ from tallyspark.functions import cleaning as cl
 from tallyspark.operators.latest import latest_per_key
 from tallyspark.registered.base import doubles, register, table
 from tallyspark.sources.csv_source import drop_known_rows, row_hash
+from tallyspark.sources.known_rows import filters_of, known_rows_by_filter
 from tallyspark.sources.specs import ENTITIES
 from tallyspark.sources.staging import insert_new_staged, newest_batch, not_yet_staged, quarantine_rows, raw_rows, type_and_check
 
@@ -238,6 +239,27 @@ register(
 FROM lineitem WHERE (l_partkey, l_returnflag) NOT IN (SELECT (l_partkey, l_returnflag) FROM lineitem WHERE l_orderkey % 10 = 0)
 GROUP BY l_partkey, l_returnflag""",
 )
+
+
+def _known_by_filter(spark, folder):
+    """Lines whose product and flag are in one of ten batches, found by the filters of the batches."""
+    rows = (
+        table("lineitem")(spark, folder)
+        .selectExpr("l_orderkey", "CAST(l_partkey AS STRING) AS product", "l_returnflag AS flag", "CONCAT('b', l_orderkey % 10) AS ingestion_batch_id")
+        .withColumn("source_row_hash", row_hash(["product", "flag"]))
+    )
+    raw, load = rows.where("l_orderkey % 3 = 0"), rows.where("l_orderkey % 3 = 1")
+    known = known_rows_by_filter(load, raw, filters_of(raw))
+    return load.join(known, "source_row_hash", "left_semi").groupBy("product", "flag").agg(F.count("*").alias("lines"))
+
+
+register(
+    "known_rows_by_filter",
+    _known_by_filter,
+    """SELECT CAST(l_partkey AS STRING) AS product, l_returnflag AS flag, count(*) AS lines FROM lineitem
+WHERE l_orderkey % 3 = 1 AND (l_partkey, l_returnflag) IN (SELECT (l_partkey, l_returnflag) FROM lineitem WHERE l_orderkey % 3 = 0)
+GROUP BY l_partkey, l_returnflag""",
+)
 register(
     "newest_batch",
     lambda spark, folder: newest_batch(

@@ -126,9 +126,12 @@ def add_lineage(df: DataFrame, spec: EntitySpec, batch_id: str, ingested_at: Col
     )
 
 
+def first_of_each(incoming: DataFrame) -> DataFrame:
+    """The first row per content hash."""
+    return latest_per_key(incoming, ["source_row_hash"], [-F.col("source_row_number"), F.col("source_file")])
+
+
 def drop_known_rows(incoming: DataFrame, raw: DataFrame | None) -> DataFrame:
     """Keep the first row per content hash, and only hashes not yet in ``raw``."""
-    first = latest_per_key(
-        incoming, ["source_row_hash"], [-F.col("source_row_number"), F.col("source_file")]
-    )
+    first = first_of_each(incoming)
     return first if raw is None else missing_from(first, raw, ["source_row_hash"])

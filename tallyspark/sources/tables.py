@@ -14,6 +14,8 @@ from tallyspark.operators.upsert import keyed_rows
 MONTH = "load_month"
 LAYERS = ("raw", "staging", "core", "analytics", "ops")
 VERSION, POINTERS = "version", "_versions"
+#: Layers that are laid out by names, such as those of batches.
+TEXT_PARTS = ("raw", "staging")
 #: States whose files stay, for readers that opened one of them.
 KEPT_STATES = 2
 
@@ -48,6 +50,8 @@ class TableStore:
     def read(self, layer: str, table: str) -> DataFrame | None:
         """The table, or None when nothing was written yet."""
         root = self.path(layer, table)
+        if layer in TEXT_PARTS or table.startswith("row_filters_"):
+            return self._read_text_parts(root) if self.exists(layer, table) else None
         number, parts = self._state(layer, table)
         if number:
             # months taken over from a plain table have no version in their path
@@ -57,6 +61,29 @@ class TableStore:
             return reduce(DataFrame.unionByName, frames) if frames else None
         return self.spark.read.parquet(root) if self.exists(layer, table) else None
 
+    def _read_text_parts(self, root: str) -> DataFrame:
+        """A table whose partition values are names; a batch called 7 stays text."""
+        conf, guess = self.spark.conf, "spark.sql.sources.partitionColumnTypeInference.enabled"
+        before = conf.get(guess)
+        conf.set(guess, "false")
+        try:
+            return self.spark.read.parquet(root)
+        finally:
+            conf.set(guess, before)
+
+    def parts_by(self, layer: str, table: str, column: str) -> set[str]:
+        """Values of the first partition column that have a folder."""
+        unescape = self.spark.sparkContext._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.unescapePathName
+        names = self._names(self.path(layer, table))
+        return {unescape(n.partition("=")[2]) for n in names if n.startswith(f"{column}=")}
+
+    def drop_part(self, layer: str, table: str, column: str, value: str) -> None:
+        """Delete the folder of one partition value, if there is one."""
+        escape = self.spark.sparkContext._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName
+        fs, place = self._at(f"{self.path(layer, table)}/{column}={escape(value)}")
+        if fs.exists(place):
+            fs.delete(place, True)
+
     def append(self, df: DataFrame, layer: str, table: str, partition_by: Sequence[str] = ()) -> None:
         df.write.mode("append").partitionBy(*partition_by).parquet(self.path(layer, table))
 

@@ -42,7 +42,7 @@ def ingest_stream(
         if raw is not None:
             own = raw.where(F.col("ingestion_batch_id") == batch_id)
             named = missing_from(named, own, ["raw_id"])
-        received, loaded = append_raw(store, named, spec)
+        received, loaded = append_raw(store, named, spec, batch_id)
         stage(store, entity, batch_id)
         return received, loaded
 
