@@ -36,6 +36,23 @@ def test_row_keys_tell_equal_rows_apart(odd):
     assert again.columns[:-1] == odd.columns
 
 
+def test_no_temporary_folder_on_a_cluster():
+    class Nothing:
+        master = "spark://host:7077"
+
+        def __getattr__(self, name):
+            return self
+
+        def __call__(self, *args):
+            return None if args and args[0] == "spark.checkpoint.dir" else self
+
+        def isDefined(self):  # noqa: N802
+            return False
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        common.shared_folder(Nothing())
+
+
 def test_exact(spark, odd):
     keyed, key = common.row_keyed(odd)
     rows = exact_dedup.decide(keyed, key).collect()
