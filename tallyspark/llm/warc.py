@@ -4,7 +4,7 @@
 exact header bytes of every record. The address is the SHA-256, the SHA-1 and the length together, so two
 payloads share one only if two unrelated digests and the lengths agree; ``read`` computes all three again
 from the stored bytes and says of each record whether they hold. ``read`` joins both tables back to whole
-records; ``to_files`` writes those as WARC/1.1 files.
+records; ``parsed`` takes these bytes apart again, ``to_files`` writes them as WARC/1.1 files.
 """
 
 from __future__ import annotations
@@ -82,9 +82,9 @@ def write(
     typed.select("address", header.cast("binary").alias("header")).write.parquet(f"{path}/headers")
 
 
-def field(name: str) -> Column:
+def field(name: str, header: str = "header") -> Column:
     """The value of a header line, null where there is none."""
-    found = F.regexp_extract(F.col("header").cast("string"), f"(?:^|\\r\\n){name}: ([^\\r\\n]*)", 1)
+    found = F.regexp_extract(F.col(header).cast("string"), f"(?:^|\\r\\n){name}: ([^\\r\\n]*)", 1)
     return F.when(found != "", found)
 
 
@@ -114,6 +114,37 @@ def read(spark: SparkSession, path: str, id_type: str = "long") -> DataFrame:
     )
 
 
+def parsed(records: DataFrame, id_type: str = "long") -> DataFrame:
+    """What the exact bytes of each record of ``read`` say: id, url, record_type, refers_to, payload_digest, payload_bytes, intact.
+
+    A record is parted into header, block and end by its own Content-Length. The digest and length of a response
+    are those of the payload in its block; a revisit has none, so they are those of the stored payload of its
+    response. intact says that the record has the length its header names, that digest and length agree with
+    the header, and that ``read`` found the stored payload intact. A record without payload is null, its
+    columns too, and intact false.
+    """
+    head = F.substring_index(F.col("record").cast("string"), END, 1)
+    parts = records.select("record", "intact", F.col("payload_digest").alias("stored_digest"), F.col("payload_bytes").alias("stored_bytes"), head.alias("head"))
+    block_at = F.octet_length("head") + F.lit(len(END))
+    parts = parts.withColumns({"at": block_at, "length": field("Content-Length", "head").cast("int"), "revisit": field("WARC-Type", "head") == "revisit"})
+    payload = F.substr("record", F.col("at") + F.lit(len(HTTP_HEAD) + 1), F.col("length") - F.lit(len(HTTP_HEAD)))
+    parts = parts.withColumn("payload", F.when(~F.col("revisit"), payload))
+    own = parts.select(
+        "*", F.coalesce(F.sha1("payload"), F.when(F.col("revisit"), F.col("stored_digest"))).alias("payload_digest"),
+        F.coalesce(F.octet_length("payload").cast("long"), F.when(F.col("revisit"), F.col("stored_bytes"))).alias("payload_bytes"),
+    )
+    return own.select(
+        field("X-Page-ID", "head").cast(id_type).alias("id"), field("WARC-Target-URI", "head").alias("url"),
+        field("WARC-Type", "head").alias("record_type"), field("X-Refers-To-Page-ID", "head").cast(id_type).alias("refers_to"),
+        "payload_digest", "payload_bytes",
+        F.coalesce(
+            F.col("intact") & (F.octet_length("record") == F.col("at") + F.col("length") + F.lit(len(END)))
+            & (field("WARC-Payload-Digest", "head") == F.concat(F.lit("sha1:"), "payload_digest"))
+            & (field("X-Payload-Length", "head").cast("long") == F.col("payload_bytes")), F.lit(False),
+        ).alias("intact"),
+    )
+
+
 def to_files(records: DataFrame, path: str) -> None:
     """Write the records of ``read`` as WARC files, one per task. Payloads are UTF-8, so the text writer keeps their bytes."""
     whole = F.col("record").cast("string")
@@ -123,7 +154,7 @@ def to_files(records: DataFrame, path: str) -> None:
 def op4(spark: SparkSession, folder: str) -> DataFrame:
     path = common.scratch_path(spark, "warc")
     write(common.table(spark, folder, "pages"), path)
-    return read(spark, path).select(
+    return parsed(read(spark, path)).select(
         F.col("id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to", "intact"
     )
 

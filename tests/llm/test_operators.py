@@ -11,6 +11,7 @@ import duckdb
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from check_queries import TABLES, rows_of
 from tallyspark.llm import common, decontaminate, language_model, licenses, pii, quality, simhash, warc, words
@@ -111,6 +112,23 @@ def test_secrets_are_added_in_unlabelled_texts(spark):
     assert not any(found[i] for i in range(60, 120))
 
 
+def test_records_say_the_same_as_the_tables(spark, tmp_path):
+    """All that op4 returns is taken from the bytes of the records, and a changed byte is noticed."""
+    html = ["", None, "<p>x</p>", "é漢" * 700, "é漢" * 700, "a\r\n\r\nContent-Length: 3\r\n\r\n" * 60, "z" * 999, "z" * 999, "y" * 1000, "y" * 1000]
+    rows = [(i if i != 2 else None, "http://h/é\r\nX: 1" if i % 2 else None, h) for i, h in enumerate(html)]
+    warc.write(spark.createDataFrame(rows, "page_id long, url string, html string"), str(tmp_path / "archive"))
+    back = warc.read(spark, str(tmp_path / "archive"))
+    columns = ["id", "url", "record_type", "refers_to", "payload_digest", "payload_bytes", "intact"]
+    said = sorted(map(str, warc.parsed(back).select(columns).collect()))
+    assert said == sorted(map(str, back.select(columns).collect())) and len(said) == len(rows)
+    assert all(r.intact for r in warc.parsed(back).collect())
+    last = F.expr("concat(substr(record, 1, octet_length(record) - 5), X'00', substr(record, octet_length(record) - 3, 4))")
+    spoilt = warc.parsed(back.withColumn("record", last)).where("record_type = 'response' AND payload_bytes > 0").collect()
+    assert spoilt and not any(r.intact for r in spoilt)
+    cut = warc.parsed(back.withColumn("record", F.expr("substr(record, 1, octet_length(record) - 6)"))).collect()
+    assert not any(r.intact for r in cut)
+
+
 def test_warc_round_trip(spark, tmp_path):
     page = "<p>" + "x" * 2_000
     rows = [(1, "http://a/", page), (2, "http://b/\r\nX: y", page), (3, None, "short"), (4, "u", "short"), (None, "n", page), (5, "e", None),
