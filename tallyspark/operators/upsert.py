@@ -50,13 +50,21 @@ def assign_keys(
 def keyed_rows(
     existing: DataFrame | None, incoming: DataFrame, business_key: Sequence[str], key_column: str
 ) -> DataFrame:
-    """``incoming`` with surrogate keys: known rows keep theirs, new rows continue the count."""
+    """``incoming`` with surrogate keys: known rows keep theirs, new rows continue the count.
+
+    Known keys are looked up and new ones numbered on the key columns alone; whole rows meet their numbers in one
+    join at the end. ``incoming`` is read three times, so it should be stored. Rows that share a key share a number.
+    """
     keys = list(business_key)
+    asked = incoming.select(*keys).distinct()
     if existing is None:
-        return assign_keys(incoming, keys, key_column)
-    known = incoming.join(existing.select(*keys, key_column), keys, "inner")
-    inserted = assign_keys(missing_from(incoming, existing, keys), keys, key_column, existing)
-    return inserted.unionByName(known.select(*inserted.columns))
+        numbers = assign_keys(asked, keys, key_column)
+    else:
+        known = existing.select(key_column, *keys).join(asked, keys, "left_semi").select(key_column, *keys)
+        numbers = assign_keys(missing_from(asked, existing, keys), keys, key_column, existing).unionByName(known)
+    numbers = numbers.select(key_column, *[F.col(k).alias(f"__key{i}") for i, k in enumerate(keys)])
+    same = [F.col(k).eqNullSafe(F.col(f"__key{i}")) for i, k in enumerate(keys)]
+    return incoming.join(numbers, same).select(key_column, *incoming.columns)
 
 
 def upsert(

@@ -62,9 +62,10 @@ def append_raw(store: TableStore, rows: DataFrame, spec: EntitySpec, batch_id: s
     """Append rows not ingested before, in a folder of their batch; (received, loaded) are counted by the writes themselves."""
     received, loaded = Observation(), Observation()
     rows = _counted(rows, "n", received)
-    if spec.skip_known_rows:
-        rows = drop_known(store, spec.name, first_of_each(rows), batch_id)
-    store.append(_counted(rows, "n", loaded), "raw", spec.name, partition_by=["ingestion_batch_id"])
+    with store.sides():
+        if spec.skip_known_rows:
+            rows = drop_known(store, spec.name, first_of_each(rows), batch_id)
+        store.append(_counted(rows, "n", loaded), "raw", spec.name, partition_by=["ingestion_batch_id"])
     return received.get.get("n", 0), loaded.get.get("n", 0)
 
 
@@ -121,8 +122,9 @@ def load_dimensions(store: TableStore, start: dt.date = CALENDAR_START, end: dt.
         if staged is None:
             continue
         partners = tables["dim_partner"] if name == "dim_location" else None
-        incoming = store.aside(incoming_rows(DIMENSIONS[name], staged, partners), "core", f"{name}__load")
-        store.replace(upsert_dimension(name, incoming, store.read("core", name)), "core", name)
+        with store.sides():
+            incoming = store.aside(incoming_rows(DIMENSIONS[name], staged, partners), "core", f"{name}__load")
+            store.replace(upsert_dimension(name, incoming, store.read("core", name)), "core", name)
 
 
 # fact -> (staging of a parent, key of the parent there, the same key in the fact's staging): a changed parent changes its lines
@@ -174,30 +176,36 @@ def load_facts(
         if (only is not None and name not in only) or store.read("staging", spec.staging.removeprefix("stg_")) is None:
             continue
         tables = stored if batches is None else _of_batches(stored, name, batches)
-        rows = spec.load(tables)
-        if name == "fact_return_items":
-            # lines have no date of their own; they lie in the month of their return
-            month = F.floor(F.col("date_key") / 100).cast("int").alias(MONTH)
-            rows = rows.join(stored["fact_returns"].select("return_id", month), "return_id")
-        rules = table_constraints().get(name)
-        if rules:
-            judged = store.aside(with_errors(rows, rules), "core", f"{name}__judged")
-            rows, broken = split_judged(judged, constraints)
-            if constraints == "quarantine":
-                report = broken.select(
-                    F.lit(name).alias("table_name"),
-                    F.concat_ws("|", *spec.business_key).alias("business_key"),
-                    F.array_join("errors", "; ").alias("error_message"),
-                    "ingestion_batch_id",
-                )
-                known = store.read("ops", VIOLATIONS)
-                if known is not None:
-                    report = missing_from(report, known, ["table_name", "business_key", "ingestion_batch_id"])
-                store.append(report, "ops", VIOLATIONS)
-        rewritten[name] = store.merge_by_month(rows, "core", name, spec.business_key, spec.key_column)
+        with store.sides():
+            rewritten[name] = _load_fact(store, name, tables, constraints)
     return rewritten
 
 
+def _load_fact(store: TableStore, name: str, tables: Mapping[str, DataFrame], constraints: str) -> set[int]:
+    spec = FACTS[name]
+    rows = spec.load(tables)
+    if name == "fact_return_items":
+        # lines have no date of their own; they lie in the month of their return
+        month = F.floor(F.col("date_key") / 100).cast("int").alias(MONTH)
+        rows = rows.join(tables["fact_returns"].select("return_id", month), "return_id")
+    rules = table_constraints().get(name)
+    if rules:
+        judged = store.aside(with_errors(rows, rules), "core", f"{name}__judged")
+        rows, broken = split_judged(judged, constraints)
+        if constraints == "quarantine":
+            report = broken.select(
+                F.lit(name).alias("table_name"),
+                F.concat_ws("|", *spec.business_key).alias("business_key"),
+                F.array_join("errors", "; ").alias("error_message"),
+                "ingestion_batch_id",
+            )
+            known = store.read("ops", VIOLATIONS)
+            if known is not None:
+                report = missing_from(report, known, ["table_name", "business_key", "ingestion_batch_id"])
+            store.append(report, "ops", VIOLATIONS)
+    return store.merge_by_month(rows, "core", name, spec.business_key, spec.key_column)
+
+
 def run_all(store: TableStore, exports: Mapping[str, str], start: dt.date = CALENDAR_START, end: dt.date = CALENDAR_END) -> StoredTables:
     """Ingest and stage the given exports (entity -> path), then load dimensions and facts."""
     for entity, path in exports.items():

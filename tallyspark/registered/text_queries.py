@@ -6,10 +6,13 @@ values come from the typed columns the text was made of.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from tallyspark.functions import cleaning as cl
 from tallyspark.operators.latest import latest_per_key
+from tallyspark.plans.replay import CORRECTION, ROW, payload_cells, replayed
 from tallyspark.registered.base import doubles, register, table
 from tallyspark.sources.csv_source import drop_known_rows, row_hash
 from tallyspark.sources.known_rows import filters_of, known_rows_by_filter
@@ -452,16 +455,23 @@ def _base_rows(entity: str) -> tuple[str, str, str, str, str]:
     return base, key, text, f"CASE WHEN {planned} THEN abs({number}) ELSE {number} END", day
 
 
-def _raw_entity(entity: str):
-    """Raw text rows of an entity: one per row of its base table, some of them broken."""
+def _cells(entity: str, broken: bool = True) -> dict[str, str]:
+    """Raw column -> the text of its cells, for both engines, with or without the broken ones."""
     spec = ENTITIES[entity]
-    base, key, text, number, day = _base_rows(entity)
     parser_of = {f.source: f.parser for f in spec.staged if isinstance(f.source, str)}
-    cells = []
+    cells = {}
     for c in spec.raw_columns:
         good = _GOOD[parser_of.get(c, "text")][0]
-        cases = " ".join(f"WHEN {i} THEN {b[0][c]}" for i, b in enumerate(BREAKS[entity]) if c in b[0])
-        cells.append(f"CAST({f'CASE k % {MODULUS} {cases} ELSE {good} END' if cases else good} AS STRING) AS {c}")
+        cases = " ".join(f"WHEN {i} THEN {b[0][c]}" for i, b in enumerate(BREAKS[entity]) if broken and c in b[0])
+        cells[c] = f"CAST({f'CASE k % {MODULUS} {cases} ELSE {good} END' if cases else good} AS STRING)"
+    return cells
+
+
+def _raw_entity(entity: str):
+    """Raw text rows of an entity: one per row of its base table, some of them broken."""
+    spec = ENTITIES[entity]
+    base, key, text, number, day = _base_rows(entity)
+    cells = [f"{e} AS {c}" for c, e in _cells(entity).items()]
 
     def build(spark, folder):
         rows = table(base)(spark, folder).selectExpr(f"{key} AS k", f"{text} AS txt", f"{number} AS num", f"{day} AS day").selectExpr("k", *cells)
@@ -546,6 +556,73 @@ def _quarantine_sql(entity: str) -> str:
 
 register("quarantine", _quarantined, " UNION ALL ".join(map(_quarantine_sql, ("order", "payment", "customer"))))
 
+_HASH = "CAST(conv(substr(md5(concat(k, '|', cell.value)), 1, 8), 16, 10) AS BIGINT)"
+
+
+def _payload_cells(spark, folder):
+    """Per entity and raw column, the cells read back from the payloads of its rejected rows."""
+    parts = []
+    for entity, spec in ENTITIES.items():
+        rejected = type_and_check(_raw_entity(entity)(spark, folder), spec).where("record_status = 'invalid'")
+        cells = payload_cells(rejected.select("source_table", F.col(ROW).alias("k"), "raw_payload"), spec)
+        each = F.explode(F.array(*[F.struct(F.lit(c).alias("field"), F.col(c).alias("value")) for c in spec.raw_columns]))
+        parts.append(cells.select("source_table", "k", each.alias("cell")))
+    every = reduce(lambda a, b: a.unionByName(b), parts)
+    return every.groupBy("source_table", F.col("cell.field").alias("field")).agg(
+        F.count("*").alias("rejected"), F.count("cell.value").alias("cells"), F.coalesce(F.sum(F.expr(_HASH)), F.lit(0)).alias("cells_hash")
+    )
+
+
+def _source_cells_sql(entity: str) -> str:
+    base, key, text, number, day = _base_rows(entity)
+    each = ", ".join(f"{{'field': '{c}', 'value': nullif(trim({e}), '')}}" for c, e in _cells(entity).items())
+    return f"""SELECT '{ENTITIES[entity].table}' AS source_table, k, unnest([{each}]) AS cell
+FROM (SELECT {key} AS k, {text} AS txt, {number} AS num, {day} AS day FROM {base})
+WHERE k IN (SELECT k FROM ({_checked_sql(entity)}) WHERE record_status = 'invalid')"""
+
+
+register(
+    "payload_cells",
+    _payload_cells,
+    f"""SELECT source_table, cell.field AS field, count(*) AS rejected, count(cell.value) AS cells,
+  CAST(coalesce(sum(CAST('0x' || substr(md5(concat(k, '|', cell.value)), 1, 8) AS BIGINT)) FILTER (cell.value IS NOT NULL), 0) AS BIGINT) AS cells_hash
+FROM ({" UNION ALL ".join(map(_source_cells_sql, ENTITIES))}) GROUP BY source_table, cell.field""",
+)
+
+
+def _replayed(spark, folder, entity: str):
+    """Rejected rows of an entity after their broken cells were corrected."""
+    spec = ENTITIES[entity]
+    rejected = type_and_check(_raw_entity(entity)(spark, folder), spec).where("record_status = 'invalid'")
+    base, key, text, number, day = _base_rows(entity)
+    broken = sorted({c for b in BREAKS[entity] for c in b[0]})
+    good = table(base)(spark, folder).selectExpr(f"{key} AS k", f"{text} AS txt", f"{number} AS num", f"{day} AS day").where(
+        f"k % {MODULUS} < {len(BREAKS[entity])}"
+    ).selectExpr(f"CAST(k AS STRING) AS {ROW}", *[f"{e} AS {c}" for c, e in _cells(entity, broken=False).items() if c in broken])
+    rows = replayed(rejected, spec, "replay-1", good.select(ROW, F.to_json(F.struct(*broken)).alias(CORRECTION)))
+    values = [
+        F.col(c).cast("double" if name == "number_value" else rows.schema[c].dataType).alias(name) for name, (c, _) in _shown(entity).items()
+    ]
+    return rows.select("source_table", F.col("source_row_number").alias("k"), "ingestion_batch_id", "record_status", *values)
+
+
+def _replayed_sql(entity: str) -> str:
+    base, key, text, number, day = _base_rows(entity)
+    shown = _shown(entity)
+    kinds = {"text_value": "VARCHAR", "day_value": "DATE", "number_value": "DOUBLE"}
+    values = ", ".join(f"CAST({_GOOD[shown[n][1]][1] if n in shown else 'NULL'} AS {t}) AS {n}" for n, t in kinds.items())
+    return f"""SELECT '{ENTITIES[entity].table}' AS source_table, k, 'replay-1' AS ingestion_batch_id, 'pending' AS record_status, {values}
+FROM (SELECT {key} AS k, {text} AS txt, {number} AS num, {day} AS day FROM {base}) WHERE {_case([b[1] for b in BREAKS[entity]])} IS NOT NULL"""
+
+
+register(
+    "quarantine_replay",
+    lambda spark, folder: reduce(
+        lambda a, b: a.unionByName(b, allowMissingColumns=True), [_replayed(spark, folder, e) for e in ENTITIES]
+    ),
+    " UNION ALL ".join(map(_replayed_sql, ENTITIES)),
+)
+
 _STAGED_NUMBERS = "quantity unit_price item_discount line_amount cogs"
 
 

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Sequence
+import uuid
+from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -31,12 +33,15 @@ class TableStore:
     consists of; a write makes a new version beside the others and then puts
     one pointer in place. Until then nothing has changed for anybody, so a
     driver lost at any step leaves the old state, and the write can be run
-    again. Readers see one state, never parts of two.
+    again. Readers see one state, never parts of two. A table has one writer
+    at a time: a second one fails when its pointer is there already, but on
+    an object store, where a rename is no lock, that check can come too late.
     """
 
     def __init__(self, spark: SparkSession, base: str):
         self.spark = spark
         self.base = base.rstrip("/")
+        self._sides: list[str] = []
 
     def path(self, layer: str, table: str) -> str:
         if layer not in LAYERS:
@@ -112,9 +117,12 @@ class TableStore:
         the one stored row of their key are left out first, so a load that
         repeats old rows does not rewrite their months.
         """
-        keys = list(keys)
         if MONTH not in incoming.columns:
             incoming = incoming.withColumn(MONTH, F.floor(F.col(day_key) / 100).cast("int"))
+        with self.sides():
+            return self._merge_by_month(incoming, layer, table, list(keys), key_column)
+
+    def _merge_by_month(self, incoming: DataFrame, layer: str, table: str, keys: list[str], key_column: str) -> set[int]:
         existing = self.read(layer, table)
         # written before they are read several times: the plan behind a load is long
         loaded = self.aside(incoming, layer, f"{table}__load")
@@ -144,10 +152,24 @@ class TableStore:
         others = [] if months is None else [p for p in parts if int(p.rpartition("=")[2]) not in months]
         self._write_months(df, layer, table, number + 1, others)
 
+    @contextmanager
+    def sides(self) -> Iterator[None]:
+        """Side tables made inside are deleted at the end; those of a lost driver stay, and no other load reads them."""
+        outer, self._sides = self._sides, []
+        try:
+            yield
+        finally:
+            made, self._sides = self._sides, outer
+            for path in made:
+                fs, place = self._at(path)
+                fs.delete(place, True)
+
     def aside(self, df: DataFrame, layer: str, table: str) -> DataFrame:
-        """Write a frame under a side name and read it back, so that it is computed once."""
-        df.write.mode("overwrite").option("partitionOverwriteMode", "static").parquet(self.path(layer, table))
-        return self.spark.read.schema(df.schema).parquet(self.path(layer, table))
+        """Write a frame under a side name of its own and read it back, so that it is computed once."""
+        path = f"{self.path(layer, table)}-{uuid.uuid4().hex}"
+        self._sides.append(path)
+        df.write.mode("overwrite").option("partitionOverwriteMode", "static").parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
 
     def _write_months(self, df: DataFrame, layer: str, table: str, number: int, others: Sequence[str]) -> None:
         """A new version of the months in ``df``, then a state of these and the ``others``."""
@@ -197,7 +219,8 @@ class TableStore:
         stream = fs.create(draft, True)
         stream.write(bytearray(json.dumps(list(parts)).encode()))
         stream.close()
-        if not fs.rename(draft, self._at(f"{folder}/{number:09d}")[1]):
+        pointer = self._at(f"{folder}/{number:09d}")[1]
+        if fs.exists(pointer) or not fs.rename(draft, pointer):
             raise RuntimeError(f"{table}: state {number} was written by somebody else")
         self._drop_unused(layer, table)
 

@@ -57,6 +57,25 @@ def test_numbering_needs_no_single_partition_over_all_rows(spark):
     assert "SinglePartition" not in main
 
 
+def test_only_keys_are_numbered(spark):
+    """Below the windows that number rows there is no other column, and null and repeated keys lose no row."""
+    old = spark.createDataFrame([(1, "a", "x"), (2, None, "y")], "key bigint, id string, wide string")
+    new = spark.createDataFrame([("a", "A"), (None, "N"), ("b", "B"), ("b", "B2"), ("c", None)], "id string, wide string")
+    for existing in (old, None):
+        lines = keyed_rows(existing, new, ["id"], "key")._jdf.queryExecution().optimizedPlan().toString().split("\n")
+        depth = [len(x) - len(x.lstrip(" :+-")) for x in lines]
+        tops = [i for i, x in enumerate(lines) if x.lstrip(" :+-").startswith("Window")]
+        assert tops
+        for top in tops:
+            below = [x for i, x in enumerate(lines[top + 1 :], top + 1) if all(depth[j] > depth[top] for j in range(top + 1, i + 1))]
+            assert below and not any("Project" in x and "wide#" in x for x in below)
+    got = keyed_rows(old, new, ["id"], "key").collect()
+    number = {r.id: r.key for r in got}
+    # a null key is never known, as in a join, so it is numbered anew
+    assert len([r for r in got if r.id]) == 4 and number["a"] == 1 and sorted({r.key for r in got if r.key > 2}) == [3, 4, 5]
+    assert len({r.key for r in keyed_rows(None, new, ["id"], "key").collect()}) == 4
+
+
 def test_upsert(spark):
     old = spark.createDataFrame([(1, "a", "x", "d1"), (2, "b", "y", "d1")], "key bigint, id string, v string, first_seen string")
     new = spark.createDataFrame([("b", "Y"), ("c", "Z")], "id string, v string")
