@@ -26,8 +26,9 @@ STRIDE, BANDS = 4, 6
 WINDOW = 2 * STRIDE
 #: Templates of fewer shingles are searched by single shingles: a window of WINDOW must fit in STRIDE places.
 LONG_TEMPLATE = WINDOW + STRIDE - 1
-#: Shingles around the stretch in which verification looks, for words put in or left out.
-SLACK = 4
+#: Shingles on each side of the stretch in which verification looks, for words put in or left out: this share of
+#: the template's shingles, so that a block of half its length may stand in it, and at least so many.
+SLACK_SHARE, LEAST_SLACK = 0.5, 4
 
 #: Names and texts of public licenses and of the notices that name them.
 TEMPLATES = (
@@ -138,8 +139,9 @@ def scan(
         "key", "id", "words", "template", "own", "number",
         F.greatest(F.col("place.at") - F.col("shingle"), F.lit(0)).alias("start"),
     )
-    low = F.greatest(F.col("start") - SLACK, F.lit(0))
-    stretch = F.slice(F.col("words"), low + 1, F.col("number") + SHINGLE - 1 + 2 * SLACK)
+    slack = F.greatest((F.col("number") * SLACK_SHARE).cast("int"), F.lit(LEAST_SLACK))
+    low = F.greatest(F.col("start") - slack, F.lit(0))
+    stretch = F.slice(F.col("words"), low + 1, F.col("number") + SHINGLE - 1 + 2 * slack)
     covered = settled(candidates, "stretch", stretch)
     shared = F.size(F.array_intersect("own", shingles(F.col("stretch")))) / F.size(F.array_distinct("own"))
     best = F.max(F.struct(F.col("containment"), (-F.col("start")).alias("earlier")))

@@ -376,6 +376,24 @@ def test_interpolated_probabilities_by_hand(monkeypatch, spark):
         assert math.isclose(r.score, want, rel_tol=1e-9) and r.n_tokens == len(split[r.id]) - 1
 
 
+def test_a_block_put_into_a_license_hides_nothing(spark):
+    """Blocks of up to half a template's length, where most of its shingles are left; those of other licenses are not taken for it."""
+    rows, want = [], set()
+    for name, text in licenses.TEMPLATES:
+        parts = text.split()
+        for block in (6, 12, 20):
+            spoilt = licenses.SHINGLE - 1
+            number = len(re.findall("[a-z0-9]+", text.lower())) - spoilt
+            if block <= number // 2 and (number - spoilt) / number >= licenses.LEAST:
+                for at in (len(parts) // 2, len(parts) * 2 // 3):
+                    inside = [*parts[:at], *[f"foreign{block}x{n}" for n in range(block)], *parts[at:]]
+                    want.add((len(rows), name))
+                    rows.append((len(rows), "before it stand " + "words " * 37 + " ".join(inside) + " more words behind" * 30))
+    keyed, key = common.row_keyed(spark.createDataFrame(rows, "doc_id long, text string"))
+    got = {(r.id, r.template) for r in licenses.scan(keyed, key).collect()}
+    assert got == want and len(want) >= 16
+
+
 def test_license_query(spark, docs):
     got = {(r.doc_id, r.template) for r in result(spark, "op10_licenses")}
     want = {(i, name) for i, r in docs.items() for name, text in licenses.TEMPLATES if text in (r.text or "")}
