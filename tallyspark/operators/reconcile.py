@@ -38,8 +38,13 @@ def _sums_of_staged(staged: DataFrame, key: str, amount: str | None = None, vers
     return pending.agg(F.count_distinct(key).alias("expected_count")).withColumn("source_value", total)
 
 
-def _sums_of_core(core: DataFrame, key: str, amount: str | None = None) -> DataFrame:
-    """One row: rows, repeated keys and the exact sum of a core table, from one pass with one shuffle."""
+def _sums_of_core(core: DataFrame, key: str, amount: str | None = None, repeated: bool = True) -> DataFrame:
+    """One row: rows, repeated keys and the exact sum of a core table. Only repeated keys need a shuffle of the keys."""
+    if not repeated:
+        return core.agg(
+            F.count("*").alias("actual_count"), F.lit(None).cast("bigint").alias("duplicate_count"),
+            F.coalesce(F.sum(amount), F.lit(0)).cast(TOTAL_TYPE).alias("warehouse_value"),
+        )
     value = F.sum(amount) if amount else F.lit(None)
     per_key = core.groupBy(key).agg(F.count("*").alias("n"), value.cast(TOTAL_TYPE).alias("value"))
     return per_key.agg(
@@ -72,7 +77,7 @@ def _dimensions(t: Tables) -> DataFrame:
     }, "dimension_name")
 
 
-def _facts(t: Tables, only: Sequence[str] = (), amounts: bool = False, version_of=lambda staging: VERSION_COLUMNS) -> DataFrame:
+def _facts(t: Tables, only: Sequence[str] = (), amounts: bool = False, version_of=lambda staging: VERSION_COLUMNS, repeated: bool = True) -> DataFrame:
     total_of = {fact: (key, amount, own) for _, key, amount, fact, own in TOTALS.values()} if amounts else {}
     pairs = {}
     for name, spec in FACTS.items():
@@ -81,7 +86,7 @@ def _facts(t: Tables, only: Sequence[str] = (), amounts: bool = False, version_o
         key = spec.business_key[-1]
         staged_key = key if name == "fact_partner_capital" else spec.staging_key
         _, amount, own = total_of.get(name, (None, None, None))
-        pairs[name] = (_sums_of_staged(t[spec.staging], staged_key, amount, version_of(spec.staging)), _sums_of_core(t[name], key, own))
+        pairs[name] = (_sums_of_staged(t[spec.staging], staged_key, amount, version_of(spec.staging)), _sums_of_core(t[name], key, own, repeated))
     return _side_by_side(pairs, "fact_name")
 
 
@@ -101,7 +106,7 @@ def fact_report(t: Tables) -> DataFrame:
 def totals_report(t: Tables, version_of: Callable[[str], Version] = lambda staging: VERSION_COLUMNS) -> DataFrame:
     """Exact money totals of the latest accepted staged rows against the facts."""
     name_of = {fact: name for name, (_, _, _, fact, _) in TOTALS.items()}
-    rows = _facts(t, list(name_of), True, version_of)
+    rows = _facts(t, list(name_of), True, version_of, repeated=False)
     names = F.create_map(*[F.lit(x) for pair in name_of.items() for x in pair])
     return rows.select(
         names[F.col("fact_name")].alias("metric_name"), "source_value", "warehouse_value", "difference", F.col("total_is_valid").alias("is_valid")

@@ -18,6 +18,7 @@ from tallyspark.plans.dimensions import calendar, extend_calendar
 from tallyspark.plans.facts import FACTS, unresolved_rows
 from tallyspark.plans.kept_results import count_distinct, states_of
 from tallyspark.plans.summary import small_daily_summary
+from tallyspark.plans.table_digests import SIDES, digest_report, month_digests
 from tallyspark.plans.timeranges import TimeRange
 from tallyspark.plans.tpch_warehouse import LINE_STAGING, LINE_VERSION, SIMPLE_VERSION, TpchWarehouse
 from tallyspark.plans.views import SUMMARY, VIEWS, compose_view, for_tenant, register_views
@@ -702,6 +703,72 @@ UNION ALL SELECT 'totals', is_valid FROM ({_TOTALS_SQL})) GROUP BY ROLLUP (check
     ),
 )
 
+# digests ------------------------------------------------------------------------------
+
+_EVENT_ROWS = "SELECT CAST(event_id AS VARCHAR) AS k, {0} AS a FROM events WHERE event_type IN ({1})"
+_EVENT_VALUE = "CAST(value AS DECIMAL(14,2))"
+# fact -> the latest staged rows: key and amount
+_STAGED_ROWS = {
+    "fact_orders": "SELECT CAST(o_orderkey AS VARCHAR) AS k, CAST(o_totalprice AS DECIMAL(14,2)) AS a FROM orders",
+    "fact_sales": "SELECT line_id AS k, NULL AS a FROM line_latest",
+    "fact_payments": _EVENT_ROWS.format(_EVENT_VALUE, "'purchase'"),
+    "fact_returns": "SELECT line_id AS k, price AS a FROM return_latest",
+    "fact_return_items": "SELECT line_id AS k, NULL AS a FROM return_latest",
+    "fact_purchases": "SELECT line_id AS k, CASE WHEN flag <> 'N' THEN CAST(quantity * price AS DECIMAL(14,2)) END AS a FROM line_latest",
+    "fact_cash_transactions": _EVENT_ROWS.format(_EVENT_VALUE, "'purchase', 'error'"),
+    "fact_expenses": _EVENT_ROWS.format(_EVENT_VALUE, "'error'"),
+    "fact_partner_capital": _EVENT_ROWS.format("NULL", "'signup', 'view', 'click'"),
+    "fact_stock_movements": "SELECT line_id AS k, NULL AS a FROM line_latest",
+}
+
+
+def _digest_validation_sql() -> str:
+    """Counts and sums side by side; rows are compared as multisets, not by hashes."""
+    parts = []
+    for fact, side in SIDES.items():
+        amount = side.amount or "NULL"
+        zero = "CAST(coalesce({0}, 0) AS DECIMAL(38,2))" if side.amount else "NULL"
+        staged = f"SELECT k, {zero.format('a')} AS a FROM ({_STAGED_ROWS[fact]})"
+        core = f"SELECT {side.key} AS k, {zero.format(amount)} AS a FROM {fact}"
+        one_way = "SELECT count(*) FROM ({0} EXCEPT ALL {1})"
+        parts.append(
+            f"SELECT '{fact}' AS fact_name, (SELECT count(*) FROM ({staged})) AS expected_count, (SELECT count(*) FROM ({core})) AS actual_count,"
+            f" CAST((SELECT sum(a) FROM ({staged})) AS DOUBLE) AS source_value, CAST((SELECT sum(a) FROM ({core})) AS DOUBLE) AS warehouse_value,"
+            f" ({one_way.format(staged, core)}) + ({one_way.format(core, staged)}) = 0 AS same_rows"
+        )
+    return f"SELECT *, same_rows AS is_valid FROM ({' UNION ALL '.join(parts)})"
+
+
+register("digest_validation", on_warehouse(lambda w: digest_report(w, version_of)), with_ctes(_digest_validation_sql()))
+
+_DIGESTED = ("fact_orders", "fact_sales", "fact_payments", "fact_expenses")
+
+
+def _month_digests(w: TpchWarehouse):
+    parts = [month_digests(f, w[f]).select(F.lit(f).alias("fact_name"), "load_month", "row_count", "total", F.col("digest").cast("string")) for f in _DIGESTED]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
+
+
+def _told(value: str) -> str:
+    return f"coalesce(length({value}) || ':' || {value}, '-')"
+
+
+def _month_digest_sql(fact: str) -> str:
+    side = SIDES[fact]
+    amount = f"CAST(coalesce({side.amount}, 0) AS DECIMAL(38,2))" if side.amount else "NULL"
+    text = _told(side.key) + (f" || ',' || {_told(f'CAST({amount} AS VARCHAR)')}" if side.amount else "")
+    return (
+        f"SELECT '{fact}' AS fact_name, date_key // 100 AS load_month, count(*) AS row_count, CAST(sum({amount}) AS DOUBLE) AS total,"
+        f" CAST(sum(CAST(CAST('0x' || substr(md5({text}), 1, 15) AS BIGINT) AS HUGEINT)) AS VARCHAR) AS digest FROM {fact} GROUP BY ALL"
+    )
+
+
+register("digests_by_month", on_warehouse(_month_digests), with_ctes(" UNION ALL ".join(map(_month_digest_sql, _DIGESTED))))
+
+
 def _integrity_sql(fact: str) -> str:
     key = FACTS[fact].business_key
     parts = [f"SELECT '{fact}' AS fact, 'unique {', '.join(key)}' AS rule, count(*) - count(DISTINCT ({', '.join(key)})) AS broken_rows FROM {fact}"]

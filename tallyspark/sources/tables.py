@@ -16,6 +16,7 @@ from tallyspark.operators.upsert import keyed_rows
 MONTH = "load_month"
 LAYERS = ("raw", "staging", "core", "analytics", "ops")
 VERSION, POINTERS = "version", "_versions"
+PART = "part_folder"
 #: Layers that are laid out by names, such as those of batches.
 TEXT_PARTS = ("raw", "staging")
 #: States whose files stay, for readers that opened one of them.
@@ -59,13 +60,26 @@ class TableStore:
             return self._read_text_parts(root) if self.exists(layer, table) else None
         number, parts = self._state(layer, table)
         if number:
-            # months taken over from a plain table have no version in their path
-            groups = [[p for p in parts if p.startswith(VERSION) == versioned] for versioned in (True, False)]
-            read = self.spark.read.option("basePath", root)
-            frames = [read.parquet(*[f"{root}/{p}" for p in own]).drop(VERSION) for own in groups if own]
-            return reduce(DataFrame.unionByName, frames) if frames else None
+            return reduce(DataFrame.unionByName, self._frames(root, parts)).drop(VERSION) if parts else None
         return self.spark.read.parquet(root) if self.exists(layer, table) else None
 
+    def _frames(self, root: str, parts: Sequence[str]) -> list[DataFrame]:
+        """One frame of the versioned folders, one of months taken over from a plain table, which have no version in their path."""
+        groups = [[p for p in parts if p.startswith(VERSION) == versioned] for versioned in (True, False)]
+        read = self.spark.read.option("basePath", root)
+        frames = [read.parquet(*[f"{root}/{p}" for p in own]) for own in groups if own]
+        return [df if VERSION in df.columns else df.withColumn(VERSION, F.lit(None).cast("int")) for df in frames]
+
+    def parts(self, layer: str, table: str) -> list[str]:
+        """Folders of the present state, which are never written again; none for a table without states."""
+        return self._state(layer, table)[1]
+
+    def read_parts(self, layer: str, table: str, parts: Sequence[str]) -> DataFrame:
+        """The rows of some month folders of a state, with the folder of each row in ``part_folder``."""
+        rows = reduce(DataFrame.unionByName, self._frames(self.path(layer, table), parts))
+        version = F.concat(F.lit(f"{VERSION}="), F.col(VERSION), F.lit("/"))
+        return rows.withColumn(PART, F.concat(F.coalesce(version, F.lit("")), F.lit(f"{MONTH}="), F.col(MONTH))).drop(VERSION)
+
     def _read_text_parts(self, root: str) -> DataFrame:
         """A table whose partition values are names; a batch called 7 stays text."""
         conf, guess = self.spark.conf, "spark.sql.sources.partitionColumnTypeInference.enabled"
