@@ -23,8 +23,8 @@ from tallyspark.llm import common
 
 WINDOW = 256
 EMBEDDING, WIDTHS, FILTERS = 8, (2, 3, 4), 16
-#: Bounds of the training sample: languages, windows of each, characters a window is cut from.
-MOST_LANGUAGES, WINDOWS_PER_LANGUAGE, CUT = 64, 1_500, 300
+#: Bounds of the training sample: windows of a language, windows of all, characters a window is cut from. Every language is learned.
+WINDOWS_PER_LANGUAGE, WINDOWS, CUT = 1_500, 96_000, 300
 EPOCHS, BATCH, RATE = 10, 64, 0.004
 #: Training windows are cut to a random length from here on; beyond WINDOW means not at all.
 SHORTEST = 8
@@ -159,22 +159,24 @@ def identify(net: Network | None, text: str | None) -> tuple[str, float]:
 def sample(docs: DataFrame, text_column: str, label_column: str) -> tuple[list[str], list[tuple[str, str]]]:
     """The languages to learn, by frequency and name, and (language, cut of a text) of each, at most WINDOWS_PER_LANGUAGE.
 
+    With many languages each has fewer, WINDOWS in all but at least one; languages are few enough to be listed on the driver.
     Rows are drawn by a hash of the text alone, and the place of the cut comes from another, so the sample
     does not change with partitioning. Each language has its own rate, found from its number of rows.
     """
     language, text = F.col(f"`{label_column}`").cast("string"), common.text_of(text_column)
     usable = docs.where(language.isNotNull() & text.rlike(r"\p{L}")).select(language.alias("language"), text.alias("text"))
-    counts = usable.groupBy("language").count().orderBy(F.desc("count"), "language").limit(MOST_LANGUAGES).collect()
+    counts = usable.groupBy("language").count().orderBy(F.desc("count"), "language").collect()
+    most = max(1, min(WINDOWS_PER_LANGUAGE, WINDOWS // max(1, len(counts))))
     draw = F.pmod(F.xxhash64("text", F.lit(1)), F.lit(1 << 30))
-    rate = F.lit(0)
-    for row in counts:
-        rate = F.when(F.col("language") == row["language"], F.lit(min(1 << 30, (3 * WINDOWS_PER_LANGUAGE << 29) // row["count"]))).otherwise(rate)
+    rates = docs.sparkSession.createDataFrame(
+        [(r["language"], min(1 << 30, (3 * most << 29) // r["count"])) for r in counts], "language string, rate long"
+    )
     room = F.greatest(F.length("text") - CUT + 1, F.lit(1))
-    drawn = usable.withColumn("draw", draw).where(F.col("draw") < rate).select(
+    drawn = usable.withColumn("draw", draw).join(F.broadcast(rates), "language").where(F.col("draw") < F.col("rate")).select(
         "language", "draw", F.substring("text", F.pmod(F.xxhash64("text", F.lit(2)), room).cast("int") + 1, F.lit(CUT)).alias("cut")
     ).distinct()  # copies of a text teach once
     first = W.partitionBy("language").orderBy("draw", "cut")
-    rows = drawn.withColumn("n", F.row_number().over(first)).where(F.col("n") <= WINDOWS_PER_LANGUAGE)
+    rows = drawn.withColumn("n", F.row_number().over(first)).where(F.col("n") <= most)
     return [r["language"] for r in counts], [(r["language"], r["cut"]) for r in rows.orderBy("language", "n").collect()]
 
 

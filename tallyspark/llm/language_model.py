@@ -20,14 +20,14 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import zstandard
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tallyspark.llm import common, words
 
-#: Documents of a chunk, and bytes of text for each hash range of the counts.
-CHUNK_ROWS, RANGE_BYTES = 2_048, 8 << 20
+#: Documents of a chunk if none is longer than this, and bytes of text for each hash range of the counts.
+CHUNK_ROWS, SHORT_TEXT, RANGE_BYTES = 2_048, 8 << 10, 8 << 20
 #: Role of a text: only scored; counted; counted, and held out while the weights are learned.
 SCORED, COUNTED, HELD_OUT = 0, 1, 2
 HELD_OUT_PARTS, ROUNDS = 8, 40
@@ -226,6 +226,14 @@ class Model:
         return of_text((word > 0).astype(np.int64)), of_text(base), of_text(np.log10(np.maximum(chance, 1e-300)))
 
 
+def chunk_of(at: Column, size: Column) -> Column:
+    """The chunk of a text of ``size`` bytes at a place of its file. Texts of one doubling of SHORT_TEXT share chunks, of half as
+    many places for each doubling, so a chunk has at most CHUNK_ROWS * SHORT_TEXT bytes (16 MB), or a single longer text."""
+    doublings = F.when(size < SHORT_TEXT, 0).otherwise(F.length(F.bin(F.floor(size / SHORT_TEXT))))
+    places = F.greatest(F.floor(F.lit(CHUNK_ROWS) / F.pow(F.lit(2), doublings)), F.lit(1))
+    return doublings.cast("long") * (1 << 48) + F.floor(at / places)
+
+
 def scored(docs: DataFrame, role: str, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """One row per row of ``docs``: id, role, n_tokens, n_known, train_tokens, base_score, score.
 
@@ -237,7 +245,7 @@ def scored(docs: DataFrame, role: str, id_column: str = "doc_id", text_column: s
     keyed, key = common.row_keyed(docs)
     given = F.coalesce(F.col(f"`{role}`").cast("int"), F.lit(SCORED))
     rows = keyed.select(
-        F.col(f"`{key}`.file").alias("file"), F.floor(F.col(f"`{key}`.at") / CHUNK_ROWS).alias("chunk"), (given == HELD_OUT).alias("apart"),
+        F.col(f"`{key}`.file").alias("file"), chunk_of(F.col(f"`{key}`.at"), F.octet_length(common.text_of(text_column))).alias("chunk"), (given == HELD_OUT).alias("apart"),
         F.col(f"`{key}`.at").alias("at"), F.col(f"`{id_column}`").alias("id"), given.alias("role"), (given >= COUNTED).alias("counts"),
         common.text_of(text_column).alias("text"),
     )

@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyspark.llm import common
+from tallyspark.llm.license_texts import TEMPLATES
 
 SHINGLE, LEAST = 5, 0.8
 STRIDE, BANDS = 4, 6
@@ -30,30 +31,6 @@ LONG_TEMPLATE = WINDOW + STRIDE - 1
 #: the template's shingles, so that a block of half its length may stand in it, and at least so many.
 SLACK_SHARE, LEAST_SLACK = 0.5, 4
 
-#: Names and texts of public licenses and of the notices that name them.
-TEMPLATES = (
-    ("MIT notice", "Released under the MIT License."),
-    ("Apache-2.0 notice", "Licensed under the Apache License, Version 2.0."),
-    ("GPL-3.0 notice", "This work is licensed under the GNU General Public License, version 3."),
-    ("CC-BY-NC-4.0 notice", "Licensed under CC BY-NC 4.0."),
-    ("CC-BY-4.0 notice", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
-    ("MPL-2.0 notice", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
-    ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated "
-     "documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the "
-     "rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit "
-     "persons to whom the Software is furnished to do so, subject to the following conditions:"),
-    ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby "
-     "granted, provided that the above copyright notice and this permission notice appear in all copies."),
-    ("BSD", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that "
-     "the following conditions are met:"),
-    ("Apache-2.0", "Unless required by applicable law or agreed to in writing, software distributed under the License is "
-     "distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied."),
-    ("GPL", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General "
-     "Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) "
-     "any later version."),
-)
-
-
 def words_of(text: Column) -> Column:
     """Runs of letters a-z and digits, in lower case; everything else parts words."""
     return F.array_remove(F.split(F.lower(text), "[^a-z0-9]+"), "")
@@ -94,19 +71,37 @@ def settled(df: DataFrame, name: str, value: Column) -> DataFrame:
     return df.select("*", F.explode(F.array(value)).alias(name))
 
 
-def keyed_templates(spark: SparkSession, templates=TEMPLATES) -> tuple[DataFrame, list[int]]:
-    """key, template, shingle, own shingles, their number; and all keys. As long as the list of templates: a proven bound."""
-    table = spark.createDataFrame(list(templates), "template string, text string").select("template", words_of(F.col("text")).alias("words"))
-    hashed = table.select("template", shingles(F.col("words")).alias("own"), shingle_hashes(F.col("words")).alias("h")).select(
-        "*", F.size("h").alias("number")
+def told_apart(hashed: DataFrame, least: float) -> DataFrame:
+    """n, marks: for each template that is as good as contained in another one, the shingles that this other one lacks."""
+    each = hashed.select("n", "size", F.explode(F.array_distinct("own")).alias("shingle"))
+    shared = each.join(each.select(F.col("n").alias("other"), "shingle"), "shingle").where(F.col("n") != F.col("other"))
+    alike = shared.groupBy("n", "other", "size").agg(F.count("*").alias("shared")).where(F.col("shared") >= least * F.col("size"))
+    both = alike.select("n", "other").join(hashed.select("n", "own"), "n").join(
+        hashed.select(F.col("n").alias("other"), F.col("own").alias("other_own")), "other"
+    )
+    marks = both.select("n", F.array_except("own", "other_own").alias("mark")).where(F.size("mark") > 0)
+    return marks.groupBy("n").agg(F.collect_list("mark").alias("marks"))
+
+
+def keyed_templates(spark: SparkSession, templates=TEMPLATES, least: float = LEAST) -> tuple[DataFrame, list[int]]:
+    """key, template, shingle, own shingles, their number, marks; and all keys. As long as the list of templates: a proven bound."""
+    if isinstance(templates, DataFrame):
+        table = templates.select("template", "text").withColumn("n", F.monotonically_increasing_id())
+    else:
+        table = spark.createDataFrame([(n, *t) for n, t in enumerate(templates)], "n long, template string, text string")
+    table = common.cut(table.select("n", "template", words_of(F.col("text")).alias("words")))
+    hashed = table.select("n", "template", shingles(F.col("words")).alias("own"), shingle_hashes(F.col("words")).alias("h")).select(
+        "*", F.size("h").alias("number"), F.size(F.array_distinct("own")).alias("size")
     ).where("number > 0")
-    single = hashed.where(F.col("number") < LONG_TEMPLATE).select("template", "own", "number", F.posexplode("h").alias("shingle", "key"))
+    hashed = hashed.join(told_apart(hashed, least), "n", "left").withColumn("marks", F.coalesce("marks", F.array().cast("array<array<string>>")))
+    carried = ("n", "template", "own", "number", "marks")
+    single = hashed.where(F.col("number") < LONG_TEMPLATE).select(*carried, F.posexplode("h").alias("shingle", "key"))
     windows = hashed.where(F.col("number") >= LONG_TEMPLATE)
     banded = reduce(DataFrame.union, [
-        windows.select("template", "own", "number", F.posexplode(block_minima(F.col("h"), WINDOW, 1, F.col("number") - WINDOW + 1, b)).alias("shingle", "key"))
+        windows.select(*carried, F.posexplode(block_minima(F.col("h"), WINDOW, 1, F.col("number") - WINDOW + 1, b)).alias("shingle", "key"))
         for b in range(BANDS)
     ])
-    keys = single.union(banded)
+    keys = common.cut(single.union(banded))
     return keys, sorted({r["key"] for r in keys.select("key").collect()})
 
 
@@ -116,12 +111,14 @@ def scan(
     """One row per row of ``docs`` and template found in it: key, id, template, start_word, shingles, containment.
 
     containment is the share of the template's distinct five-word shingles in the stretch, at least
-    ``least``; of several places the best, then the first, counts. Templates of fewer than five words match
-    nothing, and neither do null, empty and shorter texts. The whole text is scanned. Repeated rows are
+    ``least``; of several places the best, then the first, counts. Where a template is as good as contained in another
+    one, such as another version of it, the stretch must also hold a shingle that the other one lacks: a notice
+    whose version is unreadable is none of them. ``templates`` are pairs or a table of template and text, few enough
+    for a driver. Templates of fewer than five words match nothing, and neither do null, empty and shorter texts. The whole text is scanned. Repeated rows are
     found each; an empty table gives no rows. Other columns are not looked at.
     """
     spark = docs.sparkSession
-    known, keys = keyed_templates(spark, templates)
+    known, keys = keyed_templates(spark, templates, least)
     literal = F.array(*map(F.lit, keys)) if keys else F.array().cast("array<bigint>")
     plain = docs.select(F.col(f"`{key}`").alias("key"), F.col(f"`{id_column}`").alias("id"), common.text_of(text_column).alias("text"))
     hashed = settled(settled(plain, "words", words_of(F.col("text"))).drop("text"), "h", shingle_hashes(F.col("words")))
@@ -136,19 +133,20 @@ def scan(
     )
     met = held.select("key", "id", "words", F.explode(F.filter(places, lambda p: F.array_contains(F.col("met"), p["key"]))).alias("place"))
     candidates = met.join(F.broadcast(known.withColumnRenamed("key", "template_key")), F.col("place.key") == F.col("template_key")).select(
-        "key", "id", "words", "template", "own", "number",
+        "key", "id", "words", "n", "template", "own", "number", "marks",
         F.greatest(F.col("place.at") - F.col("shingle"), F.lit(0)).alias("start"),
     )
     slack = F.greatest((F.col("number") * SLACK_SHARE).cast("int"), F.lit(LEAST_SLACK))
     low = F.greatest(F.col("start") - slack, F.lit(0))
     stretch = F.slice(F.col("words"), low + 1, F.col("number") + SHINGLE - 1 + 2 * slack)
-    covered = settled(candidates, "stretch", stretch)
-    shared = F.size(F.array_intersect("own", shingles(F.col("stretch")))) / F.size(F.array_distinct("own"))
+    covered = settled(settled(candidates, "stretch", stretch), "pieces", shingles(F.col("stretch")))
+    shared = F.size(F.array_intersect("own", "pieces")) / F.size(F.array_distinct("own"))
+    own_version = F.forall("marks", lambda mark: F.arrays_overlap(mark, F.col("pieces")))
     best = F.max(F.struct(F.col("containment"), (-F.col("start")).alias("earlier")))
     return (
-        covered.select("key", "id", "template", "start", "number", shared.alias("containment"))
+        covered.where(own_version).select("key", "id", "n", "template", "start", "number", shared.alias("containment"))
         .where(F.col("containment") >= least)
-        .groupBy("key", "id", "template", "number").agg(best.alias("best"))
+        .groupBy("key", "id", "n", "template", "number").agg(best.alias("best"))
         .select(
             "key", "id", "template", (-F.col("best.earlier")).alias("start_word"), F.col("number").alias("shingles"),
             F.col("best.containment").alias("containment"),

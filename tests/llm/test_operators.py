@@ -355,6 +355,7 @@ def test_interpolated_probabilities_by_hand(monkeypatch, spark):
     monkeypatch.setattr(language_model, "learned_weights", lambda *a: used.setdefault("w", learn(*a)))
     monkeypatch.setattr(language_model, "RANGE_BYTES", 50)
     monkeypatch.setattr(language_model, "CHUNK_ROWS", 3)
+    monkeypatch.setattr(language_model, "SHORT_TEXT", 20)
     texts = ["a b a b c", "a b", "", None, "b a d", "z z", "a b c", "a B a", "c a b"] * 3
     role = [0 if n % 9 == 5 else 2 if n % 4 == 1 else 1 for n in range(len(texts))]
     df = spark.createDataFrame(list(zip(range(len(texts)), texts, role, strict=True)), "doc_id long, text string, role int")
